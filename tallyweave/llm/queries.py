@@ -7,13 +7,29 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm import fingerprints, topk
+from tallyweave.llm import fingerprints, pieces, tokenfiles, topk
+from tallyweave.shared import new_folder
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = pieces.decode(pieces.encode(_read(spark, sf_dir, "documents")))
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = tokenfiles.write(_read(spark, sf_dir, "documents"), new_folder(spark, "token-ids"), end=2)
+    return tokenfiles.read(spark, files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
@@ -32,7 +48,7 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op8_exact_top_k, op9_fingerprints)}
+    return {f.__name__: f for f in (op2_sentencepiece, op4_token_files, op8_exact_top_k, op9_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
