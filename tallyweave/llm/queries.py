@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm import fingerprints, pieces, tokenfiles, topk
+from tallyweave.llm import fingerprints, html, pieces, tokenfiles, topk
 from tallyweave.shared import new_folder
 
 
@@ -30,6 +30,11 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.read(spark, files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = html.extract(_read(spark, sf_dir, "pages"))
+    return texts.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
@@ -48,7 +53,7 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sentencepiece, op4_token_files, op8_exact_top_k, op9_fingerprints)}
+    return {f.__name__: f for f in (op2_sentencepiece, op4_token_files, op6_html_text, op8_exact_top_k, op9_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
