@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm import fingerprints, html, pieces, tokenfiles, topk
+from tallyweave.llm import fingerprints, html, neardups, pieces, tokenfiles, topk
 from tallyweave.shared import new_folder
 
 
@@ -52,8 +52,13 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardups.near_duplicates(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.col("rep").alias("copy_of"), "class_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sentencepiece, op4_token_files, op6_html_text, op8_exact_top_k, op9_fingerprints)}
+    return {f.__name__: f for f in (op2_sentencepiece, op4_token_files, op6_html_text, op8_exact_top_k, op9_fingerprints, op10_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
