@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm import fingerprints, html, neardups, pieces, tokenfiles, topk
+from tallyweave.llm import fingerprints, html, linededup, neardups, packing, pieces, tokenfiles, topk
 from tallyweave.shared import new_folder
 
 
@@ -15,6 +15,12 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    kept = linededup.dedup_lines(docs.withColumn("chars_before", F.char_length("text").cast("long")))
+    return kept.select("doc_id", "text", "n_chars", (F.col("chars_before") - F.col("n_chars")).alias("removed_chars"))
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = pieces.decode(pieces.encode(_read(spark, sf_dir, "documents")))
     return coded.select(
@@ -30,6 +36,10 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.read(spark, files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.cut(_read(spark, sf_dir, "documents")))
+
+
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = html.extract(_read(spark, sf_dir, "pages"))
     return texts.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
@@ -58,7 +68,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sentencepiece, op4_token_files, op6_html_text, op8_exact_top_k, op9_fingerprints, op10_near_duplicates)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_sentencepiece, op4_token_files, op5_best_fit_packing, op6_html_text, op8_exact_top_k, op9_fingerprints, op10_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -103,7 +103,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024)
     candidates = rows.select("vec_id", "v", block(across, 1).alias("a"), each(down).alias("d"))
     queries = rows.where("is_query").select("vec_id", "v", block(down, 2).alias("d"), each(across).alias("a"))
 
-    def cell(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def cell(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         return search_block(left, right, k)
 
     best = queries.groupBy("a", "d").cogroup(candidates.groupBy("a", "d")).applyInPandas(cell, OUT)
