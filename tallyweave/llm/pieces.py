@@ -85,8 +85,9 @@ class Codec:
         hit = self.keys[at] == key
         return np.where(hit, self.ranks[at], NEVER), self.merged[at]
 
-    def encode_words(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of each word, by merge rounds over all words together."""
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, one after another, and each word's count; by merge rounds over
+        all words together."""
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
         symbols = self.symbols[points]
@@ -121,14 +122,18 @@ class Codec:
             if len(at) and at[-1] == len(symbols) - 1:
                 rank[-1] = NEVER
         if not done:
-            return [np.zeros(0, np.int32) for _ in words]
+            return np.zeros(0, np.int64), np.zeros(len(words), np.int64)
         word, symbols = np.concatenate([w for w, _ in done]), np.concatenate([s for _, s in done])
         order = np.argsort(word, kind="stable")
         word, symbols = word[order], symbols[order]
-        out = np.split(symbols, np.searchsorted(word, np.arange(1, len(words))))
-        for w in set(word[symbols >= len(self.table)].tolist()):
-            out[w] = np.concatenate([self._bytes(s) if s >= len(self.table) else [s] for s in out[w].tolist()])
-        return out
+        odd = np.flatnonzero(symbols >= len(self.table))
+        if len(odd):  # characters outside the vocabulary become bytes
+            own = [self._bytes(s) for s in symbols[odd].tolist()]
+            times = np.ones(len(symbols), np.int64)
+            times[odd] = list(map(len, own))
+            word, symbols, old = np.repeat(word, times), np.repeat(symbols, times), symbols
+            symbols[np.repeat(old >= len(self.table), times)] = np.concatenate(own)
+        return symbols, np.bincount(word, minlength=len(words))
 
     def _bytes(self, symbol: int) -> np.ndarray:
         point = self.extra.get(symbol, symbol - FOREIGN)

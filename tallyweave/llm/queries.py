@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm import fingerprints, html, linededup, neardups, packing, pieces, tokenfiles, topk
+from tallyweave.llm import fingerprints, html, linededup, neardups, packing, passages, pieces, tokenfiles, topk
 from tallyweave.shared import new_folder
 
 
@@ -45,6 +45,10 @@ def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(_read(spark, sf_dir, "documents")).drop("text_hash")
+
+
 def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
@@ -68,7 +72,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_sentencepiece, op4_token_files, op5_best_fit_packing, op6_html_text, op8_exact_top_k, op9_fingerprints, op10_near_duplicates)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_sentencepiece, op4_token_files, op5_best_fit_packing, op6_html_text, op7_substring_dedup, op8_exact_top_k, op9_fingerprints, op10_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:

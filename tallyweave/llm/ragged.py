@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ class Pieces:
     """Ids of pieces of text that were met before. Past `limit` pieces it starts anew, so its
     memory is bounded however many different pieces the corpus has."""
 
-    def __init__(self, encode: Callable[[list[str]], list[np.ndarray]], limit: int = 400_000):
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 600_000):
         self.encode, self.limit = encode, limit
         self._clear()
 
@@ -47,15 +48,17 @@ class Pieces:
         pieces = [p for one in split for p in one]
         if len(self.known) > self.limit:
             self._clear()
-        new = list(set(pieces).difference(self.known))
-        if new:
-            found = self.encode(new)
-            lengths = np.fromiter(map(len, found), np.int64, len(found))
+        codes = np.fromiter(map(self.known.get, pieces, repeat(-1)), np.int64, len(pieces))
+        missing = np.flatnonzero(codes < 0)
+        if len(missing):
+            unknown = [pieces[i] for i in missing.tolist()]
+            new = list(dict.fromkeys(unknown))
+            flat, lengths = self.encode(new)  # ids of all, one after another, and how many each has
             self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
             self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
             self.lengths = np.concatenate([self.lengths, lengths])
-            self.flat = np.concatenate([self.flat, *found]).astype(np.int32)
-        codes = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+            self.flat = np.concatenate([self.flat, flat.astype(np.int32)])
+            codes[missing] = np.fromiter(map(self.known.__getitem__, unknown), np.int64, len(unknown))
         lengths = self.lengths[codes]
         ends = np.concatenate([[0], np.cumsum(lengths)])
         last = np.cumsum([0, *map(len, split)])

@@ -2,11 +2,15 @@
 
 The word vocabulary drops white space, and none of its normalisation or splitting looks
 across a space or a line break, so texts are cut at these two characters and the ids of a
-chunk don't depend on its neighbours. Everything else is the library's work.
+chunk don't depend on its neighbours. Letters and punctuation are never one token, and case
+is dropped, so a chunk that is a run of letters with punctuation after it has the ids of the
+two parts. Everything else is the library's work; it gets many parts in one call, with a
+digit between them, as it always splits digits off.
 """
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -15,10 +19,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyweave.llm.ragged import Pieces, groups
+from tallyweave.llm.ragged import Pieces, gather, groups
 from tallyweave.session import ship
 
 
+MARK = "0"
+CALL = 500
+ENDING = re.compile(r"([^\W\d_]+)([.,;:!?|$#*&%]+)")
+
+
 class Words:
     """Encodes texts without special tokens of the library's own."""
 
@@ -26,15 +35,48 @@ class Words:
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(vocabulary)
-        self.size = self.lib.get_vocab_size()
-        self.pieces = Pieces(self._encode)
-
-    def _encode(self, chunks: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.int32) for e in self.lib.encode_batch_fast(chunks, add_special_tokens=False)]
+        marks = self._library([MARK, f"a {MARK} b", f"a{MARK}b"])
+        self.mark = marks[0][0] if len(marks[0]) == 1 and all(x.count(marks[0][0]) == 1 for x in marks) else None
+        self.parts = Pieces(self._encode_parts)
+        self.chunks = Pieces(self._encode_chunks)
+
+    def _library(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode_parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        plain = [k for k, p in enumerate(parts) if MARK not in p] if self.mark is not None else []
+        lengths, found = np.zeros(len(parts), np.int64), {}
+        flats, order = [], []
+        for at in range(0, len(plain), CALL):
+            some = plain[at : at + CALL]
+            flat = np.array(self._library([f" {MARK} ".join(parts[k] for k in some)])[0], np.int64)
+            ends = np.append(np.flatnonzero(flat == self.mark), len(flat))
+            lengths[some] = np.diff(ends, prepend=-1) - 1
+            flats.append(flat[flat != self.mark])
+            order += some
+        rest = [k for k in range(len(parts)) if MARK in parts[k]] if self.mark is not None else list(range(len(parts)))
+        for k, ids in zip(rest, self._library([parts[k] for k in rest]), strict=True):
+            lengths[k] = len(ids)
+            flats.append(np.array(ids, np.int64))
+            order.append(k)
+        flat, order = np.concatenate([np.zeros(0, np.int64), *flats]), np.array(order, np.int64)
+        starts = np.zeros(len(parts), np.int64)
+        starts[order] = np.cumsum(lengths[order]) - lengths[order]
+        return gather(flat, starts, lengths), lengths
+
+    def _encode_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        split = []
+        for c in chunks:
+            m = ENDING.fullmatch(c)
+            if m and "\u0130" not in c:  # its small letter has a mark that would join the punctuation
+                split.append([m[1].lower(), m[2]] if "\u03a3" not in c else [m[1], m[2]])
+            else:
+                split.append([c.lower()] if c.isascii() else [c])
+        return self.parts.ids(split)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, and each text's count."""
-        return self.pieces.ids([[w for w in t.replace("\n", " ").split(" ") if w] for t in texts])
+        return self.chunks.ids([[w for w in t.replace("\n", " ").split(" ") if w] for t in texts])
 
 
 @lru_cache(maxsize=2)
