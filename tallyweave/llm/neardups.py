@@ -163,3 +163,15 @@ def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
         classes = components(links.select("a", "b").unionByName(more.select("a", "b")))
     named = classes.select(F.col("node").alias("rep"), F.col("component").alias("class_id"))
     return rows.join(named, "rep", "left").select("doc_id", "h1", "h2", "rep", F.coalesce("class_id", "rep").alias("class_id"))
+
+
+def one_of_each(docs: DataFrame, least: float = LEAST) -> DataFrame:
+    """The rows of `docs` that are their class's first document (and rows without doc_id). Of
+    rows with that doc_id and other texts, all of its class stay only if they are the same row."""
+    text = F.coalesce("text", F.lit(""))
+    first = near_duplicates(docs, least).where(F.col("doc_id") != F.col("class_id")).select(
+        F.col("doc_id").alias("_doc"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2")
+    )
+    drop = written(first.distinct(), "neardup-dropped")
+    same = (docs["doc_id"] == drop["_doc"]) & (F.xxhash64(text) == drop["_h1"]) & (F.xxhash64(F.lit("again"), text) == drop["_h2"])
+    return docs.join(drop, same, "left_anti")

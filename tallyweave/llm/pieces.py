@@ -76,7 +76,7 @@ class Codec:
         self.keys = keys if len(keys) else np.array([-1])
         self.ranks = np.array([pairs[k][0] for k in keys.tolist()] or [NEVER], dtype=np.int32)
         self.merged = np.array([pairs[k][1] for k in keys.tolist()] or [0], dtype=np.int64)
-        self.words = Pieces(self.encode_words)
+        self.words = Pieces(self.encode_words, limit=400_000)
 
     def _pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and merged symbol of each pair; NEVER where the two don't merge."""

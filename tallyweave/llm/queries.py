@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm import fingerprints, html, linededup, neardups, packing, passages, pieces, tokenfiles, topk
+from tallyweave.llm import fingerprints, html, linededup, neardups, packing, passages, pieces, quality, tokenfiles, topk
 from tallyweave.shared import new_folder
 
 
@@ -31,6 +31,18 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.score(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+    return scored.select(
+        "doc_id",
+        F.col("_evidence").alias("evidence"),
+        F.col("_host_share").alias("host_share"),
+        F.col("_path_share").alias("path_share"),
+        F.col("_posterior").alias("posterior"),
+        (F.col("_posterior") >= quality.KEEP).cast("int").alias("keep"),
+    )
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = tokenfiles.write(_read(spark, sf_dir, "documents"), new_folder(spark, "token-ids"), end=2)
     return tokenfiles.read(spark, files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -72,7 +84,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_sentencepiece, op4_token_files, op5_best_fit_packing, op6_html_text, op7_substring_dedup, op8_exact_top_k, op9_fingerprints, op10_near_duplicates)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_sentencepiece, op3_quality, op4_token_files, op5_best_fit_packing, op6_html_text, op7_substring_dedup, op8_exact_top_k, op9_fingerprints, op10_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
