@@ -103,12 +103,13 @@ def next_in_order(keys: DataFrame, key: str, widths: tuple[int, ...] = (4096, 40
     keys = keys.select(F.col(key).cast("long").alias(key)).where(F.col(key).isNotNull()).distinct()
     if not widths:
         return keys.withColumn("next_key", F.lead(key).over(Window.orderBy(key)))
-    ranged = keys.withColumn("_range", F.floor(F.col(key) / widths[0]).cast("long"))
-    firsts = ranged.groupBy("_range").agg(F.min(key).alias("_first"))
-    ranges = next_in_order(firsts, "_range", widths[1:]).withColumnRenamed("next_key", "_next")
-    follow = ranges.join(firsts.select(F.col("_range").alias("_next"), "_first"), "_next").select("_range", "_first")
-    within = ranged.withColumn("next_key", F.lead(key).over(Window.partitionBy("_range").orderBy(key)))
-    return within.join(follow, "_range", "left").select(key, F.coalesce("next_key", "_first").alias("next_key"))
+    part = f"{key}_range"  # a name of its own at each level
+    ranged = keys.withColumn(part, F.floor(F.col(key) / widths[0]).cast("long"))
+    firsts = ranged.groupBy(part).agg(F.min(key).alias("_first"))
+    ranges = next_in_order(firsts, part, widths[1:]).withColumnRenamed("next_key", "_next")
+    follow = ranges.join(firsts.select(F.col(part).alias("_next"), "_first"), "_next").select(part, "_first")
+    within = ranged.withColumn("next_key", F.lead(key).over(Window.partitionBy(part).orderBy(key)))
+    return within.join(follow, part, "left").select(key, F.coalesce("next_key", "_first").alias("next_key"))
 
 
 def fingerprint_with_next(docs: DataFrame, k: int = SKETCH) -> DataFrame:
