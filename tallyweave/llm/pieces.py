@@ -76,7 +76,7 @@ class Codec:
         self.keys = keys if len(keys) else np.array([-1])
         self.ranks = np.array([pairs[k][0] for k in keys.tolist()] or [NEVER], dtype=np.int32)
         self.merged = np.array([pairs[k][1] for k in keys.tolist()] or [0], dtype=np.int64)
-        self.words = Pieces(self.encode_words, limit=400_000)
+        self.words = Pieces(self.encode_words, limit=250_000)
 
     def _pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and merged symbol of each pair; NEVER where the two don't merge."""
@@ -199,9 +199,8 @@ def encode(docs: DataFrame, model: str | None = None, key: str = "doc_id", text:
     def run(batches):
         own = codec(_place(model))
         for b in batches:
-            texts = b.column(1).to_pylist()
-            for start, end in groups(texts):
-                flat, counts = own.encode(texts[start:end])
+            for start, end, texts in groups(b.column(1)):
+                flat, counts = own.encode(texts)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(start, end - start), list_column(flat, counts)], [key, "ids"])
 
     return rows.mapInArrow(run, schema)
@@ -217,7 +216,7 @@ def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
         own = codec(_place(model))
         for b in batches:
             ids = b.column(at)
-            step = max(1, 2_000_000 // max(1, len(ids.flatten()) // max(1, len(ids))))
+            step = max(1, 250_000 // max(1, len(ids.flatten()) // max(1, len(ids))))
             for start in range(0, len(ids), step):
                 part = b.slice(start, step)
                 texts = [None if x is None else own.decode(x) for x in part.column(at).to_pylist()]

@@ -7,21 +7,21 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 GROUP_CHARS = 2_000_000
 
 
-def groups(texts: list[str], most: int = GROUP_CHARS) -> Iterator[tuple[int, int]]:
-    """Ranges of neighbouring texts with about `most` characters; a longer text stands alone."""
+def groups(column: pa.Array, most: int = GROUP_CHARS) -> Iterator[tuple[int, int, list[str]]]:
+    """(start, end, texts) of ranges of an Arrow column of texts with about `most` bytes; a
+    longer text stands alone. Only one range at a time becomes Python strings."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).tolist()
     start = size = 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > most:
-            yield start, i
-            start = i
-            size = 0
-        size += len(t)
-    if start < len(texts):
-        yield start, len(texts)
+    for i, n in enumerate([*sizes, None]):
+        if i > start and (n is None or size + n > most):
+            yield start, i, column.slice(start, i - start).to_pylist()
+            start, size = i, 0
+        size += n or 0
 
 
 def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

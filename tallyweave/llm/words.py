@@ -98,10 +98,9 @@ def encoded(batch: pa.RecordBatch, text: str, vocabulary: str | None, end: int |
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one task, one thread
     own = _words(place(vocabulary))
-    texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
     tail = np.array([] if end is None else [end], np.int32)
-    for start, stop in groups(texts):
-        flat, counts = own.encode(texts[start:stop])
+    for start, stop, texts in groups(batch.column(batch.schema.get_field_index(text))):
+        flat, counts = own.encode(texts)
         at = 0
         for row, n in zip(range(start, stop), counts.tolist(), strict=True):
             yield row, np.concatenate([flat[at : at + n], tail])
