@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +31,6 @@ def scored(entries: DataFrame, scorer: Callable[[dict], list[dict]], schema: str
     entry's failure doesn't stop the others."""
     import json
 
-    import pandas as pd
-
     columns = [c.split()[0] for c in schema.split(",")]
 
     def run(frames):
@@ -41,6 +41,7 @@ def scored(entries: DataFrame, scorer: Callable[[dict], list[dict]], schema: str
                     out += [{**p, "entry": json.dumps(row, default=str, sort_keys=True), "error": None} for p in scorer(row)]
                 except Exception as e:  # an outside model may fail in any way
                     out.append({"entry": json.dumps(row, default=str, sort_keys=True), "error": str(e)})
-            yield pd.DataFrame(out, columns=[*columns, "entry", "error"])
+            rows = pd.DataFrame(out, columns=[*columns, "entry", "error"]).astype(object)
+            yield rows.where(rows.notna(), None)
 
     return entries.mapInPandas(run, f"{schema}, entry string, error string")
