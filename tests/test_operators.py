@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyweave.operators import components, evidence, graph, profile, rules, store
 from tallyweave.operators.ranks import ranked
-from tallyweave.plans import catalog
+from tallyweave.plans import catalog, reports
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -119,10 +119,13 @@ def oracle():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(catalog.queries()))
+QUERIES, SQL = catalog.queries() | reports.queries(), catalog.oracle_sql() | reports.oracle_sql()
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query_against_sql(spark, oracle, name):
-    got = catalog.queries()[name](spark, DATA).toPandas()
-    want = oracle.sql(catalog.oracle_sql()[name]).df()
+    got = QUERIES[name](spark, DATA).toPandas()
+    want = oracle.sql(SQL[name]).df()
     columns = sorted(got.columns)
     assert columns == sorted(want.columns)
     rows = lambda d: sorted(map(repr, d[columns].astype(object).where(d[columns].notna(), None).itertuples(index=False, name=None)))
