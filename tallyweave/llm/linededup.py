@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tallyweave.llm.spans import cut_out, text_hash
 from tallyweave.session import ship
-from tallyweave.shared import written
+from tallyweave.shared import Tables
 
 #: Lines that the rolling hash covers; one in DIVISOR places is a cut; least and most lines of a chunk.
 WINDOW, DIVISOR, LEAST, MOST = 2, 3, 2, 32
@@ -104,15 +104,18 @@ def chunk_bytes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def repeated_chunks(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, chunk, start, end, lines of every chunk whose bytes came before."""
     key = ["doc_id", "text_hash", "chunk"]
-    made = written(chunk_hashes(docs), "chunk-hashes")
+    tables = Tables(docs.sparkSession)
+    made = tables.write(chunk_hashes(docs), "chunk-hashes")
     firsts = made.groupBy("h1", "h2").agg(F.min(F.struct(*key)).alias("first"), F.count("*").alias("n")).where(F.col("n") > 1)
-    again = written(made.join(firsts, ["h1", "h2"]).where(F.struct(*key) != F.col("first")).select(*key, "first").distinct(), "chunks-again")
+    again = tables.write(made.join(firsts, ["h1", "h2"]).where(F.struct(*key) != F.col("first")).select(*key, "first").distinct(), "chunks-again")
     wanted = again.select(*key).unionByName(again.select("first.*").distinct())
-    texts = written(chunk_bytes(docs, wanted.distinct()), "chunk-bytes")
+    texts = tables.write(chunk_bytes(docs, wanted.distinct()), "chunk-bytes")
     first = texts.select(*(F.col(c).alias(f"f_{c}") for c in key), F.col("bytes").alias("f_bytes"))
     pairs = again.select(*key, *(F.col(f"first.{c}").alias(f"f_{c}") for c in key))
     same = pairs.join(first, [f"f_{c}" for c in key]).join(texts, key).where(F.col("bytes") == F.col("f_bytes"))
-    return same.select(*key, "start", "end", "lines")
+    found = tables.write(same.select(*key, "start", "end", "lines"), "chunks-repeated")
+    tables.drop("chunk-hashes", "chunks-again", "chunk-bytes")
+    return found
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:

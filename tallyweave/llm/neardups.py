@@ -9,16 +9,18 @@ document. Two slots agree with the probability of the probability Jaccard likene
 Signatures are cut into bands; equal bands make candidates. In each bucket every document
 is compared with the bucket's first one (a star, not all pairs), on the whole sets of
 shingles. The links found make classes. Documents of different classes that still share a
-bucket are then compared with each other, so no candidate pair is left out: it is
-either in one class or was compared. Exact copies are one document in all of this.
+bucket are then compared with each other, except where their sizes and the numbers of
+shingles that only one of them has prove that they can't be alike. So no candidate pair is
+left out: it is in one class, was compared, or can't be linked. Exact copies are one document
+in all of this.
 
 Two documents are linked if the Jaccard likeness of their sets of shingles (as 32-bit
 hashes) is at least `least`. A class is a connected component of links, named by its
 least doc_id.
 
 Edge cases: a null text counts as empty; empty texts are copies of each other; texts of one
-to four words are one shingle. Rows without doc_id are left out; rows with the same
-doc_id and different texts are told apart, and all kept.
+to four words are one shingle. Rows without doc_id are left out; rows that share a doc_id
+are one document: what one of their texts is linked to, all of them are.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 from tallyweave.llm import ragged, shingles
 from tallyweave.operators.components import components
 from tallyweave.session import ship
-from tallyweave.shared import written
+from tallyweave.shared import Tables, written
 
 SLOTS, BANDS, ROWS = 128, 24, 5
 LEAST = 0.8
@@ -83,15 +85,17 @@ def sketch(docs: DataFrame) -> DataFrame:
     def run(batches):
         hashed = shingles.HashedWords()
         for b in batches:
-            texts = b.column(3).to_pylist()
-            for lo, hi in ragged.groups(texts):
-                words, counts = hashed.of([t.split() for t in texts[lo:hi]])
+            for lo, hi, texts in ragged.groups(b.column(3)):
+                words, counts = hashed.of([t.split() for t in texts])
                 h, text, often = shingles.distinct(*shingles.shingles(words, counts))
                 kept = signatures(h, text, 1 + np.log(often), hi - lo)
                 keys = band_keys(kept)
                 full = np.bincount(text, minlength=hi - lo) > 0
                 short = (h >> np.uint64(32)).astype("<u4")  # sorted as h is
-                cuts = np.searchsorted(text, np.arange(hi - lo + 1))
+                once = np.ones(len(short), bool)
+                once[1:] = (short[1:] != short[:-1]) | (text[1:] != text[:-1])
+                short = short[once]
+                cuts = np.searchsorted(text[once], np.arange(hi - lo + 1))
                 sets = [short[s:e].tobytes() for s, e in zip(cuts, cuts[1:], strict=False)]
                 lists = pa.ListArray.from_arrays(
                     pa.array(np.concatenate([[0], np.cumsum(full * BANDS)]).astype(np.int32)), pa.array(keys[full].reshape(-1))
@@ -104,7 +108,7 @@ def sketch(docs: DataFrame) -> DataFrame:
 
 
 def _jaccard(x: bytes, y: bytes) -> float:
-    x, y = np.unique(np.frombuffer(x, "<u4")), np.unique(np.frombuffer(y, "<u4"))
+    x, y = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
     both = len(np.intersect1d(x, y, assume_unique=True))
     return both / max(1, len(x) + len(y) - both)
 
@@ -125,49 +129,74 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return rows.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, likeness double").where(F.col("likeness") >= least)
 
 
+def own_shingles(sets: DataFrame) -> DataFrame:
+    """doc_id, n, own: the size of each document's set, and how many of its shingles no other
+    document of `sets` has."""
+
+    def run(batches):
+        for b in batches:
+            lists = [np.frombuffer(x, "<u4").view("<i4") for x in b.column(1).to_pylist()]
+            sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+            at = pa.array(np.repeat(np.arange(len(lists)), sizes))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), pa.array(np.concatenate([np.zeros(0, "<i4"), *lists]))], ["doc_id", "shingle"])
+
+    ids = sets.select("doc_id", "shingles").mapInArrow(run, "doc_id long, shingle int")
+    alone = ids.groupBy("shingle").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last")).where(F.col("doc_id") == F.col("last"))
+    own = alone.groupBy("doc_id").agg(F.count("*").alias("own"))
+    size = sets.groupBy("doc_id").agg(F.max(F.length("shingles") / 4).alias("n"))
+    return size.join(own, "doc_id", "left").select("doc_id", "n", F.coalesce("own", F.lit(0)).alias("own"))
+
+
 def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """doc_id, h1, h2, rep (the least doc_id of its exact copies), class_id of each row."""
-    made = written(sketch(docs), "neardup-sketches")
+    tables = Tables(docs.sparkSession)
+    made = tables.write(sketch(docs), "neardup-sketches")
     reps = made.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
     rows = made.select("doc_id", "h1", "h2").join(reps, ["h1", "h2"])
-    rows = written(rows, "neardup-copies")
+    rows = tables.write(rows, "neardup-copies")
     kept = made.join(rows.select("h1", "h2", F.col("rep").alias("doc_id")).distinct(), ["doc_id", "h1", "h2"], "left_semi")
-    keys = written(kept.select("doc_id", F.explode("bands").alias("key")).distinct(), "neardup-bands")
+    keys = tables.write(kept.select("doc_id", F.explode("bands").alias("key")).distinct(), "neardup-bands")
+    del kept
     hubs = keys.groupBy("key").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).where(F.col("n") > 1).drop("n")
-    shared = written(keys.join(hubs, "key"), "neardup-buckets")  # key, doc_id, a: buckets of several texts
+    shared = tables.write(keys.join(hubs, "key"), "neardup-buckets")  # key, doc_id, a: buckets of several texts
 
-    stars = written(shared.where(F.col("doc_id") != F.col("a")).select("a", F.col("doc_id").alias("b")).distinct(), "neardup-stars")
-    some = shared.select("doc_id").distinct()
-    sets = written(made.join(rows.select("h1", "h2", F.col("rep").alias("doc_id")).distinct(), ["doc_id", "h1", "h2"], "left_semi").join(some, "doc_id", "left_semi").select("doc_id", "shingles"), "neardup-sets")
-    links = written(verified(stars, sets, least), "neardup-links")
-    classes = written(components(links), "neardup-classes")
+    stars = tables.write(shared.where(F.col("doc_id") != F.col("a")).select("a", F.col("doc_id").alias("b")).distinct(), "neardup-stars")
+    some = rows.select("h1", "h2", F.col("rep").alias("doc_id")).distinct().join(shared.select("doc_id").distinct(), "doc_id")
+    sets = made.select("doc_id", "h1", "h2", "shingles").join(some, ["doc_id", "h1", "h2"], "left_semi")
+    sets = tables.write(sets.select("doc_id", "shingles"), "neardup-sets")
+    tables.drop("neardup-sketches", "neardup-bands")
+    links = tables.write(verified(stars, sets, least), "neardup-links")
+    classes = tables.write(components(links), "neardup-classes")
 
     # What still shares a bucket across classes.
     named = shared.join(classes.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
         "key", "doc_id", F.coalesce("component", "doc_id").alias("class")
     )
     mixed = named.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where(F.col("lo") < F.col("hi")).select("key")
-    named = written(named.join(mixed, "key", "left_semi"), "neardup-mixed")
-    present = named.select("key", "class").distinct()
-    across = present.withColumnRenamed("class", "ca").join(present.withColumnRenamed("class", "cb"), "key").where(F.col("ca") < F.col("cb"))
-    left = named.select("key", F.col("class").alias("ca"), F.col("doc_id").alias("x"))
-    right = named.select("key", F.col("class").alias("cb"), F.col("doc_id").alias("y"))
+    named = tables.write(named.join(mixed, "key", "left_semi"), "neardup-mixed")
+    own = own_shingles(sets.join(named.select("doc_id").distinct(), "doc_id", "left_semi"))
+    named = named.join(own, "doc_id").where(F.col("n") - F.col("own") >= least * F.col("n"))
+    left, right = (named.select("key", *(F.col(c).alias(f"{side}_{c}") for c in ("doc_id", "class", "n", "own"))) for side in "ab")
+    both = F.least(F.col("a_n") - F.col("a_own"), F.col("b_n") - F.col("b_own"))  # no pair has more in common
+    fits = (F.col("a_class") < F.col("b_class")) & (both >= least * (F.col("a_n") + F.col("b_n") - both))
     rest = (
-        across.join(left, ["key", "ca"]).join(right, ["key", "cb"])
-        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        left.join(right, (left["key"] == right["key"]) & fits)
+        .select(F.least("a_doc_id", "b_doc_id").alias("a"), F.greatest("a_doc_id", "b_doc_id").alias("b"))
         .distinct()
         .join(stars, ["a", "b"], "left_anti")
     )
-    more = written(verified(rest, sets, least), "neardup-more-links")
+    more = tables.write(verified(rest, sets, least), "neardup-more-links")
     if not more.isEmpty():
         classes = components(links.select("a", "b").unionByName(more.select("a", "b")))
+        classes = tables.write(classes, "neardup-all-classes")
+    tables.drop(*(n for n in tables.paths if n not in ("neardup-copies", "neardup-classes", "neardup-all-classes")))
     named = classes.select(F.col("node").alias("rep"), F.col("component").alias("class_id"))
     return rows.join(named, "rep", "left").select("doc_id", "h1", "h2", "rep", F.coalesce("class_id", "rep").alias("class_id"))
 
 
 def one_of_each(docs: DataFrame, least: float = LEAST) -> DataFrame:
-    """The rows of `docs` that are their class's first document (and rows without doc_id). Of
-    rows with that doc_id and other texts, all of its class stay only if they are the same row."""
+    """The rows of `docs` whose doc_id is the least of its class, and rows without doc_id. (So a
+    row that is given twice stays twice.)"""
     text = F.coalesce("text", F.lit(""))
     first = near_duplicates(docs, least).where(F.col("doc_id") != F.col("class_id")).select(
         F.col("doc_id").alias("_doc"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2")

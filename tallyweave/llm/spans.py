@@ -13,14 +13,16 @@ def text_hash(text: Column) -> Column:
 
 def without(text: Column, spans: Column) -> Column:
     """`text` without `spans`: an array of (start, end) code point places, which may overlap."""
-    spans = F.array_sort(spans)
-    reached = F.transform(spans, lambda s, i: F.array_max(F.transform(F.slice(spans, 1, i + 1), lambda x: x["end"])))
-    kept = F.transform(
-        spans,
-        lambda s, i: F.substring(text, F.coalesce(F.get(reached, i - 1), F.lit(0)) + 1, F.greatest(F.lit(0), s["start"] - F.coalesce(F.get(reached, i - 1), F.lit(0)))),
+    kept = F.aggregate(  # one pass: what was kept so far, and the place that was reached
+        F.array_sort(spans),
+        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
+        lambda acc, s: F.struct(
+            F.greatest(acc["at"], s["end"]).alias("at"),
+            F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.greatest(F.lit(0), s["start"] - acc["at"]))).alias("out"),
+        ),
+        lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.char_length(text))),
     )
-    tail = F.substring(text, F.array_max(reached) + 1, F.char_length(text))
-    return F.when(F.coalesce(F.size(spans), F.lit(0)) < 1, text).otherwise(F.concat(F.concat_ws("", kept), tail))
+    return F.when(F.coalesce(F.size(spans), F.lit(0)) < 1, text).otherwise(kept)
 
 
 def cut_out(docs: DataFrame, found: DataFrame) -> DataFrame:

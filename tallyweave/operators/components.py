@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyweave.shared import written
+from tallyweave.shared import Tables
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -30,13 +30,16 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) of every node that has an edge to another; a component is named by
     its least node. Loops, repeated edges and edges with a null end add nothing."""
     pairs = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b"))
-    now = written(pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull()).where(F.col("a") != F.col("b")).distinct(), "edges")
-    told = None
+    tables = Tables(edges.sparkSession)
+    now = tables.write(pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull()).where(F.col("a") != F.col("b")).distinct(), "edges-0")
+    told, rounds = None, 0
     while True:
         sums = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if told == sums:
             break
         told = sums
-        now = written(_star(_star(now, large=True), large=False), "edges")
+        rounds += 1
+        now = tables.write(_star(_star(now, large=True), large=False), f"edges-{rounds}")
+        tables.drop(f"edges-{rounds - 1}")
     roots = now.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
