@@ -9,10 +9,10 @@ document. Two slots agree with the probability of the probability Jaccard likene
 Signatures are cut into bands; equal bands make candidates. In each bucket every document
 is compared with the bucket's first one (a star, not all pairs), on the whole sets of
 shingles. The links found make classes. Documents of different classes that still share a
-bucket are then compared with each other, except where their sizes and the numbers of
-shingles that only one of them has prove that they can't be alike. So no candidate pair is
-left out: it is in one class, was compared, or can't be linked. Exact copies are one document
-in all of this.
+bucket are then compared with each other, except where their sizes, or the number of places
+where the parities of their sets differ (no more than the shingles that only one has), prove
+that they can't be alike. So no candidate pair is left out: it is in one class, was compared,
+or can't be linked. Exact copies are one document in all of this.
 
 Two documents are linked if the Jaccard likeness of their sets of shingles (as 32-bit
 hashes) is at least `least`. A class is a connected component of links, named by its
@@ -27,7 +27,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyweave.llm import ragged, shingles
@@ -37,6 +37,8 @@ from tallyweave.shared import Tables, written
 
 SLOTS, BANDS, ROWS = 128, 24, 5
 LEAST = 0.8
+#: Places of the parities of a set of shingles; a power of 2, and at least 64.
+BITS = 1024
 
 
 def signatures(hashes: np.ndarray, text: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
@@ -129,22 +131,24 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return rows.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, likeness double").where(F.col("likeness") >= least)
 
 
-def own_shingles(sets: DataFrame) -> DataFrame:
-    """doc_id, n, own: the size of each document's set, and how many of its shingles no other
-    document of `sets` has."""
+def parities(sets: DataFrame) -> DataFrame:
+    """doc_id, n, p0 ... : the size of each set, and for each of BITS places whether an odd
+    number of its shingles falls there (by their hash), as 64-bit integers. A place where two
+    sets differ holds a shingle that only one of them has."""
+    names = [f"p{k}" for k in range(BITS // 64)]
 
     def run(batches):
         for b in batches:
-            lists = [np.frombuffer(x, "<u4").view("<i4") for x in b.column(1).to_pylist()]
-            sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-            at = pa.array(np.repeat(np.arange(len(lists)), sizes))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), pa.array(np.concatenate([np.zeros(0, "<i4"), *lists]))], ["doc_id", "shingle"])
+            for at in range(0, b.num_rows, 1000):
+                part = b.slice(at, 1000)
+                lists = [np.frombuffer(x, "<u4") for x in part.column(1).to_pylist()]
+                sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+                flat = np.concatenate(lists).astype(np.int64) % BITS + np.repeat(np.arange(len(lists)) * BITS, sizes)
+                odd = (np.bincount(flat, minlength=len(lists) * BITS) & 1).astype(np.uint8)
+                packed = np.packbits(odd).view("<i8").reshape(len(lists), -1)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), *(pa.array(np.ascontiguousarray(c)) for c in packed.T)], ["doc_id", "n", *names])
 
-    ids = sets.select("doc_id", "shingles").mapInArrow(run, "doc_id long, shingle int")
-    alone = ids.groupBy("shingle").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last")).where(F.col("doc_id") == F.col("last"))
-    own = alone.groupBy("doc_id").agg(F.count("*").alias("own"))
-    size = sets.groupBy("doc_id").agg(F.max(F.length("shingles") / 4).alias("n"))
-    return size.join(own, "doc_id", "left").select("doc_id", "n", F.coalesce("own", F.lit(0)).alias("own"))
+    return sets.select("doc_id", "shingles").mapInArrow(run, f"doc_id long, n long, {', '.join(f'{c} long' for c in names)}")
 
 
 def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
@@ -174,11 +178,12 @@ def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
     )
     mixed = named.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where(F.col("lo") < F.col("hi")).select("key")
     named = tables.write(named.join(mixed, "key", "left_semi"), "neardup-mixed")
-    own = own_shingles(sets.join(named.select("doc_id").distinct(), "doc_id", "left_semi"))
-    named = named.join(own, "doc_id").where(F.col("n") - F.col("own") >= least * F.col("n"))
-    left, right = (named.select("key", *(F.col(c).alias(f"{side}_{c}") for c in ("doc_id", "class", "n", "own"))) for side in "ab")
-    both = F.least(F.col("a_n") - F.col("a_own"), F.col("b_n") - F.col("b_own"))  # no pair has more in common
-    fits = (F.col("a_class") < F.col("b_class")) & (both >= least * (F.col("a_n") + F.col("b_n") - both))
+    marks = parities(sets.join(named.select("doc_id").distinct(), "doc_id", "left_semi"))
+    named = named.join(marks, "doc_id")
+    left, right = (named.select("key", *(F.col(c).alias(f"{side}_{c}") for c in ("doc_id", "class", *marks.columns[1:]))) for side in "ab")
+    apart = sum(F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in marks.columns[2:])
+    smaller, larger = F.least("a_n", "b_n"), F.greatest("a_n", "b_n")
+    fits = (F.col("a_class") < F.col("b_class")) & (smaller >= least * larger) & (apart * (1 + least) <= (1 - least) * (smaller + larger) + 1e-6)
     rest = (
         left.join(right, (left["key"] == right["key"]) & fits)
         .select(F.least("a_doc_id", "b_doc_id").alias("a"), F.greatest("a_doc_id", "b_doc_id").alias("b"))
