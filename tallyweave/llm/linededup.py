@@ -19,13 +19,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyweave.llm.spans import cut_out, text_hash
+from tallyweave.llm.spans import text_hash, without
 from tallyweave.session import ship
 from tallyweave.shared import Tables
 
 #: Lines that the rolling hash covers; one in DIVISOR places is a cut; least and most lines of a chunk.
 WINDOW, DIVISOR, LEAST, MOST = 2, 3, 2, 32
 BASE = 0x100000001B3
+KEY, PLACE = ["doc_id", "text_hash", "chunk"], ["chunk", "start", "end", "lines"]
 
 
 def chunks(text: str) -> list[tuple[int, int, int]]:
@@ -57,68 +58,90 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def chunk_hashes(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, chunk, h1, h2 of the chunks of several lines."""
+    """doc_id, text_hash, chunk, start, end, lines, h1, h2 of the chunks of several lines."""
     ship(docs.sparkSession)
 
     def run(batches):
         for b in batches:
-            row, number, h1, h2 = [], [], [], []
+            found, h1, h2 = [], [], []
             for r, text in enumerate(b.column(2).to_pylist()):
                 if "\n" not in text:
                     continue
                 for k, (start, end, n) in enumerate(chunks(text)):
                     if n >= LEAST:
                         h = xxhash.xxh3_128_digest(text[start:end].encode("utf-8", "replace"))
-                        row.append(r)
-                        number.append(k)
+                        found.append((r, k, start, end, n))
                         h1.append(h[:8])
                         h2.append(h[8:])
+            row, *places = zip(*found, strict=True) if found else [()] * 5
             at = pa.array(row, pa.int64())
             halves = [pa.array(np.frombuffer(b"".join(h), "<i8")) for h in (h1, h2)]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(number, pa.int32()), *halves], ["doc_id", "text_hash", "chunk", "h1", "h2"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), *(pa.array(x, pa.int32()) for x in places), *halves], ["doc_id", "text_hash", *PLACE, "h1", "h2"])
 
-    return _rows(docs).mapInArrow(run, "doc_id long, text_hash long, chunk int, h1 long, h2 long")
+    return _rows(docs).mapInArrow(run, "doc_id long, text_hash long, chunk int, start int, end int, lines int, h1 long, h2 long")
 
 
-def chunk_bytes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The wanted chunks (doc_id, text_hash, chunk): with start, end, lines and bytes."""
-    ship(docs.sparkSession)
-    lists = wanted.groupBy("doc_id", "text_hash").agg(F.collect_set("chunk").alias("chunks"))
+def repeated_chunks(docs: DataFrame, tables: Tables) -> DataFrame:
+    """doc_id, text_hash, chunk, start, end, lines and `first` (the same fields) of every chunk
+    whose hash came before."""
+    made = tables.write(chunk_hashes(docs), "chunk-hashes")
+    place = F.struct(*KEY, *PLACE[1:])
+    firsts = made.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where(F.col("n") > 1)
+    again = made.join(firsts, ["h1", "h2"]).where(place != F.col("first")).select(*KEY, *PLACE[1:], "first").distinct()
+    again = tables.write(again, "chunks-again")
+    tables.drop("chunk-hashes")
+    return again
+
+
+def unequal(spanned: DataFrame, again: DataFrame) -> DataFrame:
+    """Those of `again` whose bytes aren't those of the first chunk with their hash.
+    spanned: doc_id, text, and _spans with the places of all chunks that count."""
+    ship(spanned.sparkSession)
+    texts = spanned.where(F.col("_spans").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), text_hash(F.col("text")).alias("text_hash"), "text", "_spans")
 
     def run(batches):
         for b in batches:
-            found = []
-            for doc, h, text, numbers in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                all_of = chunks(text)
-                for k in sorted(numbers):
-                    start, end, n = all_of[k]
-                    found.append((doc, h, k, start, end, n, text[start:end].encode("utf-8", "replace")))
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
-            columns = zip(*found, strict=True) if found else [[]] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "text_hash", "chunk", "start", "end", "lines", "bytes"])
-
-    rows = _rows(docs).join(lists, ["doc_id", "text_hash"]).select("doc_id", "text_hash", "text", "chunks").dropDuplicates(["doc_id", "text_hash"])
-    return rows.mapInArrow(run, "doc_id long, text_hash long, chunk int, start int, end int, lines int, bytes binary")
-
-
-def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, chunk, start, end, lines of every chunk whose bytes came before."""
-    key = ["doc_id", "text_hash", "chunk"]
-    tables = Tables(docs.sparkSession)
-    made = tables.write(chunk_hashes(docs), "chunk-hashes")
-    firsts = made.groupBy("h1", "h2").agg(F.min(F.struct(*key)).alias("first"), F.count("*").alias("n")).where(F.col("n") > 1)
-    again = tables.write(made.join(firsts, ["h1", "h2"]).where(F.struct(*key) != F.col("first")).select(*key, "first").distinct(), "chunks-again")
-    wanted = again.select(*key).unionByName(again.select("first.*").distinct())
-    texts = tables.write(chunk_bytes(docs, wanted.distinct()), "chunk-bytes")
-    first = texts.select(*(F.col(c).alias(f"f_{c}") for c in key), F.col("bytes").alias("f_bytes"))
-    pairs = again.select(*key, *(F.col(f"first.{c}").alias(f"f_{c}") for c in key))
-    same = pairs.join(first, [f"f_{c}" for c in key]).join(texts, key).where(F.col("bytes") == F.col("f_bytes"))
-    found = tables.write(same.select(*key, "start", "end", "lines"), "chunks-repeated")
-    tables.drop("chunk-hashes", "chunks-again", "chunk-bytes")
-    return found
+            found = [
+                (doc, h, s["chunk"], text[s["start"] : s["end"]].encode("utf-8", "replace"))
+                for doc, h, text, spans in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True)
+                for s in spans
+            ]
+            columns = zip(*found, strict=True) if found else [()] * 4
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], [*KEY, "bytes"])
+
+    own = texts.mapInArrow(run, "doc_id long, text_hash long, chunk int, bytes binary").dropDuplicates(KEY)
+    first = own.select(*(F.col(c).alias(f"f_{c}") for c in KEY), F.col("bytes").alias("f_bytes"))
+    pairs = again.select(*KEY, *(F.col(f"first.{c}").alias(f"f_{c}") for c in KEY))
+    return pairs.join(first, [f"f_{c}" for c in KEY]).join(own, KEY).where(F.col("bytes") != F.col("f_bytes")).select(*KEY)
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """`docs` without repeated chunks of lines; n_chars follows."""
-    found = repeated_chunks(docs).select("doc_id", "text_hash", "start", (F.col("end") + 1).alias("end"))
-    return cut_out(docs, found)
+    """`docs` without repeated chunks of lines; n_chars follows.
+
+    Texts are shuffled once, to the places of their chunks. The rows are then written with
+    these, so that the comparison of bytes and the cut both read them where they are. A
+    candidate whose bytes differ (no 128-bit hashes are known to) takes a join of its own."""
+    tables = Tables(docs.sparkSession)
+    again = repeated_chunks(docs, tables)
+    span = lambda chunk, cut: F.struct(*(chunk(c).alias(c) for c in ("start", "end", "chunk")), F.lit(cut).alias("cut"))
+    own = again.select("doc_id", "text_hash", span(F.col, True).alias("_span"))
+    first = again.select("first.doc_id", "first.text_hash", span(lambda c: F.col(f"first.{c}"), False).alias("_span")).distinct()
+    spans = own.unionByName(first).groupBy("doc_id", "text_hash").agg(F.collect_list("_span").alias("_spans"))
+    spans = spans.select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), "_spans")
+    rows = docs.join(spans, (docs["doc_id"] == spans["_doc"]) & (text_hash(docs["text"]) == spans["_hash"]), "left")
+    rows = tables.write(rows.select(F.struct(*(docs[c] for c in docs.columns)).alias("_row"), "_spans"), "chunked-rows")
+    odd = tables.write(unequal(rows.select("_row.doc_id", "_row.text", "_spans"), again), "chunks-unequal")
+    if not odd.isEmpty():
+        other = odd.groupBy("doc_id", "text_hash").agg(F.collect_set("chunk").alias("_other")).withColumnsRenamed({"doc_id": "_doc", "text_hash": "_hash"})
+        mine = (F.col("_row.doc_id") == F.col("_doc")) & (text_hash(F.col("_row.text")) == F.col("_hash"))
+        kept = F.filter("_spans", lambda s: ~F.coalesce(F.array_contains("_other", s["chunk"]), F.lit(False)))
+        rows = rows.join(other, mine, "left").select("_row", kept.alias("_spans"))
+    tables.drop("chunks-again", "chunks-unequal")
+    cut = F.transform(F.filter("_spans", lambda s: s["cut"]), lambda s: F.struct(s["start"].alias("start"), (s["end"] + 1).alias("end")))
+    text = F.when(F.col("_spans").isNull(), F.col("_row.text")).otherwise(without(F.col("_row.text"), cut))
+    rows = rows.select("_row", text.alias("_text"))
+    new = {"text": F.col("_text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.char_length("_text").cast(docs.schema["n_chars"].dataType)
+    return rows.select(*(new.get(c, F.col("_row")[c]).alias(c) for c in docs.columns))
