@@ -132,12 +132,14 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     rows = docs.join(spans, (docs["doc_id"] == spans["_doc"]) & (text_hash(docs["text"]) == spans["_hash"]), "left")
     rows = tables.write(rows.select(F.struct(*(docs[c] for c in docs.columns)).alias("_row"), "_spans"), "chunked-rows")
     odd = tables.write(unequal(rows.select("_row.doc_id", "_row.text", "_spans"), again), "chunks-unequal")
-    if not odd.isEmpty():
+    if odd.isEmpty():
+        tables.drop("chunks-unequal")
+    else:
         other = odd.groupBy("doc_id", "text_hash").agg(F.collect_set("chunk").alias("_other")).withColumnsRenamed({"doc_id": "_doc", "text_hash": "_hash"})
         mine = (F.col("_row.doc_id") == F.col("_doc")) & (text_hash(F.col("_row.text")) == F.col("_hash"))
         kept = F.filter("_spans", lambda s: ~F.coalesce(F.array_contains("_other", s["chunk"]), F.lit(False)))
         rows = rows.join(other, mine, "left").select("_row", kept.alias("_spans"))
-    tables.drop("chunks-again", "chunks-unequal")
+    tables.drop("chunks-again")
     cut = F.transform(F.filter("_spans", lambda s: s["cut"]), lambda s: F.struct(s["start"].alias("start"), (s["end"] + 1).alias("end")))
     text = F.when(F.col("_spans").isNull(), F.col("_row.text")).otherwise(without(F.col("_row.text"), cut))
     rows = rows.select("_row", text.alias("_text"))

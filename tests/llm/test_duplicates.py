@@ -61,6 +61,17 @@ def test_line_dedup(docs, empty):
     assert linededup.dedup_lines(empty).count() == 0
 
 
+def test_lines_with_equal_hashes_but_other_bytes_stay(spark, docs, monkeypatch):
+    rows = [(k, t, [(0, 3, 0, k > 1)]) for k, t in ((1, "a\nb"), (2, "a\nb"), (3, "a\nc"))]
+    spanned = spark.createDataFrame(rows, "doc_id long, text string, _spans array<struct<start:int,end:int,chunk:int,cut:boolean>>")
+    keyed = spanned.select("doc_id", spans.text_hash(F.col("text")).alias("text_hash"), F.lit(0).alias("chunk"))
+    first = keyed.where("doc_id = 1").select(F.struct("doc_id", "text_hash", "chunk").alias("first"))
+    assert [r.doc_id for r in linededup.unequal(spanned, keyed.where("doc_id > 1").crossJoin(first)).collect()] == [3]
+    monkeypatch.setattr(linededup, "unequal", lambda _, again: again.select(*linededup.KEY))
+    texts = lambda df: sorted((r.text for r in df.where("text is not null").collect()))
+    assert texts(linededup.dedup_lines(docs)) == texts(docs)
+
+
 def test_spans_may_overlap(spark):
     df = spark.createDataFrame([("abcdefgh", [(1, 3), (2, 5), (6, 7)]), ("äö😀x", [(0, 2)]), ("same", [])], "t string, s array<struct<start:int,end:int>>")
     assert [r[0] for r in df.select(spans.without(F.col("t"), F.col("s"))).collect()] == ["afh", "😀x", "same"]
