@@ -184,6 +184,37 @@ def test_repeated_passages(docs, empty):
     assert passages.dedup_passages(empty).count() == 0
 
 
+def test_passage_after_an_earlier_partial_one(spark):
+    """An earlier document with a part of the passage takes the keys; a later one has it twice."""
+    rows = []
+    for k in range(60):
+        passage = prose(900 + k, 60).split()
+        part = passage[:40] if k % 2 else passage[10:50]
+        for j, own in enumerate((part, passage, passage, [*passage, *prose(9000 + k, 70).split(), *passage])):
+            rows.append((10 * k + j, " ".join([*prose(5000 + 10 * k + j, 70).split(), *own, *prose(7000 + 10 * k + j, 70).split()])))
+    found = defaultdict(set)
+    texts = dict(rows)
+    for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        assert r.source < r.doc_id
+        found[r.doc_id] |= set(range(r.start, r.end))
+    for k in range(60):
+        passage = " ".join(prose(900 + k, 60).split())
+        for doc in (10 * k + 2, 10 * k + 3):
+            for m in re.finditer(re.escape(passage), texts[doc]):
+                assert set(range(*m.span())) <= found[doc], doc
+        assert not found[10 * k] and not found[10 * k + 1]
+
+
+def test_range_hashes():
+    words = shingles.mix(np.arange(300, dtype=np.uint64) % np.uint64(70))
+    h = passages.range_hashes(words, 50)
+    own = {}
+    for k, x in enumerate(h.tolist()):
+        assert own.setdefault(tuple(words[k : k + 50].tolist()), x) == x
+    assert len(own) == len(set(own.values())) == 70 and len(passages.range_hashes(words[:49], 50)) == 0
+
+
+
 def test_fingerprints(docs, empty):
     import struct
 
