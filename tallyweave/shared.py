@@ -46,6 +46,10 @@ class Tables:
         self.paths[name] = path
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def read(self, name: str) -> DataFrame:
+        """A table that was written under this name."""
+        return self.spark.read.parquet(self.paths[name])
+
     def drop(self, *names: str) -> None:
         """Deletes the named tables, and lets Spark's cleaner delete the shuffle
         files of finished plans, which it does when the driver collects garbage."""
