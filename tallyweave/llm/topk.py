@@ -9,8 +9,9 @@ the remaining norms) is below the k-th best score known are compacted away.
 
 Edge cases: vectors that are null, or hold nulls or components that aren't finite, take
 no part; missing dimensions of shorter vectors count as zeros; an empty vector scores 0
-with every other; a row is never its own candidate, but a different row with the same
-vec_id is also left out (the id names the vector); rows without vec_id take no part.
+with every other; a row is never its own candidate, but other rows with its vec_id are. A
+vec_id that is given several times is a query for each of its rows, each with ranks of its
+own; rows without vec_id take no part. Columns of any other name don't matter.
 Scores are exact as long as they fit a signed 64-bit integer.
 """
 
@@ -22,11 +23,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyweave.session import ship
+from tallyweave.shared import written
 
 DIM_BLOCK = 16
 CANDIDATES = 16_384
 QUERIES = 4_096
-OUT = "query_id long, vec_id long, score long"
+OUT = "query_row long, query_id long, vec_id long, score long, row long"
 
 
 def usable(vector: Column) -> Column:
@@ -49,15 +51,15 @@ def _matrix(vectors: pd.Series, dims: int) -> np.ndarray:
 
 
 def search_block(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The k best of `rows` for each of `queries` (columns vec_id, v); ties to smaller ids."""
+    """The k best of `rows` for each of `queries` (columns row, vec_id, v); ties to smaller ids."""
     if not len(queries) or not len(rows):
-        return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
+        return pd.DataFrame({c.split()[0]: [] for c in OUT.split(", ")}, dtype="int64")
     dims = max(max(map(len, queries.v)), max(map(len, rows.v)), 1)
     q, c = _matrix(queries.v, dims), _matrix(rows.v, dims)
-    ids = rows.vec_id.to_numpy(np.int64)
+    ids, names = rows.vec_id.to_numpy(np.int64), rows.row.to_numpy(np.int64)
     norms = np.sqrt((c.astype(np.float64) ** 2).sum(0))
     order = np.lexsort((ids, -norms))  # long vectors first: they tend to raise the k-th best early
-    c, ids = np.ascontiguousarray(c[:, order]), ids[order]
+    c, ids, names = np.ascontiguousarray(c[:, order]), ids[order], names[order]
     exact = float(np.abs(q).max()) * float(np.abs(c).max()) * dims < 2**53
     work = np.float64 if exact else np.int64  # doubles hold these sums exactly, and are faster
     q, c = q.astype(work), c.astype(work)
@@ -66,11 +68,11 @@ def search_block(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFr
     q_left, c_left = left(q), left(c)
     first = min(len(ids), max(256, 4 * k))
     found = []
-    for j, own in enumerate(queries.vec_id.to_numpy(np.int64)):
+    for j, (own, query) in enumerate(zip(queries.row.to_numpy(np.int64), queries.vec_id.to_numpy(np.int64), strict=True)):
         head = q[:, j] @ c[:, :first]
-        head = head[ids[:first] != own]
+        head = head[names[:first] != own]
         floor = np.partition(head, len(head) - k)[len(head) - k] if len(head) >= k else None
-        live, score = np.flatnonzero(ids != own), None
+        live, score = np.flatnonzero(names != own), None
         for s in starts:
             e = min(s + DIM_BLOCK, dims)
             block = c[s:e] if len(live) == c.shape[1] else c[s:e][:, live]
@@ -84,8 +86,8 @@ def search_block(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFr
                 if len(score) > 4 * k and e > s:  # the k-th best of lower bounds
                     low = score - q_left[e, j] * c_left[e, live] * (1 + 1e-9) - 1
                     floor = max(floor, np.partition(low, len(low) - k)[len(low) - k])
-        best = np.lexsort((ids[live], -score))[:k]
-        found.append(pd.DataFrame({"query_id": own, "vec_id": ids[live][best], "score": score[best].astype(np.int64)}))
+        best = np.lexsort((names[live], ids[live], -score))[:k]
+        found.append(pd.DataFrame({"query_row": own, "query_id": query, "vec_id": ids[live][best], "score": score[best].astype(np.int64), "row": names[live][best]}))
     return pd.concat(found, ignore_index=True)
 
 
@@ -96,18 +98,19 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024)
     rows = vectors.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).select(
         F.col("vec_id").cast("long").alias("vec_id"), scaled(F.col("embedding"), scale).alias("v"), is_query.alias("is_query")
     )
-    n = vectors.count()
-    across, down = max(1, -(-n // CANDIDATES)), max(1, -(-vectors.where(is_query).count() // QUERIES))
-    block = lambda n, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(n)).cast("int")
+    rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "vectors")  # written, so that a row keeps its number
+    n = rows.agg(F.count("*"), F.count_if("is_query")).first()
+    across, down = max(1, -(-n[0] // CANDIDATES)), max(1, -(-n[1] // QUERIES))
+    block = lambda n, seed: F.pmod(F.xxhash64("row", F.lit(seed)), F.lit(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    candidates = rows.select("vec_id", "v", block(across, 1).alias("a"), each(down).alias("d"))
-    queries = rows.where("is_query").select("vec_id", "v", block(down, 2).alias("d"), each(across).alias("a"))
+    candidates = rows.select("row", "vec_id", "v", block(across, 1).alias("a"), each(down).alias("d"))
+    queries = rows.where("is_query").select("row", "vec_id", "v", block(down, 2).alias("d"), each(across).alias("a"))
 
     def cell(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         return search_block(left, right, k)
 
     best = queries.groupBy("a", "d").cogroup(candidates.groupBy("a", "d")).applyInPandas(cell, OUT)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row")
     return (
         best.withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= k)
