@@ -8,7 +8,7 @@ candidates, and one is removed if its bytes equal those of the first.
 
 Edge cases: null and empty texts stay as they are; texts of one line have no chunk of
 several lines and stay; rows without doc_id stay; the same row given twice counts as one
-and stays twice. The line break at the end of the last line doesn't count.
+and stays twice; columns of any other name may stand beside. The line break at the end of the last line doesn't count.
 """
 
 from __future__ import annotations
@@ -19,9 +19,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyweave.llm.spans import text_hash, without
+from tallyweave.llm.spans import text_hash, with_text, without
 from tallyweave.session import ship
 from tallyweave.shared import Tables
+from tallyweave.skew import salted_join
 
 #: Lines that the rolling hash covers; one in DIVISOR places is a cut; least and most lines of a chunk.
 WINDOW, DIVISOR, LEAST, MOST = 2, 3, 2, 32
@@ -87,9 +88,10 @@ def repeated_chunks(docs: DataFrame, tables: Tables) -> DataFrame:
     made = tables.write(chunk_hashes(docs), "chunk-hashes")
     place = F.struct(*KEY, *PLACE[1:])
     firsts = made.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where(F.col("n") > 1)
-    again = made.join(firsts, ["h1", "h2"]).where(place != F.col("first")).select(*KEY, *PLACE[1:], "first").distinct()
+    firsts = tables.write(firsts, "chunk-firsts")
+    again = salted_join(made, firsts.drop("n"), ["h1", "h2"], KEY, firsts).where(place != F.col("first")).select(*KEY, *PLACE[1:], "first").distinct()
     again = tables.write(again, "chunks-again")
-    tables.drop("chunk-hashes")
+    tables.drop("chunk-hashes", "chunk-firsts")
     return again
 
 
@@ -113,7 +115,7 @@ def unequal(spanned: DataFrame, again: DataFrame) -> DataFrame:
     own = texts.mapInArrow(run, "doc_id long, text_hash long, chunk int, bytes binary").dropDuplicates(KEY)
     first = own.select(*(F.col(c).alias(f"f_{c}") for c in KEY), F.col("bytes").alias("f_bytes"))
     pairs = again.select(*KEY, *(F.col(f"first.{c}").alias(f"f_{c}") for c in KEY))
-    return pairs.join(first, [f"f_{c}" for c in KEY]).join(own, KEY).where(F.col("bytes") != F.col("f_bytes")).select(*KEY)
+    return salted_join(pairs, first, [f"f_{c}" for c in KEY], KEY).join(own, KEY).where(F.col("bytes") != F.col("f_bytes")).select(*KEY)
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -128,9 +130,9 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     own = again.select("doc_id", "text_hash", span(F.col, True).alias("_span"))
     first = again.select("first.doc_id", "first.text_hash", span(lambda c: F.col(f"first.{c}"), False).alias("_span")).distinct()
     spans = own.unionByName(first).groupBy("doc_id", "text_hash").agg(F.collect_list("_span").alias("_spans"))
-    spans = spans.select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), "_spans")
-    rows = docs.join(spans, (docs["doc_id"] == spans["_doc"]) & (text_hash(docs["text"]) == spans["_hash"]), "left")
-    rows = tables.write(rows.select(F.struct(*(docs[c] for c in docs.columns)).alias("_row"), "_spans"), "chunked-rows")
+    spans = spans.withColumnsRenamed({"doc_id": "_doc", "text_hash": "_hash"})
+    packed = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long").alias("_doc"), text_hash(F.col("text")).alias("_hash"))
+    rows = tables.write(packed.join(spans, ["_doc", "_hash"], "left").select("_row", "_spans"), "chunked-rows")
     odd = tables.write(unequal(rows.select("_row.doc_id", "_row.text", "_spans"), again), "chunks-unequal")
     if odd.isEmpty():
         tables.drop("chunks-unequal")
@@ -142,8 +144,4 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     tables.drop("chunks-again")
     cut = F.transform(F.filter("_spans", lambda s: s["cut"]), lambda s: F.struct(s["start"].alias("start"), (s["end"] + 1).alias("end")))
     text = F.when(F.col("_spans").isNull(), F.col("_row.text")).otherwise(without(F.col("_row.text"), cut))
-    rows = rows.select("_row", text.alias("_text"))
-    new = {"text": F.col("_text")}
-    if "n_chars" in docs.columns:
-        new["n_chars"] = F.char_length("_text").cast(docs.schema["n_chars"].dataType)
-    return rows.select(*(new.get(c, F.col("_row")[c]).alias(c) for c in docs.columns))
+    return with_text(rows.select(F.col("_row").alias("row"), text.alias("text")), docs)

@@ -28,13 +28,17 @@ def without(text: Column, spans: Column) -> Column:
 def cut_out(docs: DataFrame, found: DataFrame) -> DataFrame:
     """`docs` with the spans of `found` (doc_id, text_hash, start, end) cut from their texts
     and n_chars brought up to date. Other columns stay, whatever their names are."""
-    spans = found.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"))).alias("_spans"))
-    spans = spans.select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), "_spans")
-    joined = docs.join(spans, (docs["doc_id"] == spans["_doc"]) & (text_hash(docs["text"]) == spans["_hash"]), "left")
-    text = F.when(F.col("_spans").isNull(), docs["text"]).otherwise(without(docs["text"], F.col("_spans")))
-    own = [c for c in docs.columns if c not in ("text", "n_chars")]
-    joined = joined.select(*(docs[c] for c in own), text.alias("text"), *([docs["n_chars"].alias("_n_chars")] if "n_chars" in docs.columns else []))
+    place = F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"))
+    spans = found.groupBy(F.col("doc_id").cast("long").alias("doc"), F.col("text_hash").alias("hash")).agg(F.collect_set(place).alias("spans"))
+    # the row is packed, so no name of its columns can clash
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc"), text_hash(F.col("text")).alias("hash"))
+    rows = rows.join(spans, ["doc", "hash"], "left").select("row", F.when(F.col("spans").isNull(), F.col("row.text")).otherwise(without(F.col("row.text"), F.col("spans"))).alias("text"))
+    return with_text(rows, docs)
+
+
+def with_text(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of `docs` from rows of (row, text): its new text, and n_chars as it is now."""
+    new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        joined = joined.withColumn("n_chars", F.char_length("text").cast(kind)).drop("_n_chars")
-    return joined.select(*docs.columns)
+        new["n_chars"] = F.char_length("text").cast(docs.schema["n_chars"].dataType)
+    return rows.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
