@@ -11,7 +11,8 @@ that of its path, which is taken without the document itself.
 Edge cases: null and empty texts have figures of zero; a null host or path is a site of its
 own; rows without doc_id are scored like all others; labels that are null or have no
 document don't count; if no label of one kind is left, the evidence is the labelled share
-(1.0 without labels) for all. Repeated rows each count.
+(1.0 without labels) for all. Repeated rows each count. Texts of any length are read whole, one
+at a time; columns of any other name may stand beside.
 """
 
 from __future__ import annotations
@@ -61,19 +62,19 @@ def figures(text: str) -> list[float]:
     ]
 
 
-def with_figures(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """The given columns with `figures`, array<double>."""
-    ship(docs.sparkSession)
-    schema = T.StructType([*(docs.schema[c] for c in columns), T.StructField("figures", T.ArrayType(T.DoubleType()))])
+def with_figures(rows: DataFrame) -> DataFrame:
+    """Rows of (row, text) as (row, figures array<double>)."""
+    ship(rows.sparkSession)
+    schema = T.StructType([rows.schema["row"], T.StructField("figures", T.ArrayType(T.DoubleType()))])
 
     def run(batches):
         for b in batches:
-            made = [figures(t or "") for t in b.column(b.num_columns - 1).to_pylist()]
+            made = [figures(b.column(1)[k].as_py() or "") for k in range(b.num_rows)]  # a text at a time
             flat = pa.array(np.array(made, np.float64).reshape(-1))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(made) + 1, dtype=np.int32) * len(FIGURES)), flat)
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(columns)], lists], [*columns, "figures"])
+            yield pa.RecordBatch.from_arrays([b.column(0), lists], ["row", "figures"])
 
-    return docs.select(*columns, F.col("text").alias("_text")).mapInArrow(run, schema)
+    return rows.select("row", "text").mapInArrow(run, schema)
 
 
 def train(figured: DataFrame, labels: DataFrame) -> list[float]:
@@ -137,23 +138,34 @@ def site_shares(scored: DataFrame, host: str, path: str) -> tuple[DataFrame, flo
 
 
 def score(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang") -> DataFrame:
-    """`docs` with _evidence, _host_share, _path_share, _posterior (all double)."""
-    figured = written(with_figures(docs, ["doc_id", host, path]), "quality-figures")
+    """`docs` with _evidence, _host_share, _path_share, _posterior (all double); none of its columns
+    may have one of these four names."""
+    scored = posteriors(docs, labels, host, path)
+    return scored.select("row.*", *(F.col(c).alias(f"_{c}") for c in ("evidence", "host_share", "path_share", "posterior")))
+
+
+def posteriors(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang") -> DataFrame:
+    """(row, evidence, host_share, path_share, posterior): `row` is a struct of a document's columns,
+    so none of their names can clash.
+
+    The figures are computed twice: rows have no key of their own to join them by, and writing all
+    texts with them would cost more than reading them again."""
+    key = F.struct(F.col("doc_id").alias("doc_id"), F.col(host).alias("host"), F.col(path).alias("path"))
+    figured = written(with_figures(docs.select(key.alias("row"), "text")).select("row.*", "figures"), "quality-figures")
     model = train(figured, labels)
-    sites, share = site_shares(figured.select(host, path, evidence(F.col("figures"), model).alias("p")), host, path)
+    sites, share = site_shares(figured.select("host", "path", evidence(F.col("figures"), model).alias("p")), "host", "path")
     sites = written(sites, "quality-sites").select(
-        F.col(host).alias("_h"), F.col(path).alias("_p"), F.col("n").alias("_n"), F.col("good").alias("_good"), F.col("towards").alias("_host_share"), F.col("strength").alias("_k")
+        F.col("host").alias("h"), F.col("path").alias("p"), "n", "good", F.col("towards").alias("host_share"), F.col("strength").alias("k")
     )
     sites = F.broadcast(sites) if sites.count() <= SITES else sites
-    rows = with_figures(docs, docs.columns).withColumn("_evidence", evidence(F.col("figures"), model))
-    rows = rows.join(sites, rows[host].eqNullSafe(sites["_h"]) & rows[path].eqNullSafe(sites["_p"]), "left")
-    own = (F.col("_good") - F.col("_evidence") + F.col("_k") * F.col("_host_share")) / (F.col("_n") - 1 + F.col("_k"))
-    rows = rows.withColumn("_path_share", F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), own)))
-    odds = F.col("_evidence") / (1 - F.col("_evidence")) * F.col("_path_share") / (1 - F.col("_path_share")) * F.lit((1 - share) / share)
-    rows = rows.withColumn("_posterior", odds / (1 + odds))
-    return rows.select(*docs.columns, "_evidence", "_host_share", "_path_share", "_posterior")
+    rows = with_figures(docs.select(F.struct(*docs.columns).alias("row"), "text")).select("row", evidence(F.col("figures"), model).alias("evidence"))
+    rows = rows.join(sites, F.col("row")[host].eqNullSafe(F.col("h")) & F.col("row")[path].eqNullSafe(F.col("p")), "left")
+    own = (F.col("good") - F.col("evidence") + F.col("k") * F.col("host_share")) / (F.col("n") - 1 + F.col("k"))
+    rows = rows.withColumn("path_share", F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), own)))
+    odds = F.col("evidence") / (1 - F.col("evidence")) * F.col("path_share") / (1 - F.col("path_share")) * F.lit((1 - share) / share)
+    return rows.select("row", "evidence", "host_share", "path_share", (odds / (1 + odds)).alias("posterior"))
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, least: float = KEEP) -> DataFrame:
     """The rows of `docs` whose posterior is at least `least`."""
-    return score(docs, labels).where(F.col("_posterior") >= least).select(*docs.columns)
+    return posteriors(docs, labels).where(F.col("posterior") >= least).select("row.*")

@@ -69,6 +69,21 @@ def test_exact_search(spark):
     assert topk.top_k(df.where("vec_id < 0"), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_search_with_repeated_query_rows(spark):
+    rng = np.random.default_rng(6)
+    vectors = [(i, rng.normal(0, 1, 8).tolist()) for i in range(300)]
+    vectors += [vectors[100], (200, rng.normal(0, 1, 8).tolist())]  # the same row again, and another one under a used id
+    df = spark.createDataFrame([(i, v, 1, 2) for i, v in vectors], "vec_id long, embedding array<float>, row int, is_query int")
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(df, F.col("vec_id") % 100 == 0, 10).collect())
+    scaled = [(i, [int(np.floor(1024 * float(np.float32(x)))) for x in v]) for i, v in vectors]
+    want = []
+    for q, (i, x) in enumerate(scaled):
+        if i % 100 == 0:
+            best = sorted((-sum(a * b for a, b in zip(x, y, strict=True)), j) for c, (j, y) in enumerate(scaled) if c != q)[:10]
+            want += [(i, r + 1, j, -s) for r, (s, j) in enumerate(best)]
+    assert got == sorted(want) and len(got) == 50
+
+
 def test_large_components_stay_exact(spark):
     df = spark.createDataFrame([(i, [float(2**20 + i), -float(2**19 - 7 * i)]) for i in range(0, 300)], "vec_id long, embedding array<double>")
     got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(df, F.col("vec_id") % 100 == 0, 3).collect())
