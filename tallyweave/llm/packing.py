@@ -4,9 +4,9 @@ Documents are cut only if they are longer than a sequence. Pieces are dealt at r
 blocks of bounded size. A block is packed best-fit decreasing and then improved by local
 search: pieces of the emptiest sequence are moved, or exchanged one for one or two for one,
 into other underfull sequences, each step raising the sum of squared fills, until it is
-empty. Sequences that are still not filled are pooled with those of other blocks and packed
-anew, in fewer blocks each time, until one block has taken the rest; so every piece is
-packed, and the waste doesn't grow with the number of blocks.
+empty. Sequences that are still not filled are pooled with those of other blocks, dealt anew
+and packed again, as long as that saves sequences. A block never has more than about BLOCK
+pieces: where pieces don't combine (all of 3,000 tokens), the rounds end with many blocks.
 
 Edge cases: a null or empty text is a piece with only the end id; rows without doc_id are
 left out; repeated rows are pieces of their own; an empty table has no sequences.
@@ -79,48 +79,73 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def _exchange(low: list[int], high: list[int], lengths: list[int], room: int) -> tuple[int, list[int], list[int]]:
-    """The best step that fills `high` by at most `room`: (gain, items from low, item to low)."""
-    best: tuple[int, list[int], list[int]] = (0, [], [])
-    sizes = [(lengths[i], i) for i in low]
-    back = [(0, None)] + [(lengths[j], j) for j in high]
-    pairs = [(a + b, [i, j]) for k, (a, i) in enumerate(sizes) for b, j in sizes[k + 1 :]] if len(sizes) <= 40 else []
-    for give, items in [(a, [i]) for a, i in sizes] + pairs:
-        for take, j in back:
-            if best[0] < give - take <= room and (j is not None or len(items) == 1):
-                best = (give - take, items, [] if j is None else [j])
-                if best[0] == room:
-                    return best
-    return best
+def _steps(low: list[int], lengths: list[int]) -> dict[int, list[int]]:
+    """One or two items of a bin for each total length that they can have."""
+    one = {lengths[i]: [i] for i in low}
+    by_length: dict[int, list[int]] = {}
+    for i in low:
+        by_length.setdefault(lengths[i], []).append(i)
+    sizes = sorted(by_length)
+    for k, a in enumerate(sizes):
+        for b in sizes[k:]:
+            if a + b not in one and (a != b or len(by_length[a]) > 1):
+                one[a + b] = [by_length[a][0], by_length[b][0 if a != b else 1]]
+    return one
 
 
 def improve(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
-    """Local search from the emptiest bin on, until no bin can be emptied or none needs to be."""
-    fill = [sum(lengths[i] for i in b) for b in bins]
-    least = -(-sum(fill) // capacity)
-    live = sorted((k for k in range(len(bins)) if fill[k] < capacity), key=lambda k: fill[k])
-    used = len(bins)
-    while used > least and len(live) > 1:
-        low = live.pop(0)
-        stuck = False
-        while bins[low] and not stuck:
-            stuck = True
-            for high in sorted(live, key=lambda k: -fill[k]):
-                room = capacity - fill[high]
-                if not room or fill[high] < fill[low]:
-                    continue
-                gain, given, taken = _exchange(bins[low], bins[high], lengths, room)
-                if gain:
-                    bins[low] = [i for i in bins[low] if i not in given] + taken
-                    bins[high] = [i for i in bins[high] if i not in taken] + given
-                    fill[low] -= gain
-                    fill[high] += gain
-                    stuck = False
-                if not bins[low]:
-                    break
-        if not bins[low]:
-            used -= 1
-        live = [k for k in live if fill[k] < capacity]
+    """Local search from the emptiest bin on, until no bin can be emptied or none needs to be.
+
+    A step gives one or two items of the emptiest bin to a fuller one, for one of its items or
+    none. As only lengths matter, it is looked up in a table of the most room that any bin
+    with an item of a length has (0: no item), not in all pairs of bins."""
+    size = np.array(lengths, np.int64)
+    bin_of = np.zeros(len(lengths), np.int64)
+    for b, items in enumerate(bins):
+        bin_of[items] = b
+    fill = np.bincount(bin_of, weights=size, minlength=len(bins)).astype(np.int64)
+    least = -(-int(fill.sum()) // capacity)
+    used, open_ = len(bins), fill < capacity
+    for low in np.argsort(fill, kind="stable").tolist():
+        if used <= least:
+            break
+        if not open_[low] or not bins[low]:
+            continue
+        open_[low] = False
+        while bins[low]:
+            room = np.where(open_ & (fill >= fill[low]), capacity - fill, 0)
+            most = np.zeros(capacity + 1, np.int64)
+            most[0] = room.max(initial=0)
+            np.maximum.at(most, size, room[bin_of])
+            steps = _steps(bins[low], lengths)
+            give = np.array(sorted(steps), np.int64)
+            best = (0, 0, 0)  # gain, given, taken
+            for g in give.tolist():
+                take = most[: min(g, capacity + 1)]
+                gains = g - np.arange(len(take))
+                fits = np.flatnonzero((gains <= take) & ((gains < g) | (len(steps[g]) == 1)))
+                if len(fits):
+                    best = max(best, (int(gains[fits[0]]), g, int(fits[0])))
+            gain, given, taken = best
+            if not gain:
+                break
+            if taken:
+                there = np.flatnonzero((size == taken) & (room[bin_of] >= gain))
+                j = int(there[np.argmin(room[bin_of[there]])])
+                high = int(bin_of[j])
+            else:
+                there = np.flatnonzero(room >= gain)
+                j, high = None, int(there[np.argmin(room[there])])
+            items = steps[given]
+            bins[low] = [i for i in bins[low] if i not in items] + ([] if j is None else [j])
+            bins[high] = [i for i in bins[high] if i != j] + items
+            bin_of[items] = high
+            if j is not None:
+                bin_of[j] = low
+            fill[low] -= gain
+            fill[high] += gain
+            open_[high] = fill[high] < capacity
+        used -= not bins[low]
     return [b for b in bins if b]
 
 
@@ -157,20 +182,20 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     done = [rest.where(whole).select(*pieces.columns, (-1 - F.col("_row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
     rest = rest.where(~whole)
     schema = T.StructType([*pieces.schema.fields, *(T.StructField(c, T.LongType()) for c in ("_row", "sequence_id", "offset", "fill"))])
-    n, base, blocks = rest.count(), 0, 0
+    n, base, before = rest.count(), 0, None
     while n:
-        blocks = -(-n // BLOCK) if not blocks else blocks // 16 or 1
-
+        blocks = -(-n // BLOCK)
         dealt = rest.withColumn("_block", F.pmod(F.xxhash64("_row", F.lit(base)), F.lit(blocks)))
         packed = written(dealt.groupBy("_block").applyInPandas(_packer(base, blocks, capacity), schema), "packed")
         base += blocks
-        if blocks == 1:
-            done.append(packed.select(*columns))
-            break
         filled = F.col("fill") >= FILLED * capacity
+        unfilled = packed.where(~filled)
+        now = unfilled.agg(F.count("*").alias("n"), F.count_if(F.col("offset") == 0).alias("bins")).first()
+        if blocks == 1 or not now.n or before is not None and now.bins >= before:
+            done.append(packed.select(*columns))  # one block, or a round that saved no sequence
+            break
         done.append(packed.where(filled).select(*columns))
-        rest = packed.where(~filled).select(*pieces.columns, "_row")
-        n = rest.count()
+        rest, n, before = unfilled.select(*pieces.columns, "_row"), now.n, now.bins
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
