@@ -12,7 +12,8 @@ A task writes under a name of its own, and only the names that successful tasks
 are read, so repeated tasks do no harm.
 
 Edge cases: a null or empty text has only the end id; repeated doc_ids are all kept, in
-order of their texts; rows without doc_id are left out; an empty table gives no data file.
+order of their texts; rows without doc_id are left out; an empty table gives no data file; other columns don't
+matter. Folders are opened by Arrow, so they need a scheme that it knows (file, hdfs, s3, gs).
 """
 
 from __future__ import annotations
@@ -70,6 +71,15 @@ def train(samples: list[bytes]) -> bytes:
         return b""
 
 
+def sample_ids(rows: DataFrame) -> list[int]:
+    """The ids with the least hashes, SAMPLE_DOCS at most. Only ids with hashes under a bound that
+    about twice as many have leave their tasks, and no texts."""
+    h = F.xxhash64("doc_id")
+    share = min(1.0, 2 * SAMPLE_DOCS / max(1, rows.count()))
+    low = rows.where(h <= F.lit(min(2**63 - 1, int(-(2**63) + share * (2**64 - 1))))).select("doc_id", h.alias("h")).distinct()
+    return [r.doc_id for r in low.orderBy("h", "doc_id").limit(SAMPLE_DOCS).collect()]
+
+
 def write(docs: DataFrame, folder: str, end: int = 2, vocabulary: str | None = None) -> Files:
     """Encodes all documents and writes them to the new folder."""
     spark = docs.sparkSession
@@ -78,7 +88,7 @@ def write(docs: DataFrame, folder: str, end: int = 2, vocabulary: str | None = N
 
     width = 2 if Tokenizer.from_file(words.place(vocabulary)).get_vocab_size() <= 1 << 16 else 4
     rows = words.documents(docs)
-    some = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).select("doc_id", F.substring("text", 1, 4 * SAMPLE_BYTES).alias("text"))
+    some = rows.where(F.col("doc_id").isin(sample_ids(rows))).limit(SAMPLE_DOCS).select("doc_id", F.substring("text", 1, 4 * SAMPLE_BYTES).alias("text"))
     sample = words.token_ids(some, vocabulary, end).collect()
     raw = train([np.frombuffer(r.ids, "<u4").astype(f"<u{width}").tobytes()[:SAMPLE_BYTES] for r in sample])
     own, base = _fs(folder)
