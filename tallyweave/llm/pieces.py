@@ -5,7 +5,10 @@ another character, nor holds a line break, so text is cut there and each differe
 encoded once. All new words of a group lie in flat numpy arrays of symbols. A round finds
 each word's minimum pair rank by a segmented minimum, merges the leftmost such pair of every
 word at once, and compacts the arrays; words without a mergeable pair leave. This is the
-order in which the library's queue merges: best score first, then leftmost.
+order in which the library's queue merges: best score first, then leftmost. Where no pair with
+the piece that a merge makes could come before that merge's own rank, all pairs of the word with
+this rank are merged in the round, from the left: the queue would do the same one after another.
+So a long text without spaces takes a round for each rank in it, not for each merge.
 
 Edge cases: null and empty texts have no ids and decode to the empty string. Characters
 outside the vocabulary become the ids of their UTF-8 bytes.
@@ -76,8 +79,15 @@ class Codec:
         self.keys = keys if len(keys) else np.array([-1])
         self.ranks = np.array([pairs[k][0] for k in keys.tolist()] or [NEVER], dtype=np.int32)
         self.merged = np.array([pairs[k][1] for k in keys.tolist()] or [0], dtype=np.int64)
+        self.last = last = np.full(self.size, NEVER, np.int64)  # the least rank of the pairs that a symbol is in
+        for k in (self.keys // self.size, self.keys % self.size):
+            np.minimum.at(last, k[self.keys >= 0], self.ranks[self.keys >= 0])
         self.words = Pieces(self.encode_words, limit=250_000)
 
+    def _later(self, symbols: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+        """Whether all pairs with the symbols have a higher rank than `ranks`."""
+        return self.last[symbols] > ranks
+
     def _pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and merged symbol of each pair; NEVER where the two don't merge."""
         key = np.where((left < self.size) & (right < self.size), left * self.size + right, -2)
@@ -109,7 +119,16 @@ class Codec:
                 if not len(symbols):
                     break
             hits = np.flatnonzero(rank == np.repeat(best, counts))
-            at = hits[np.concatenate([[True], word[hits[1:]] != word[hits[:-1]]])]  # leftmost of each word
+            leftmost = np.concatenate([[True], word[hits[1:]] != word[hits[:-1]]])
+            if len(hits) > leftmost.sum():
+                # all hits of a word whose merged symbols come later: every other one of a run of neighbours
+                apart = np.concatenate([[True], np.diff(hits) > 1]) | leftmost
+                run = np.maximum.accumulate(np.where(apart, np.arange(len(hits)), 0))
+                later = self._later(to[hits], rank[hits])
+                group = np.cumsum(leftmost) - 1
+                safe = np.logical_and.reduceat(later, np.flatnonzero(leftmost))[group]
+                leftmost |= safe & ((np.arange(len(hits)) - run) % 2 == 0)
+            at = hits[leftmost]
             symbols[at] = to[at]
             keep = np.ones(len(symbols), bool)
             keep[at + 1] = False
