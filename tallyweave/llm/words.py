@@ -37,9 +37,22 @@ class Words:
         self.lib = Tokenizer.from_file(vocabulary)
         marks = self._library([MARK, f"a {MARK} b", f"a{MARK}b"])
         self.mark = marks[0][0] if len(marks[0]) == 1 and all(x.count(marks[0][0]) == 1 for x in marks) else None
+        self.cut = self._fits()
         self.parts = Pieces(self._encode_parts)
         self.chunks = Pieces(self._encode_chunks)
 
+    def _fits(self) -> bool:
+        """Whether the vocabulary does what the module's text says of it, so that texts may be cut;
+        if it doesn't, they are encoded whole."""
+        samples = ["The Cat, saw", "ÉTÉ  à\nParis!", "x9 y\tZ#", "don't STOP..."]
+        for text, ids in zip(samples, self._library(samples), strict=True):
+            parts = [p for w in re.split(r"[ \n]+", text) for p in re.findall(r"[^\W\d_]+|[.,;:!?|$#*&%]+|.", w)]
+            if "'" not in text and (ids != self._library([text.lower()])[0] or ids != [i for x in self._library(parts) for i in x]):
+                return False
+            if ids != [i for x in self._library([w for w in re.split(r"[ \n]+", text) if w]) for i in x]:
+                return False
+        return self.mark is not None
+
     def _library(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -76,6 +89,9 @@ class Words:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, and each text's count."""
+        if not self.cut:
+            ids = self._library(texts)
+            return np.array([i for x in ids for i in x], np.int64), np.fromiter(map(len, ids), np.int64, len(ids))
         return self.chunks.ids([[w for w in t.replace("\n", " ").split(" ") if w] for t in texts])
 
 

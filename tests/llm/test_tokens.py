@@ -44,6 +44,49 @@ def test_piece_ids_and_texts_are_the_librarys():
         assert own.decode(ids) == PIECE.decode(ids)
 
 
+def test_long_text_without_spaces_is_the_librarys():
+    own = pieces.Codec(public_tokenizers.path("piece_bpe_32k.model"))
+    r = random.Random(11)
+    texts = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=30_000)), "ab" * 20_000, "aaab" * 5_000, "".join(r.choices("etaoinshr", k=20_000))]
+    flat, counts = own.encode(texts)
+    assert [x.tolist() for x in np.split(flat, np.cumsum(counts)[:-1])] == PIECE.encode(texts)
+
+
+def test_other_vocabularies_are_encoded_whole(tmp_path):
+    from tokenizers import models, pre_tokenizers
+
+    lib = Tokenizer(models.BPE({c: k for k, c in enumerate("abcABC 0")}, []))
+    lib.pre_tokenizer = pre_tokenizers.Split("b", "isolated")
+    lib.save(str(tmp_path / "cased.json"))
+    own = words.Words(str(tmp_path / "cased.json"))
+    assert not own.cut and own.encode(["aB Ab", "", "0c"])[0].tolist() == [i for t in ("aB Ab", "0c") for i in lib.encode(t).ids]
+    assert words.Words(words.place(None)).cut
+
+
+def test_pieces_that_do_not_combine_stay_in_bounded_blocks(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BLOCK", 50)
+    rows = spark.range(400).selectExpr("id as doc_id", "cast(0 as int) as piece", "0L as start", "3000L + id % 7 as length", "0L as ids_crc32")
+    got = packing.pack(rows).collect()
+    assert len({r.sequence_id for r in got}) == len(got) == 400
+
+
+def test_local_search_is_fast_where_nothing_fits():
+    import time
+
+    began = time.time()
+    r = random.Random(2)
+    lengths = [r.randrange(2100, 4000) for _ in range(4000)]
+    assert len(packing.improve(packing.best_fit(lengths, 4096), lengths, 4096)) == 4000
+    assert time.time() - began < 60
+
+
+def test_two_for_one_in_bins_of_many_items():
+    lengths = [2, 3] * 30 + [5] + [90, 6]
+    bins = packing.improve([[*range(60)], [60], [61, 62]], lengths, 160)
+    assert sorted(i for b in bins for i in b) == list(range(63))
+    assert all(sum(lengths[i] for i in b) <= 160 for b in bins) and len(bins) == 2
+
+
 def test_sentencepiece_frame(docs, empty):
     got = pieces.decode(pieces.encode(docs)).collect()
     texts = {(r.doc_id, r.text) for r in docs.collect()}
