@@ -6,9 +6,11 @@ fall on the signature's slots in an order of its own, each slot once, and a slot
 shingle that arrives first. A shingle stops as soon as it is later than all slots of its
 document. Two slots agree with the probability of the probability Jaccard likeness.
 
-Signatures are cut into bands; equal bands make candidates. In each bucket every document
-is compared with the bucket's first one (a star, not all pairs), on the whole sets of
-shingles. The links found make classes. Documents of different classes that still share a
+Signatures are cut into bands; equal bands make candidates. A text that repeats shingles has the
+bands of a signature with equal weights too (its slots agree with the probability of the Jaccard
+likeness of the sets, which is what a link is defined by), so repetitions hide no link. In each
+bucket every document is compared with the bucket's first one (a star, not all pairs), on the
+whole sets of shingles. The links found make classes. Documents of different classes that still share a
 bucket are then compared with each other, except where their sizes, or the number of places
 where the parities of their sets differ (no more than the shingles that only one has), prove
 that they can't be alike. So no candidate pair is left out: it is in one class, was compared,
@@ -20,7 +22,8 @@ least doc_id.
 
 Edge cases: a null text counts as empty; empty texts are copies of each other; texts of one
 to four words are one shingle. Rows without doc_id are left out; rows that share a doc_id
-are one document: what one of their texts is linked to, all of them are.
+are one document: what one of their texts is linked to, all of them are. Columns of any other
+name don't matter.
 """
 
 from __future__ import annotations
@@ -34,6 +37,7 @@ from tallyweave.llm import ragged, shingles
 from tallyweave.operators.components import components
 from tallyweave.session import ship
 from tallyweave.shared import Tables, written
+from tallyweave.skew import salted_join
 
 SLOTS, BANDS, ROWS = 128, 24, 5
 LEAST = 0.8
@@ -90,9 +94,13 @@ def sketch(docs: DataFrame) -> DataFrame:
             for lo, hi, texts in ragged.groups(b.column(3)):
                 words, counts = hashed.of([t.split() for t in texts])
                 h, text, often = shingles.distinct(*shingles.shingles(words, counts))
-                kept = signatures(h, text, 1 + np.log(often), hi - lo)
-                keys = band_keys(kept)
+                keys = band_keys(signatures(h, text, 1 + np.log(often), hi - lo))
                 full = np.bincount(text, minlength=hi - lo) > 0
+                again = np.bincount(text[often > 1], minlength=hi - lo) > 0
+                own = np.flatnonzero(again[text])
+                even = band_keys(signatures(h[own], text[own], np.ones(len(own)), hi - lo))
+                both = np.concatenate([keys, even], 1)
+                taken = np.repeat(np.stack([full, again], 1), BANDS, 1)
                 short = (h >> np.uint64(32)).astype("<u4")  # sorted as h is
                 once = np.ones(len(short), bool)
                 once[1:] = (short[1:] != short[:-1]) | (text[1:] != text[:-1])
@@ -100,7 +108,7 @@ def sketch(docs: DataFrame) -> DataFrame:
                 cuts = np.searchsorted(text[once], np.arange(hi - lo + 1))
                 sets = [short[s:e].tobytes() for s, e in zip(cuts, cuts[1:], strict=False)]
                 lists = pa.ListArray.from_arrays(
-                    pa.array(np.concatenate([[0], np.cumsum(full * BANDS)]).astype(np.int32)), pa.array(keys[full].reshape(-1))
+                    pa.array(np.concatenate([[0], np.cumsum(taken.sum(1))]).astype(np.int32)), pa.array(both[taken])
                 )
                 yield pa.RecordBatch.from_arrays(
                     [*(b.column(i).slice(lo, hi - lo) for i in range(3)), lists, pa.array(sets, pa.binary())], ["doc_id", "h1", "h2", "bands", "shingles"]
@@ -120,7 +128,8 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
     size = lambda c: F.length(c)  # noqa: E731  a set over 1/least times as large can't be alike
-    rows = pairs.join(left, "a").join(right, "b").where((size("x") >= least * size("y")) & (size("y") >= least * size("x")))
+    ends = salted_join(pairs.select("a", "b"), left, ["a"], ["b"])  # a bucket's first document may have very many pairs
+    rows = salted_join(ends, right, ["b"], ["a"], pairs.groupBy("b").agg(F.count("*").alias("n"))).where((size("x") >= least * size("y")) & (size("y") >= least * size("x")))
 
     def run(batches):
         for b in batches:
@@ -155,17 +164,19 @@ def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """doc_id, h1, h2, rep (the least doc_id of its exact copies), class_id of each row."""
     tables = Tables(docs.sparkSession)
     made = tables.write(sketch(docs), "neardup-sketches")
-    reps = made.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
-    rows = made.select("doc_id", "h1", "h2").join(reps, ["h1", "h2"])
-    rows = tables.write(rows, "neardup-copies")
-    kept = made.join(rows.select("h1", "h2", F.col("rep").alias("doc_id")).distinct(), ["doc_id", "h1", "h2"], "left_semi")
+    reps = tables.write(made.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "neardup-reps")
+    rows = salted_join(made.select("doc_id", "h1", "h2"), reps.drop("n"), ["h1", "h2"], ["doc_id"], reps)
+    rows = tables.write(rows.select("doc_id", "h1", "h2", "rep"), "neardup-copies")
+    kept = made.join(reps.select("h1", "h2", F.col("rep").alias("doc_id")), ["doc_id", "h1", "h2"], "left_semi")
     keys = tables.write(kept.select("doc_id", F.explode("bands").alias("key")).distinct(), "neardup-bands")
     del kept
-    hubs = keys.groupBy("key").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).where(F.col("n") > 1).drop("n")
-    shared = tables.write(keys.join(hubs, "key"), "neardup-buckets")  # key, doc_id, a: buckets of several texts
+    hubs = keys.groupBy("key").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).where(F.col("n") > 1)
+    hubs = tables.write(hubs, "neardup-hubs")
+    shared = salted_join(keys, hubs.drop("n"), ["key"], ["doc_id"], hubs)
+    shared = tables.write(shared.select("key", "doc_id", "a"), "neardup-buckets")  # key, doc_id, a: buckets of several texts
 
     stars = tables.write(shared.where(F.col("doc_id") != F.col("a")).select("a", F.col("doc_id").alias("b")).distinct(), "neardup-stars")
-    some = rows.select("h1", "h2", F.col("rep").alias("doc_id")).distinct().join(shared.select("doc_id").distinct(), "doc_id")
+    some = reps.select("h1", "h2", F.col("rep").alias("doc_id")).join(shared.select("doc_id").distinct(), "doc_id")
     sets = made.select("doc_id", "h1", "h2", "shingles").join(some, ["doc_id", "h1", "h2"], "left_semi")
     sets = tables.write(sets.select("doc_id", "shingles"), "neardup-sets")
     tables.drop("neardup-sketches", "neardup-bands")
@@ -176,20 +187,28 @@ def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
     named = shared.join(classes.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
         "key", "doc_id", F.coalesce("component", "doc_id").alias("class")
     )
-    mixed = named.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where(F.col("lo") < F.col("hi")).select("key")
-    named = tables.write(named.join(mixed, "key", "left_semi"), "neardup-mixed")
+    mixed = named.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count("*").alias("n"))
+    mixed = tables.write(mixed.where(F.col("lo") < F.col("hi")).select("key", "n"), "neardup-mixed-keys")
+    named = salted_join(named, mixed.select("key"), ["key"], ["doc_id"], mixed)
+    named = tables.write(named.select("key", "doc_id", "class"), "neardup-mixed")
     marks = parities(sets.join(named.select("doc_id").distinct(), "doc_id", "left_semi"))
-    named = named.join(marks, "doc_id")
-    left, right = (named.select("key", *(F.col(c).alias(f"{side}_{c}") for c in ("doc_id", "class", *marks.columns[1:]))) for side in "ab")
+    # A set is only compared with those of its own step of sizes and the next ones, so the rows of one
+    # bucket are dealt by size; a step is the largest ratio of alike sets.
+    step = F.floor(F.log(F.col("n")) / max(0.01, float(-np.log(least)))).cast("int")
+    named = tables.write(named.join(marks, "doc_id").withColumn("step", step), "neardup-marks")
+    left, right = (named.select("key", "step", *(F.col(c).alias(f"{side}_{c}") for c in ("doc_id", "class", *marks.columns[1:]))) for side in "ab")
+    right = right.withColumn("step", F.explode(F.array(*(F.col("step") + k for k in (-1, 0, 1)))))
     apart = sum(F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in marks.columns[2:])
     smaller, larger = F.least("a_n", "b_n"), F.greatest("a_n", "b_n")
     fits = (F.col("a_class") < F.col("b_class")) & (smaller >= least * larger) & (apart * (1 + least) <= (1 - least) * (smaller + larger) + 1e-6)
     rest = (
-        left.join(right, (left["key"] == right["key"]) & fits)
+        salted_join(left, right, ["key", "step"], ["a_doc_id"])
+        .where(fits)
         .select(F.least("a_doc_id", "b_doc_id").alias("a"), F.greatest("a_doc_id", "b_doc_id").alias("b"))
         .distinct()
         .join(stars, ["a", "b"], "left_anti")
     )
+    rest = tables.write(rest, "neardup-rest")
     more = tables.write(verified(rest, sets, least), "neardup-more-links")
     if not more.isEmpty():
         classes = components(links.select("a", "b").unionByName(more.select("a", "b")))
