@@ -41,6 +41,8 @@ from tallyweave.skew import salted_join
 
 SLOTS, BANDS, ROWS = 128, 24, 5
 LEAST = 0.8
+#: Bytes of texts whose shingles are held at once.
+GROUP = 1_000_000
 #: Places of the parities of a set of shingles; a power of 2, and at least 64.
 BITS = 1024
 
@@ -91,7 +93,7 @@ def sketch(docs: DataFrame) -> DataFrame:
     def run(batches):
         hashed = shingles.HashedWords()
         for b in batches:
-            for lo, hi, texts in ragged.groups(b.column(3)):
+            for lo, hi, texts in ragged.groups(b.column(3), GROUP):
                 words, counts = hashed.of([t.split() for t in texts])
                 h, text, often = shingles.distinct(*shingles.shingles(words, counts))
                 keys = band_keys(signatures(h, text, 1 + np.log(often), hi - lo))

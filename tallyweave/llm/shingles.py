@@ -21,7 +21,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class HashedWords:
     """Hashes of words, each different word hashed once; starts anew past `limit` words."""
 
-    def __init__(self, limit: int = 500_000):
+    def __init__(self, limit: int = 200_000):
         self.limit, self.known, self.hashes = limit, {}, np.zeros(0, np.uint64)
 
     def of(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
