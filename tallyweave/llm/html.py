@@ -3,21 +3,26 @@
 Each page becomes a tree of blocks; runs of like siblings are folded into one node. The
 trees of a host's pages are aligned by simple tree matching (the largest number of node
 pairs that keeps labels, ancestry and order) and merged into one template, which counts
-the pages of each node and keeps the least and greatest hash of its text. A node that
-half of the host's pages share with one and the same text is constant: it belongs to the
-template. The other nodes are slots, whose text varies.
+the pages of each node, and of each of its most frequent texts, with a few signatures of these
+pages (the hash of a page's longest text, so copies of one article have one). A text that half of
+the host's pages have at a node, and at least MIN_PAGES different articles, is constant: it
+belongs to the template, wherever it stands. Other texts are in slots, where pages vary, or in
+copies of one article.
 
 Text is kept if it lies in a slot, outside blocks that are no article text by their element
-or class (menus, headers, footers, sidebars, notices, adverts, forms, comments), and, where
-a page marks its articles, inside of them. There the mark counts for more than the template:
-copies of one article on a host are constant but wanted.
+or class (menus, headers, footers, sidebars, notices, adverts, forms, comments: these may vary
+from page to page too). Where a page marks articles and they hold a third of what was kept or
+more, only what lies inside of them stays; with less, they are teasers, and all slots stay.
 
 Templates are merged inside each task before anything is shuffled, then by host and salt in
 three steps, so a host with most pages is no large group.
 
 Edge cases: null or empty html gives the empty text; rows with a null url share the host "";
-hosts with under MIN_PAGES pages have no constant nodes; unclosed elements end with their
-parent; unknown character references stay as they are; repeated rows are kept.
+hosts with under MIN_PAGES different articles have no constant nodes; unclosed elements end with
+their parent; unknown character references stay as they are; repeated rows are kept. Elements
+nested deeper than DEPTH count as part of the block at that depth, with their text in place.
+Templates of over NODES nodes lose those on under a hundredth of their pages, which can't become
+constant unless the host changes its layout. Columns of any other name don't matter.
 """
 
 from __future__ import annotations
@@ -55,16 +60,23 @@ HOLDS = {"ul", "ol", "dl", "table", "article", "section", "div", "main", "body",
 MIN_PAGES, SHARE = 3, 0.5
 #: Templates beyond so many nodes lose those on under a hundredth of their pages.
 NODES = 1000
+#: Texts of a node that are counted.
+TEXTS = 24
+#: Levels of blocks that are told apart.
+DEPTH = 150
+#: Part of the kept text that marked articles must hold to be the page's article.
+MARKED = 1 / 3
 SPACES = re.compile(r"\s+")
+BOGUS = re.compile(r"<!\[[^>]*(>|$)")
 
 
 class Block:
     """An element with its blocks and texts in page order."""
 
-    __slots__ = ("beside", "items", "label", "tag")
+    __slots__ = ("beside", "items", "label", "node", "tag")
 
     def __init__(self, tag: str, label: str, beside: bool):
-        self.tag, self.label, self.beside, self.items = tag, label, beside, []
+        self.tag, self.label, self.beside, self.items, self.node = tag, label, beside, [], None
 
 
 class _Reader(HTMLParser):
@@ -92,7 +104,13 @@ class _Reader(HTMLParser):
         block = Block(tag, f"{tag}.{names.get('class', '')}#{names.get('id', '')}", tag in SILENT or tag in AROUND or not BESIDE.isdisjoint(marks))
         if tag in ("body", "html", "article", "main"):  # page-wide marks don't make the whole page a side block
             block.beside = tag == "article" and not {"comment", "comments", "reply"}.isdisjoint(marks)
-        self.open[-1].items.append(block)
+        above = self.open[-1]
+        if len(self.open) > DEPTH and (not block.beside or above.beside or len(self.open) > 2 * DEPTH):
+            block.items = above.items  # no block of its own: its text stands in the one above
+            self.handle_data(" ")
+            block.beside = above.beside
+        else:
+            above.items.append(block)
         if tag not in VOID:
             self.open.append(block)
 
@@ -122,40 +140,74 @@ def parse(html: str) -> Block:
     try:
         reader.feed(html)
         reader.close()
-    except (AssertionError, ValueError):  # a broken declaration: what was read so far counts
-        pass
+    except (AssertionError, ValueError):  # a declaration of no known kind is a comment up to its end
+        if BOGUS.search(html):
+            return parse(BOGUS.sub(" ", html))
     return reader.root
 
 
-# A node of a template: [label, pages, least hash, greatest hash, children, shape].
-def _node(label: str, n: int, low: int, high: int, children: list) -> list:
-    return [label, n, low, high, children, f"{label}({','.join(c[5] for c in children)})"]
+# A node of a template: [label, pages, texts, children, shape]; texts has the pages with each of its
+# most frequent texts, by hash, and up to MIN_PAGES signatures of these pages.
+def _node(label: str, n: int, texts: dict[int, tuple], children: list) -> list:
+    return [label, n, texts, children, f"{label}({','.join(c[4] for c in children)})"]
+
+
+def _hash(text: str) -> int:
+    return zlib.crc32(text.encode("utf-8", "replace"))
+
+
+def signature(block: Block) -> tuple[int, ...]:
+    """The hash of the longest text of a page."""
+    longest, todo = "", [block]
+    while todo:
+        for item in todo.pop().items:
+            if not isinstance(item, str):
+                if item.tag not in SILENT:
+                    todo.append(item)
+            elif len(item) > len(longest) or len(item) == len(longest) and item > longest:
+                longest = item
+    return (_hash(SPACES.sub(" ", longest).strip()),)
 
 
-def tree(block: Block) -> list:
+def tree(block: Block, mark: tuple[int, ...] | None = None) -> list:
     """The block's node; like neighbours are folded into one."""
+    if block.node is not None:
+        return block.node
+    mark = signature(block) if mark is None else mark
     children: list = []
     for item in block.items:
         if isinstance(item, str):
             text = SPACES.sub(" ", item).strip()
             if not text:
                 continue
-            h = zlib.crc32(text.encode("utf-8", "replace"))
-            child = _node("#text", 1, h, h, [])
+            h = _hash(text)
+            child = _node("#text", 1, {h: (1, mark)}, [])
         elif item.tag in SILENT:
             continue
         else:
-            child = tree(item)
-        if children and children[-1][5] == child[5]:
+            child = tree(item, mark)
+        if children and children[-1][4] == child[4]:
             children[-1] = _fold(children[-1], child)
         else:
             children.append(child)
-    return _node(block.label, 1, 1 << 32, -1, children)
+    block.node = _node(block.label, 1, {}, children)
+    return block.node
 
 
 def _fold(a: list, b: list) -> list:
     """Two like siblings of one page as one node."""
-    return [a[0], a[1], min(a[2], b[2]), max(a[3], b[3]), [_fold(x, y) for x, y in zip(a[4], b[4], strict=True)], a[5]]
+    return [a[0], a[1], {**a[2], **b[2]}, [_fold(x, y) for x, y in zip(a[3], b[3], strict=True)], a[4]]
+
+
+def _counted(a: dict[int, tuple], b: dict[int, tuple]) -> dict[int, tuple]:
+    """The texts of both, the most frequent ones if there are more than TEXTS."""
+    out = dict(a)
+    for h, (n, marks) in b.items():
+        m, others = out.get(h, (0, ()))
+        out[h] = (m + n, tuple(sorted({*others, *marks})[:MIN_PAGES]))
+    if len(out) > TEXTS:
+        out = dict(sorted(out.items(), key=lambda x: (-x[1][0], x[0]))[:TEXTS])
+    return out
 
 
 _sizes: dict[tuple[str, str], int] = {}
@@ -165,11 +217,11 @@ def matched(a: list, b: list) -> int:
     """Simple tree matching: the most node pairs of an order-keeping mapping."""
     if a[0] != b[0]:
         return 0
-    key = (a[5], b[5])
+    key = (a[4], b[4])
     if key not in _sizes:
         if len(_sizes) > 200_000:
             _sizes.clear()
-        _sizes[key] = 1 + _align(a[4], b[4])[-1][-1]
+        _sizes[key] = 1 + _align(a[3], b[3])[-1][-1]
     return _sizes[key]
 
 
@@ -183,7 +235,7 @@ def _align(left: list, right: list) -> list[list[int]]:
 
 def pairs(left: list, right: list) -> list[tuple[int | None, int | None]]:
     """The children of two nodes in a common order, matched ones together."""
-    if [x[5] for x in left] == [y[5] for y in right]:
+    if [x[4] for x in left] == [y[4] for y in right]:
         return [(k, k) for k in range(len(left))]
     m, i, j, out = _align(left, right), len(left), len(right), []
     while i or j:
@@ -201,16 +253,16 @@ def pairs(left: list, right: list) -> list[tuple[int | None, int | None]]:
 
 def merge(a: list, b: list) -> list:
     """The template of the pages of both."""
-    children = [a[4][i] if j is None else b[4][j] if i is None else merge(a[4][i], b[4][j]) for i, j in pairs(a[4], b[4])]
-    return _node(a[0], a[1] + b[1], min(a[2], b[2]), max(a[3], b[3]), children)
+    children = [a[3][i] if j is None else b[3][j] if i is None else merge(a[3][i], b[3][j]) for i, j in pairs(a[3], b[3])]
+    return _node(a[0], a[1] + b[1], _counted(a[2], b[2]), children)
 
 
 def _count(node: list) -> int:
-    return 1 + sum(map(_count, node[4]))
+    return 1 + sum(map(_count, node[3]))
 
 
 def _prune(node: list, least: float) -> list:
-    return _node(*node[:4], [_prune(c, least) for c in node[4] if c[1] >= least])
+    return _node(*node[:3], [_prune(c, least) for c in node[3] if c[1] >= least])
 
 
 def merged(a: list | None, b: list) -> list:
@@ -219,11 +271,11 @@ def merged(a: list | None, b: list) -> list:
 
 
 def _pack(node: list) -> list:
-    return [*node[:4], list(map(_pack, node[4]))]
+    return [node[0], node[1], [[h, n, *marks] for h, (n, marks) in node[2].items()], list(map(_pack, node[3]))]
 
 
 def _unpack(node: list) -> list:
-    return _node(*node[:4], list(map(_unpack, node[4])))
+    return _node(node[0], node[1], {h: (n, tuple(marks)) for h, n, *marks in node[2]}, list(map(_unpack, node[3])))
 
 
 def dumps(node: list) -> str:
@@ -234,8 +286,9 @@ def loads(text: str) -> list:
     return _unpack(json.loads(text))
 
 
-def _texts(block: Block, node: list | None, pages: int, marked: bool, out: list[str]) -> None:
-    """Appends the texts of slots below `block`; `node` is the template's node for it."""
+def _texts(block: Block, node: list | None, pages: int, inside: bool, tag: str, out: list[tuple[str, bool]]) -> None:
+    """Appends the texts of slots below `block`, and whether an element `tag` holds them; `node` is
+    the template's node for the block."""
     children, shapes = [], []  # the block's items in runs of like ones, as tree() folds them
     for item in block.items:
         if isinstance(item, str):
@@ -244,41 +297,33 @@ def _texts(block: Block, node: list | None, pages: int, marked: bool, out: list[
                 children.append((item, text, "#text()"))
         elif item.tag not in SILENT:
             own = tree(item)
-            children.append((item, own, own[5]))
+            children.append((item, own, own[4]))
     folded: list = []
     for _, own, shape in children:
-        if not folded or folded[-1][5] != shape:
-            folded.append(_node("#text", 1, 0, 0, []) if isinstance(own, str) else own)
+        if not folded or folded[-1][4] != shape:
+            folded.append(_node("#text", 1, {}, []) if isinstance(own, str) else own)
         shapes.append(len(folded) - 1)
-    to = {j: node[4][i] for i, j in pairs(node[4], folded) if i is not None and j is not None} if node and not marked else {}
+    to = {j: node[3][i] for i, j in pairs(node[3], folded) if i is not None and j is not None} if node else {}
     for (item, own, _), k in zip(children, shapes, strict=True):
         known = to.get(k)
         if isinstance(own, str):
-            constant = known is not None and pages >= MIN_PAGES and known[1] >= SHARE * pages and known[2] == known[3]
-            if not constant or zlib.crc32(own.encode("utf-8", "replace")) != known[2]:
-                out.append(own)
+            n, marks = known[2].get(_hash(own), (0, ())) if known else (0, ())
+            if n < SHARE * pages or len(marks) < MIN_PAGES:
+                out.append((own, inside))
         elif not item.beside:
-            _texts(item, known, pages, marked, out)
-
-
-def _articles(block: Block, tag: str) -> list[Block]:
-    found = []
-    for item in block.items:
-        if not isinstance(item, str) and not item.beside:
-            found += [item] if item.tag == tag else _articles(item, tag)
-    return found
+            _texts(item, known, pages, inside or item.tag == tag, tag, out)
 
 
 def main_text(html: str, template: list | None = None) -> str:
     """The page's main text: its blocks in page order, joined by spaces."""
     page = parse(html)
-    out: list[str] = []
-    regions = _articles(page, "article") or _articles(page, "main")
-    for region in regions:
-        _texts(region, None, 0, True, out)
-    if not regions:
-        _texts(page, template, template[1] if template else 0, False, out)
-    return " ".join(out)
+    for tag in ("article", "main"):
+        out: list[tuple[str, bool]] = []
+        _texts(page, template, template[1] if template else 0, False, tag, out)
+        marked = [text for text, inside in out if inside]
+        if sum(map(len, marked)) >= MARKED * sum(len(text) for text, _ in out):
+            return " ".join(marked)
+    return " ".join(text for text, _ in out)
 
 
 def host(url: str | None) -> str:

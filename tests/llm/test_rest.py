@@ -22,18 +22,82 @@ def test_templates_tell_pages_without_an_article_apart():
     page = "<body><div class=top>Welcome</div><div><p>Story {0}</p><p>More of {0}</p></div><div>All rights</div></body>"
     template = None
     for k in range(6):
-        template = html.merged(template, html.tree(html.parse(page.format(k))))
+        template = html.merged(template, html.tree(html.parse(page.format(f"{k}, which is longer than the rest of it"))))
     template = html.loads(html.dumps(template))
     assert html.main_text(page.format(3), template) == "Story 3 More of 3"
     assert html.main_text(page.format(3), None) == "Welcome Story 3 More of 3 All rights"
 
 
+def test_constants_inside_articles_go_and_copies_stay():
+    page = "<article><h1>{0}</h1><p>All about {0} and so on, at length.</p><p>Read it, share it</p></article>"
+    of = lambda names: html.loads(html.dumps(__import__("functools").reduce(html.merged, (html.tree(html.parse(page.format(n))) for n in names))))
+    assert html.main_text(page.format("B"), of("ABCD")) == "B All about B and so on, at length."
+    assert html.main_text(page.format("A"), of("AAAA")) == "A All about A and so on, at length. Read it, share it"
+
+
+def test_teasers_are_not_the_article():
+    page = "<article>one</article><div><p>" + "The main text of this page. " * 9 + "</p></div><article>two</article>"
+    assert html.main_text(page) == "one " + ("The main text of this page. " * 9).strip() + " two"
+
+
+@pytest.mark.parametrize("tag", ["div", "span", "nav", "p", "ul", "article"])
+def test_very_deep_pages(tag):
+    deep = f"<{tag}>" * 100_000 + "text" + f"</{tag}>" * 100_000 + "<p>end"
+    template = html.loads(html.dumps(html.tree(html.parse(deep))))
+    assert html.main_text(deep, template) in ({"nav": ["end"], "article": ["text"]}.get(tag, ["text end"]))
+
+
+def brute_matching(a, b):
+    """Simple tree matching by its recursion alone."""
+    if a[0] != b[0]:
+        return 0
+
+    def align(x, y):
+        if not x or not y:
+            return 0
+        return max(align(x[:-1], y), align(x, y[:-1]), align(x[:-1], y[:-1]) + brute_matching(x[-1], y[-1]))
+
+    return 1 + align(a[3], b[3])
+
+
+def test_tree_matching_against_brute_force():
+    r = random.Random(8)
+
+    def some(depth):
+        return "".join(f"<{t}>{some(depth - 1) if depth else r.choice('xyz')}</{t}>" for t in r.choices(["div", "section", "h2", "ul"], k=r.randint(1, 3)))
+
+    for _ in range(40):
+        a, b = (html.tree(html.parse(some(2))) for _ in range(2))
+        assert html.matched(a, b) == brute_matching(a, b)
+
+
+def test_templates_help_where_nothing_is_marked(spark):
+    """Pages of the test data without <article>, and without class names: what stands around must go."""
+    import re
+
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
+    better = n = 0
+    for k in range(6):  # hosts made of the pages' articles, each with a frame of its own
+        own = [r for r in rows if r.page_id % 6 == k][:12]
+        frame = f"<div><p>Menu of host {k}</p><p>Welcome to it</p></div>{{}}<div><p>All rights at host {k}</p></div>"
+        bodies = [re.search(r"<article>(.*)</article>", r.html, re.S) for r in own]
+        bodies = ["<div>" + re.sub(r' class="[^"]*"', "", m[1]) + "</div>" for m in bodies if m]
+        template = None
+        for body in bodies:
+            template = html.merged(template, html.tree(html.parse(frame.format(body))))
+        for body in bodies:
+            want, page = html.main_text(body), frame.format(body)
+            n += 1
+            better += html.main_text(page, template) == want and html.main_text(page, None) != want
+    assert n >= 50 and better >= 0.95 * n
+
+
 def test_simple_tree_matching_counts_pairs():
     t = lambda x: html.tree(html.parse(x))
     a, b = t("<div><h1>a</h1><p>b</p><ul><li>c</ul></div>"), t("<div><p>b</p><table></table><ul><li>x<li>y</ul></div>")
     assert html.matched(a, b) == html.matched(b, a) == 7  # page, div, p, its text, ul, li, its text
     both = html.merge(a, b)
-    assert both[1] == 2 and [c[0] for c in both[4][0][4]] == ["h1.#", "p.#", "table.#", "ul.#"]
+    assert both[1] == 2 and [c[0] for c in both[3][0][3]] == ["h1.#", "p.#", "table.#", "ul.#"]
 
 
 @pytest.mark.parametrize("bad", ["", "<", "<p", "</p></p>", "<![CDATA[x", "<!DOCTYPE", "a & b &#0; &#x110000;", "<p>" * 300, "<!-- open"])
