@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyweave.functions import exprs
 from tallyweave.operators import brief, components, evidence, graph, profile, rules, store
-from tallyweave.plans.catalog import _EDGES, _VENDORS, _entries, _returned, _vendor_edges
+from tallyweave.plans.catalog import _EDGES, _SHAPES, _VENDORS, _entries, _returned, _vendor_edges
 from tallyweave.sources import tables
 from tallyweave.sources.tables import SQL as RECORDS
 from tallyweave.sources.tables import read
@@ -63,12 +63,67 @@ def J5_records_to_graphs(spark, sf_dir):
     return lines.join(members, "node_id").groupBy(F.col("node_id").alias("order_key"), "graph_id").agg(F.count("*").alias("n_lines"))
 
 
-@_query(f"{_MEMBERS} SELECT a AS source, b AS target, CAST(false AS BOOLEAN) AS dropped FROM e")
+_RINGS = """
+WITH o AS (SELECT o_custkey, o_orderkey, lead(o_orderkey) OVER w AS next, min(o_orderkey) OVER (PARTITION BY o_custkey) AS first FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)),
+r AS (SELECT CAST(o_custkey AS VARCHAR) AS graph_id, o_orderkey AS source, coalesce(next, first) AS target, next IS NULL AS closes FROM o)"""
+
+
+def _rings(spark, sf_dir) -> DataFrame:
+    """Each customer's orders as a ring: one after another, and the last one before the first."""
+    own = Window.partitionBy("o_custkey").orderBy("o_orderkey")  # the orders of one customer
+    after = F.coalesce(F.lead("o_orderkey").over(own), F.first("o_orderkey").over(own))
+    name = lambda c: F.lpad(c.cast("string"), 12, "0")
+    rows = read(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("graph_id"), name(F.col("o_orderkey")).alias("source"), name(after).alias("target"))
+    return rows.withColumn("edge_id", F.concat_ws("-", "source", "target"))
+
+
+@_query(f"{_RINGS} SELECT graph_id, source, target, closes AS dropped FROM r")
 def G5_cycle_breaking(spark, sf_dir):
-    edges, members = _members(spark, sf_dir)  # a star per day and vendor from its least order: no cycles
-    own = graph.induced_edges(edges, members)
-    named = own.select(F.col("graph_id").cast("string"), F.col("source").cast("string"), F.col("target").cast("string"), F.concat_ws("-", "source", "target").alias("edge_id"))
-    return graph.break_cycles(named).select(F.col("source").cast("long"), F.col("target").cast("long"), "dropped")
+    cut = graph.break_cycles(_rings(spark, sf_dir))
+    return cut.select("graph_id", F.col("source").cast("long"), F.col("target").cast("long"), "dropped")
+
+
+@_query(f"""{_MEMBERS}, w AS (SELECT DISTINCT o_orderkey AS node, coalesce(graph_id, o_orderkey) AS graph_id FROM orders LEFT JOIN m ON m.node = o_orderkey),
+d AS (SELECT w.graph_id, w.node, (SELECT count(*) FROM e WHERE e.b = w.node) AS n_in, (SELECT count(*) FROM e WHERE e.a = w.node) AS n_out FROM w)
+SELECT CAST(graph_id AS VARCHAR) AS graph_id, count(*) AS n_nodes, CAST(sum(n_out) AS BIGINT) AS n_edges, count(*) FILTER (WHERE n_in = 0) AS n_sources, count(*) FILTER (WHERE n_out = 0) AS n_sinks,
+  false AS had_cycle, count(*) > 20 AS capped FROM d GROUP BY 1""")
+def G4_process_graphs(spark, sf_dir):
+    edges, members = _members(spark, sf_dir)
+    nodes = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("node_id")).distinct()
+    return graph.process_graphs(nodes, members, edges, 20)
+
+
+_FAMILIES = f"""
+WITH {RECORDS}, f AS (
+  SELECT 'record:' || record_id AS source, 'vendor:' || vendor_id AS target, 'paid_to' AS edge_type, record_id FROM records WHERE vendor_id IS NOT NULL
+  UNION ALL SELECT 'record:' || record_id, 'customer:' || customer_id, 'billed_to', record_id FROM records WHERE customer_id IS NOT NULL
+  UNION ALL SELECT 'vendor:' || vendor_id, 'document:' || doc_id, 'documented', record_id FROM records WHERE vendor_id IS NOT NULL)"""
+
+
+def _families(spark, sf_dir) -> list[DataFrame]:
+    records = tables.records(spark, sf_dir)
+    vendor, customer = records.where(F.col("vendor_id").isNotNull()), records.where(F.col("customer_id").isNotNull())
+    edge = lambda rows, source, target, kind: rows.select(source.alias("source"), target.alias("target"), F.lit(kind).alias("edge_type"), "record_id")
+    return [
+        edge(vendor, graph.node("record", F.col("record_id")), graph.node("vendor", F.col("vendor_id")), "paid_to"),
+        edge(customer, graph.node("record", F.col("record_id")), graph.node("customer", F.col("customer_id")), "billed_to"),
+        edge(vendor, graph.node("vendor", F.col("vendor_id")), graph.node("document", F.col("doc_id")), "documented"),
+    ]
+
+
+@_query(f"""{_FAMILIES}, e AS (SELECT source, target, edge_type, string_agg(DISTINCT record_id, ',' ORDER BY record_id) AS records FROM f GROUP BY ALL),
+h AS (SELECT *, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('tables|' || source || '|' || target || '|' || edge_type || '|' || records)) AS x FROM e)
+SELECT left(x, 12) || '5' || substr(x, 14, 3) || substr('89ab', (('0x' || substr(x, 17, 1))::INT & 3) + 1, 1) || substr(x, 18, 15) AS edge_id, source, target, edge_type, records FROM h""")
+def G1_edge_table(spark, sf_dir):
+    edges = graph.edge_table(_families(spark, sf_dir), "tables")
+    return edges.select("edge_id", "source", "target", "edge_type", F.array_join("record_ids", ",").alias("records"))
+
+
+@_query(f"{_FAMILIES}, n AS (SELECT source AS node_id, record_id FROM f UNION ALL SELECT target, record_id FROM f) SELECT node_id, split_part(node_id, ':', 1) AS node_type, count(DISTINCT record_id) AS n_records FROM n GROUP BY 1")
+def G1_node_table(spark, sf_dir):
+    ends = [f.select(F.explode(F.array("source", "target")).alias("node_id"), "record_id") for f in _families(spark, sf_dir)]
+    rows = ends[0].unionByName(ends[1]).unionByName(ends[2])
+    return rows.groupBy("node_id").agg(F.count_distinct("record_id").alias("n_records")).select("node_id", F.substring_index("node_id", ":", 1).alias("node_type"), "n_records")
 
 
 @_query(_VENDORS + f""", rl AS (SELECT 'vendor:' || vendor_id AS node_id, record_id, row_number() OVER (PARTITION BY vendor_id ORDER BY record_id) AS k FROM (SELECT DISTINCT vendor_id, record_id FROM lines))
@@ -138,7 +193,23 @@ def N3_timeline(spark, sf_dir):
     return brief.timeline(_entries(spark, sf_dir))
 
 
-@_query()
+_WITHIN = "CASE WHEN length({t}) > {n} THEN left({t}, {n} - 6) || ' [...]' ELSE {t} END"
+_SECTION = lambda title, t, n: f"'## {title}' || chr(10) || " + _WITHIN.format(t=f"coalesce(nullif({t}, ''), '(none)')", n=n)
+
+
+@_query(f"""
+WITH {RECORDS}, {_SHAPES}, cn AS (SELECT doc_id AS graph_id, count(*) AS n_records FROM records GROUP BY 1),
+tl AS (SELECT doc_id AS graph_id, string_agg(date || ' ' || record_type || ' ' || record_id || ' ' || coalesce(CAST(CAST(amount AS DECIMAL(18,2)) AS VARCHAR), 'n/a'), chr(10)
+  ORDER BY date, record_id, record_type, coalesce(CAST(CAST(amount AS DECIMAL(18,2)) AS VARCHAR), 'n/a')) AS tl FROM records WHERE trim(date) <> '' GROUP BY 1),
+p AS (SELECT DISTINCT doc_id AS graph_id, 'vendor' AS entity_type, vendor_id AS entity_id FROM records WHERE vendor_id IS NOT NULL
+UNION SELECT DISTINCT doc_id, 'customer', customer_id FROM records WHERE customer_id IS NOT NULL),
+m AS (SELECT 'vendor' AS entity_type, CAST(s_suppkey AS VARCHAR) AS entity_id, s_name AS label FROM supplier UNION ALL SELECT 'customer', CAST(c_custkey AS VARCHAR), c_name FROM customer),
+wh AS (SELECT graph_id, string_agg(concat_ws(' ', entity_type, entity_id, label), chr(10) ORDER BY concat_ws(' ', entity_type, entity_id, label)) AS who FROM p LEFT JOIN m USING (entity_type, entity_id) GROUP BY 1),
+t AS (SELECT graph_id, graph_id || chr(10) || 'shape ' || shape || chr(10) || 'records ' || n_records || chr(10) || 'peers ' || n_entries AS head, tl, who,
+  concat_ws(', ', CASE WHEN NOT has_date AND with_date > 0 THEN 'date' END, CASE WHEN NOT has_amount AND with_amount > 0 THEN 'amount' END,
+  CASE WHEN NOT has_counterparty AND with_counterparty > 0 THEN 'counterparty' END, CASE WHEN NOT has_document AND with_document > 0 THEN 'document' END) AS lacks
+  FROM sh JOIN co USING (graph_id) JOIN sp USING (shape) JOIN cn USING (graph_id) LEFT JOIN tl USING (graph_id) LEFT JOIN wh USING (graph_id))
+SELECT graph_id, {_SECTION('Entry', 'head', 800)} || chr(10) || {_SECTION('Timeline', 'tl', 3500)} || chr(10) || {_SECTION('Parties', 'who', 8500)} || chr(10) || {_SECTION('Not present', 'lacks', 900)} AS brief FROM t""")
 def N3_entry_briefs(spark, sf_dir):
     return brief.briefs(_entries(spark, sf_dir), _masters(spark, sf_dir))
 

@@ -10,11 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir. A session without that
-    setting is taken for a local one: it gets a temporary folder, kept for its lifetime."""
+    """The folder that the cluster names in spark.checkpoint.dir. A local session without that
+    setting gets a temporary folder, kept for its lifetime; on a cluster it is an error, as
+    executors can't read what the driver or another executor has on its own disk."""
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         if not getattr(context, "_tallyweave_dir", None):
             context._tallyweave_dir = f"file://{tempfile.mkdtemp(prefix='tallyweave-')}"
         folder = context._tallyweave_dir
