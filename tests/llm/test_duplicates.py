@@ -109,6 +109,35 @@ def test_near_duplicates(docs, empty):
     assert neardups.near_duplicates(empty).count() == 0
 
 
+def test_recall_and_precision_on_the_documents(spark):
+    """All links of the whole table by brute force (shingles that two texts share are looked up)."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    sets, having, links, root = {i: shingle_set(t) for i, t in rows}, defaultdict(list), [], {i: i for i, _ in rows}
+    for i, own in sets.items():
+        shared = defaultdict(int)
+        for x in own:
+            for j in having[x]:
+                shared[j] += 1
+            having[x].append(i)
+        links += [(i, j) for j, n in shared.items() if n >= 0.8 * (len(own) + len(sets[j]) - n)]
+    empty = [i for i, x in sets.items() if not x]
+    links += [(empty[0], i) for i in empty if dict(rows)[i] == dict(rows)[empty[0]]]
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    got = {r.doc_id: r.class_id for r in neardups.near_duplicates(docs).collect()}
+    assert len(links) > 50
+    assert sum(got[a] == got[b] for a, b in links) >= 0.99 * len(links)
+    assert all(find(i) == find(c) for i, c in got.items())
+
+
 def test_many_near_copies_are_one_class(spark):
     base = prose(50, 200).split()
     rows = [(k, " ".join([*base[:k], f"edit{k}", *base[k + 1 :]])) for k in range(150)] + [(1000 + k, prose(900 + k, 80)) for k in range(50)]
