@@ -286,11 +286,21 @@ def node_type(entity_type: Column, entity_id: Column) -> Column:
     return F.when((entity_type == "asset") & ~F.contains(entity_id, F.lit("-")), F.lit("account")).otherwise(entity_type)
 
 
+def entity_rows(records: DataFrame, *keep: str) -> DataFrame:
+    """keep..., entity_type, entity_id, label: a row for each entity. The outer form is used because
+    the inner one makes Spark filter by the whole expression of the entities first."""
+    return records.select(*keep, F.explode_outer("entities").alias("_e")).where("_e IS NOT NULL").select(*keep, "_e.*")
+
+
+def relation_rows(records: DataFrame, *keep: str) -> DataFrame:
+    """keep..., relation, entity_id: a row for each relationship."""
+    return records.select(*keep, F.explode_outer("relationships").alias("relation", "entity_id")).where("relation IS NOT NULL")
+
+
 def entity_edges(records: DataFrame) -> DataFrame:
     """(source, target, edge_type, record_id): from each record to its entities, by every relationship
     that names the entity and is meant for its type, else as a reference."""
-    rows = records.select("record_id", "relationships", F.explode("entities").alias("e"))
-    rows = rows.select("record_id", "relationships", node_type(F.col("e.entity_type"), F.col("e.entity_id")).alias("kind"), F.col("e.entity_id").alias("id"))
+    rows = entity_rows(records, "record_id", "relationships").select("record_id", "relationships", node_type(F.col("entity_type"), F.col("entity_id")).alias("kind"), F.col("entity_id").alias("id"))
     meant = F.create_map(*[F.lit(x) for kv in RELATION_TARGETS.items() for x in kv])
     fits = F.map_keys(F.map_filter("relationships", lambda k, v: (v == F.col("id")) & F.equal_null(F.try_element_at(meant, k), F.col("kind"))))
     kinds = F.when(F.size(fits) > 0, fits).otherwise(F.array(F.lit("references")))

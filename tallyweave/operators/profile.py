@@ -122,3 +122,17 @@ def nearest_supersets(profile: DataFrame) -> DataFrame:
     extra = F.size(F.array_except("more", "types"))
     best = F.min(F.struct(extra.alias("n_extra"), "superset"))
     return small.join(large, "t").where(fits).groupBy("shape").agg(best.alias("b")).select("shape", "b.superset", "b.n_extra")
+
+
+def first_records(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """(key, k, record_id): the first `most` different records of each key. The limit on the rank
+    works in each task before the shuffle, so a hot key stays small."""
+    rank = F.row_number().over(Window.partitionBy(key).orderBy("record_id"))
+    return rows.select(key, "record_id").distinct().withColumn("k", rank).where(F.col("k") <= most).select(key, "k", "record_id")
+
+
+def cap_report(entries: DataFrame, cap: int) -> DataFrame:
+    """n_entries, n_analysed, n_left, cap_reached: what a limit on model calls leaves out."""
+    n = entries.agg(F.count_distinct("graph_id").alias("n_entries"))
+    left = F.greatest(F.col("n_entries") - cap, F.lit(0))
+    return n.select("n_entries", F.least("n_entries", F.lit(cap)).alias("n_analysed"), left.alias("n_left"), (F.col("n_entries") > cap).alias("cap_reached"))

@@ -25,6 +25,28 @@ def page(rows: DataFrame, order: list, limit: int | None = None, offset: int = 0
     return rows.orderBy(*order).offset(max(0, offset)).limit(n)
 
 
+def of(rows: DataFrame, **scope) -> DataFrame:
+    """Rows of a scope (dossier, file, type, ...): equal in all the named columns."""
+    for name, value in scope.items():
+        rows = rows.where(F.col(name) == value)
+    return rows
+
+
+def updated(table: DataFrame, keys: DataFrame, key: str, values: dict) -> DataFrame:
+    """`table` with `values` (column expressions) set in the rows whose key is among `keys`."""
+    hit = keys.select(key).distinct().withColumn("_hit", F.lit(True))
+    rows = table.join(hit, key, "left")
+    kinds = dict(table.dtypes)
+    return rows.select(*[F.when(F.col("_hit"), values[c].cast(kinds[c])).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in table.columns])
+
+
+def by_basename(rows: DataFrame, files: DataFrame, key: str) -> DataFrame:
+    """`rows` (with path) and the least `key` of the files (path, key) of the same base name."""
+    base = F.substring_index("path", "/", -1).alias("_base")
+    first = files.select(base, key).groupBy("_base").agg(F.min(key).alias(key))
+    return rows.select("*", base).join(first, "_base", "left").drop("_base")
+
+
 def save_version(tables: dict[str, DataFrame], folder: str, version: int) -> None:
     """Writes all tables of a snapshot under its version, then the pointer that publishes it."""
     spark = next(iter(tables.values())).sparkSession
