@@ -56,6 +56,9 @@ class Codec:
         for i in special:
             self.table[i] = " ⁇ ".encode() if lib.is_unknown(i) else b""
         self.control = {i for i in special if lib.is_control(i)}
+        self.bytes = pa.array(self.table, pa.large_binary())
+        #: Whether a text that starts with the piece loses its first character.
+        self.lead = np.array([not self.is_byte[i] and i not in special and t[:1] == b" " for i, t in enumerate(self.table)])
         normal = {p: i for i, p in enumerate(pieces) if i not in special and not self.is_byte[i]}
         if any(SPACE in p.lstrip(SPACE) or "\n" in p and len(p) > 1 for p in normal):
             raise ValueError("this vocabulary has pieces that go over the end of a word")
@@ -177,6 +180,36 @@ class Codec:
             text = text[1:]
         return text
 
+    def decode_lists(self, lists: pa.ListArray) -> list[str | None]:
+        """Texts of lists of ids: the bytes of all pieces are put together at once and cut where the
+        lists end; a list that starts with a control piece or holds odd bytes is decoded alone."""
+        ends = lists.offsets.to_numpy()
+        ids = lists.values.slice(ends[0], ends[-1] - ends[0])
+        if ids.null_count or not len(ids):
+            return [None if x is None else self.decode(x) for x in lists.to_pylist()]
+        ends = ends - ends[0]
+        taken = self.bytes.take(ids)
+        places = np.frombuffer(taken.buffers()[1], np.int64, len(ids) + 1, taken.offset * 8)[ends].tolist()
+        data = memoryview(taken.buffers()[2] or b"")
+        flat = ids.to_numpy()
+        heads = flat[np.minimum(ends[:-1], len(flat) - 1)]
+        alone = np.isin(heads, list(self.control)).tolist()
+        lead, full = self.lead[heads].tolist(), (np.diff(ends) > 0).tolist()
+        out = []
+        for k, valid in enumerate(lists.is_valid().to_pylist()):
+            if not valid or not full[k]:
+                out.append("" if valid else None)
+                continue
+            try:
+                text = None if alone[k] else str(data[places[k] : places[k + 1]], "utf-8")
+            except UnicodeDecodeError:
+                text = None
+            if text is None:
+                out.append(self.decode(flat[ends[k] : ends[k + 1]].tolist()))
+            else:
+                out.append(text[1:] if lead[k] else text)
+        return out
+
     def _decode_runs(self, ids: list[int]) -> str:
         out, run = [], b""
         for i in [*ids, None]:
@@ -238,7 +271,7 @@ def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
             step = max(1, 250_000 // max(1, len(ids.flatten()) // max(1, len(ids))))
             for start in range(0, len(ids), step):
                 part = b.slice(start, step)
-                texts = [None if x is None else own.decode(x) for x in part.column(at).to_pylist()]
+                texts = own.decode_lists(part.column(at))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*b.schema.names, "decoded"])
 
     return encoded.mapInArrow(run, schema)
