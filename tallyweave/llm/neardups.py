@@ -91,10 +91,9 @@ def sketch(docs: DataFrame) -> DataFrame:
     )
 
     def run(batches):
-        hashed = shingles.HashedWords()
         for b in batches:
-            for lo, hi, texts in ragged.groups(b.column(3), GROUP):
-                words, counts = hashed.of([t.split() for t in texts])
+            for lo, hi in ragged.ranges(b.column(3), GROUP):
+                words, counts = shingles.hashed_words(b.column(3).slice(lo, hi - lo))
                 h, text, often = shingles.distinct(*shingles.shingles(words, counts))
                 keys = band_keys(signatures(h, text, 1 + np.log(often), hi - lo))
                 full = np.bincount(text, minlength=hi - lo) > 0

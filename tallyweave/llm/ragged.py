@@ -12,18 +12,25 @@ import pyarrow.compute as pc
 GROUP_CHARS = 2_000_000
 
 
-def groups(column: pa.Array, most: int = GROUP_CHARS) -> Iterator[tuple[int, int, list[str]]]:
-    """(start, end, texts) of ranges of an Arrow column of texts with about `most` bytes; a
-    longer text stands alone. Only one range at a time becomes Python strings."""
+def ranges(column: pa.Array, most: int = GROUP_CHARS) -> Iterator[tuple[int, int]]:
+    """(start, end) of ranges of an Arrow column of texts with about `most` bytes; a longer text
+    stands alone."""
     sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).tolist()
     start = size = 0
     for i, n in enumerate([*sizes, None]):
         if i > start and (n is None or size + n > most):
-            yield start, i, column.slice(start, i - start).to_pylist()
+            yield start, i
             start, size = i, 0
         size += n or 0
 
 
+def groups(column: pa.Array, most: int = GROUP_CHARS) -> Iterator[tuple[int, int, list[str]]]:
+    """(start, end, texts) of the `ranges` of a column. Only one range at a time becomes Python
+    strings."""
+    for start, end in ranges(column, most):
+        yield start, end, column.slice(start, end - start).to_pylist()
+
+
 def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The slices flat[start : start + length], one after another."""
     ends = np.cumsum(lengths)
