@@ -12,10 +12,8 @@ import pyarrow.compute as pc
 GROUP_CHARS = 2_000_000
 
 
-def ranges(column: pa.Array, most: int = GROUP_CHARS) -> Iterator[tuple[int, int]]:
-    """(start, end) of ranges of an Arrow column of texts with about `most` bytes; a longer text
-    stands alone."""
-    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).tolist()
+def spans(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """(start, end) of ranges of items that have about `most` together; a larger one stands alone."""
     start = size = 0
     for i, n in enumerate([*sizes, None]):
         if i > start and (n is None or size + n > most):
@@ -24,6 +22,16 @@ def ranges(column: pa.Array, most: int = GROUP_CHARS) -> Iterator[tuple[int, int
         size += n or 0
 
 
+def byte_sizes(column: pa.Array) -> np.ndarray:
+    return pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+
+
+def ranges(column: pa.Array, most: int = GROUP_CHARS) -> Iterator[tuple[int, int]]:
+    """(start, end) of ranges of an Arrow column of texts with about `most` bytes; a longer text
+    stands alone."""
+    return spans(byte_sizes(column).tolist(), most)
+
+
 def groups(column: pa.Array, most: int = GROUP_CHARS) -> Iterator[tuple[int, int, list[str]]]:
     """(start, end, texts) of the `ranges` of a column. Only one range at a time becomes Python
     strings."""
