@@ -129,6 +129,35 @@ def distances(edges: DataFrame, start: DataFrame, most: int) -> DataFrame:
     return reached
 
 
+def paths(edges: DataFrame, pairs: DataFrame, most: int = 6) -> DataFrame:
+    """start, end, length, path: a shortest undirected path for each row of `pairs` (start, end),
+    as an array of nodes; of equally short ones the least by its nodes in order. Length and path
+    are null where there is none of at most `most` edges (12 at the most); from a node to itself
+    the length is 0. Frontier joins from the starts that still have an end to be reached; a node
+    keeps one path, so rows grow with the nodes reached, not with the ways to them."""
+    from tallyweave.shared import Tables
+
+    tables, kind = Tables(edges.sparkSession), pairs.schema["start"].dataType
+    ways = edges.select(F.col("source").alias("node_id"), F.col("target").alias("next"))
+    ways = ways.unionByName(ways.select(F.col("next").alias("node_id"), F.col("node_id").alias("next"))).distinct()
+    ways = tables.write(ways.where(F.col("node_id") != F.col("next")), "path-edges")
+    asked = pairs.where(F.col("start").isNotNull() & F.col("end").isNotNull()).select("start", F.col("end").cast(kind).alias("node_id")).distinct()
+    frontier = asked.select("start", F.col("start").alias("node_id"), F.array("start").alias("path")).distinct()
+    seen, open_ = frontier, asked
+    for step in range(min(most, 12) + 1):
+        if step:
+            last = frontier.join(open_.select("start").distinct(), "start", "left_semi")
+            found = last.join(ways, "node_id").groupBy("start", F.col("next").alias("node_id")).agg(F.min(F.concat("path", F.array("next"))).alias("path"))
+            frontier = tables.write(found.join(seen.select("start", "node_id"), ["start", "node_id"], "left_anti"), f"paths-{step}")
+            seen = seen.unionByName(frontier)
+        open_ = tables.write(open_.join(frontier.select("start", "node_id"), ["start", "node_id"], "left_anti"), f"path-open-{step}")
+        if open_.isEmpty() or (step and frontier.isEmpty()):
+            break
+    known = tables.write(asked.join(seen, ["start", "node_id"]).withColumnRenamed("node_id", "end"), "paths")
+    tables.drop(*(name for name in tables.paths if name != "paths"))
+    return pairs.select("start", "end").join(known, ["start", "end"], "left").select("start", "end", (F.array_size("path") - 1).alias("length"), "path")
+
+
 def break_cycles(edges: DataFrame, most: int = 10_000) -> DataFrame:
     """graph_id, source, target, edge_id, dropped: in each group (a process graph, bounded by
     the fan-out limit), a depth-first walk in sorted order drops edges back to a node on its

@@ -56,6 +56,18 @@ def G6_list_process_graphs(spark, sf_dir):
     return store.page(sums, ["graph_id"])
 
 
+@_query(f"""{_MEMBERS}, walk AS (SELECT DISTINCT graph_id AS start, graph_id AS node, [graph_id] AS path FROM m
+  UNION ALL SELECT w.start, u.b, list_append(w.path, u.b) FROM walk w JOIN u ON u.a = w.node WHERE len(w.path) <= 6 AND NOT list_contains(w.path, u.b)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY start, node ORDER BY len(path), path) AS n FROM walk)
+SELECT graph_id AS start_key, m.node AS end_key, CAST(len(path) - 1 AS INTEGER) AS length, array_to_string(path, ' ') AS path
+FROM m LEFT JOIN ranked ON ranked.start = graph_id AND ranked.node = m.node AND n = 1""")
+def G10_paths(spark, sf_dir):
+    """The way from each group's least order to each of its orders."""
+    edges, members = _members(spark, sf_dir)
+    found = graph.paths(edges, members.select(F.col("graph_id").alias("start"), F.col("node_id").alias("end")))
+    return found.select(F.col("start").alias("start_key"), F.col("end").alias("end_key"), "length", F.array_join("path", " ").alias("path"))
+
+
 @_query(f"{_MEMBERS} SELECT l_orderkey AS order_key, graph_id, count(*) AS n_lines FROM lineitem JOIN m ON m.node = l_orderkey GROUP BY ALL")
 def J5_records_to_graphs(spark, sf_dir):
     _, members = _members(spark, sf_dir)

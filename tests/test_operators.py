@@ -130,3 +130,14 @@ def test_query_against_sql(spark, oracle, name):
     assert columns == sorted(want.columns)
     rows = lambda d: sorted(map(repr, d[columns].astype(object).where(d[columns].notna(), None).itertuples(index=False, name=None)))
     assert rows(got) == rows(want)
+
+
+def test_paths(spark):
+    edges = spark.createDataFrame([("a", "c"), ("b", "a"), ("d", "b"), ("d", "c"), ("d", "e"), ("e", "f"), ("x", "y"), ("x", "x")], "source string, target string")
+    pairs = [("a", "d"), ("d", "a"), ("a", "f"), ("a", "x"), ("y", "y"), ("y", "x"), ("n", "n"), ("a", None), ("a", "d")]
+    found = graph.paths(edges, spark.createDataFrame(pairs, "start string, end string"), 3).collect()
+    ways = {("a", "d"): "abd", ("d", "a"): "dba", ("y", "y"): "y", ("y", "x"): "yx", ("n", "n"): "n"}
+    want = [(s, e, len(ways[s, e]) - 1, list(ways[s, e])) if (s, e) in ways else (s, e, None, None) for s, e in pairs]
+    assert sorted(map(str, map(tuple, found))) == sorted(map(str, want))
+    assert [r.length for r in graph.paths(edges, spark.createDataFrame([("a", "f")], "start string, end string")).collect()] == [4]
+    assert graph.paths(edges.limit(0), spark.createDataFrame([], "start string, end string")).collect() == []
