@@ -5,6 +5,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -320,3 +321,37 @@ def test_next_in_order_of_sparse_keys(spark):
     df = spark.createDataFrame([(k,) for k in [*keys, 1, None]], "k long")
     got = {r.k: r.next_key for r in fingerprints.next_in_order(df, "k").collect()}
     assert got == dict(zip(keys, [*keys[1:], None], strict=True))
+
+
+def test_hashed_words_are_those_of_split():
+    random.seed(5)
+    spaces = [chr(c) for c in range(0x3100) if chr(c).isspace()]
+    signs = [*spaces, *"abcé漢😀", "\u200b", "\u0084", "\u180e", "\ufeff"]
+    for _ in range(200):
+        texts = ["".join(random.choices(signs, k=random.choice([0, 1, 2, 3, 40]))) for _ in range(random.choice([1, 2, 9]))]
+        texts[random.randrange(len(texts))] = None
+        column = pa.array(["before all", *texts]).slice(1)
+        split = [(t or "").split() for t in texts]
+        data, starts, ends, counts = shingles.word_places(column)
+        assert [bytes(data[s:e]).decode() for s, e in zip(starts, ends, strict=True)] == [w for t in split for w in t]
+        assert counts.tolist() == [len(t) for t in split]
+        of = {}
+        for w, h in zip((w for t in split for w in t), shingles.hash_places(data, starts, ends).tolist(), strict=True):
+            assert of.setdefault(w, h) == h
+        assert len(set(of.values())) == len(of)
+    large = "x" * (2 * shingles.BLOCK + 1)  # a word of more than one block
+    hashes, counts = shingles.hashed_words(pa.array([f"a {large} b {large}", "", large]))
+    assert hashes[1] == hashes[3] == hashes[4] and len(set(hashes.tolist())) == 3 and counts.tolist() == [4, 0, 1]
+
+
+@pytest.mark.parametrize("hops", [1, 64])
+def test_nearest_smaller(monkeypatch, hops):
+    monkeypatch.setattr(passages, "HOPS", hops)
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 9, 200):
+        for keys in (rng.permutation(n), np.arange(n), np.arange(n)[::-1], np.roll(np.arange(n), n // 2)):
+            owner = np.sort(rng.integers(0, 3, n))
+            before, after = passages.nearest_smaller(keys.astype(np.uint64), owner)
+            smaller = [[j for j in range(n) if owner[j] == owner[i] and keys[j] < keys[i]] for i in range(n)]
+            assert before.tolist() == [max((j for j in x if j < i), default=-1) for i, x in enumerate(smaller)]
+            assert after.tolist() == [min((j for j in x if j > i), default=n) for i, x in enumerate(smaller)]
