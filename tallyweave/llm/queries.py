@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm import fingerprints, html, linededup, neardups, packing, passages, pieces, quality, tokenfiles, topk
+from tallyweave.llm import fingerprints, html, linededup, neardups, packing, passages, pieces, quality, tokenfiles, topk, turns
 from tallyweave.shared import new_folder
 
 
@@ -83,8 +83,13 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("rep").alias("copy_of"), "class_id")
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "conversations")
+    return turns.report(turns.damaged(rows), rows)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_sentencepiece, op3_quality, op4_token_files, op5_best_fit_packing, op6_html_text, op7_substring_dedup, op8_exact_top_k, op9_fingerprints, op10_near_duplicates)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_sentencepiece, op3_quality, op4_token_files, op5_best_fit_packing, op6_html_text, op7_substring_dedup, op8_exact_top_k, op9_fingerprints, op10_near_duplicates, op13_conversation_repair)}
 
 
 def oracle_sql() -> dict[str, str]:
