@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm import fingerprints, html, linededup, neardups, packing, passages, pieces, quality, tokenfiles, topk, turns
+from tallyweave.llm import fingerprints, html, linededup, neardups, packing, passages, pieces, quality, search, tokenfiles, topk, turns
 from tallyweave.shared import new_folder
 
 
@@ -83,17 +83,50 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("rep").alias("copy_of"), "class_id")
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), k=10)
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _read(spark, sf_dir, "conversations")
     return turns.report(turns.damaged(rows), rows)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_sentencepiece, op3_quality, op4_token_files, op5_best_fit_packing, op6_html_text, op7_substring_dedup, op8_exact_top_k, op9_fingerprints, op10_near_duplicates, op13_conversation_repair)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_sentencepiece, op3_quality, op4_token_files, op5_best_fit_packing, op6_html_text, op7_substring_dedup, op8_exact_top_k, op9_fingerprints, op10_near_duplicates, op11_ranked_search, op13_conversation_repair)}
+
+
+#: The terms of a text column, for DuckDB.
+_TERMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op11_ranked_search": f"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id, {_TERMS} AS terms FROM documents
+), total AS (
+  SELECT CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(len(terms)) AS BIGINT) AS n_terms FROM d WHERE len(terms) > 0
+), tf AS (
+  SELECT row, doc_id, n, term, CAST(count(*) AS BIGINT) AS tf
+  FROM (SELECT row, doc_id, CAST(len(terms) AS BIGINT) AS n, unnest(terms) AS term FROM d) GROUP BY row, doc_id, n, term
+), w AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM tf, total GROUP BY term, n_docs
+), q AS (
+  SELECT row_number() OVER () AS query, item_id, list_distinct({_TERMS}) AS terms FROM benchmark
+), asked AS (
+  SELECT query, item_id, unnest(terms) AS term FROM q
+), scores AS (
+  SELECT query, item_id, row, doc_id,
+         CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+  FROM asked JOIN w USING (term) JOIN tf USING (term), total GROUP BY query, item_id, row, doc_id
+), ranked AS (
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id, row) AS INTEGER) AS rank, doc_id, score
+  FROM scores WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+""",
         "op8_exact_top_k": """
 WITH v AS (
   SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
