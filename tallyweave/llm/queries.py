@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm import fingerprints, html, linededup, neardups, packing, passages, pieces, quality, search, tokenfiles, topk, turns
+from tallyweave.llm import fingerprints, html, linededup, neardups, packing, passages, personal, pieces, quality, search, tokenfiles, topk, turns
 from tallyweave.shared import new_folder
 
 
@@ -87,13 +87,20 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), k=10)
 
 
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal.personal_data(_read(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in personal.KINDS]
+    every = personal.in_order(F.concat("base", "added"))
+    return found.select("doc_id", *counts, F.sha2(personal.as_text(F.col("base")), 256).alias("base_sha256"), personal.as_text(every).alias("spans"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _read(spark, sf_dir, "conversations")
     return turns.report(turns.damaged(rows), rows)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_sentencepiece, op3_quality, op4_token_files, op5_best_fit_packing, op6_html_text, op7_substring_dedup, op8_exact_top_k, op9_fingerprints, op10_near_duplicates, op11_ranked_search, op13_conversation_repair)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_sentencepiece, op3_quality, op4_token_files, op5_best_fit_packing, op6_html_text, op7_substring_dedup, op8_exact_top_k, op9_fingerprints, op10_near_duplicates, op11_ranked_search, op12_personal_data, op13_conversation_repair)}
 
 
 #: The terms of a text column, for DuckDB.
