@@ -240,6 +240,10 @@ def in_order(spans: Column) -> Column:
     return F.transform(keyed, lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
 
 
+def count(spans: Column, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda x: x["kind"] == kind)).cast("long")
+
+
 def as_text(spans: Column) -> Column:
     """kind:start:end of each, joined by commas."""
     return F.concat_ws(",", F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))))

@@ -89,7 +89,7 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = personal.personal_data(_read(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in personal.KINDS]
+    counts = [personal.count(F.col("base"), k).alias(f"n_{k}") for k in personal.KINDS]
     every = personal.in_order(F.concat("base", "added"))
     return found.select("doc_id", *counts, F.sha2(personal.as_text(F.col("base")), 256).alias("base_sha256"), personal.as_text(every).alias("spans"))
 
