@@ -12,6 +12,7 @@ import re
 import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 
 from tallyweave.functions import exprs
 from tallyweave.session import ship
+from tallyweave.sources import delimited
 
 # Limits of archives, folders of ledgers and file types.
 LIMITS = {"archive_mb": 100, "total_mb": 500, "entries": 1000, "ratio": 20.0}
@@ -33,6 +35,11 @@ MIME = {
 ROWS = "path string, sheet string, row_number int, columns array<string>, data map<string,string>, text string"
 
 
+#: Rows of a file that are held at a time.
+CHUNK = 20_000
+csv.field_size_limit(2**31 - 1)  # a cell may be as long as its file
+
+
 def binary_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
     return reader.load(folder).select("path", "length", "content")
@@ -111,18 +118,25 @@ def manifest(files: DataFrame, root: str) -> DataFrame:
 
 
 def _parsed(files: DataFrame, parse: Callable[[str, bytes], Iterator[tuple]]) -> DataFrame:
-    """Rows of all files; a file that can't be parsed gives one row with its error as text and
-    row_number -1, so that errors aren't lost."""
+    """Rows of all files; a file that can't be parsed gives its rows so far and one with its error as
+    text and row_number -1, so that errors aren't lost."""
     ship(files.sparkSession)
 
+    names = ["path", "sheet", "row_number", "columns", "data", "text"]
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for path, content in frame.itertuples(index=False):
+                rows = []
                 try:
-                    rows = [(path, *r) for r in parse(path, content)]
-                except (ValueError, KeyError, ET.ParseError, zipfile.BadZipFile) as e:
-                    rows = [(path, None, -1, [], {}, f"{type(e).__name__}: {e}")]
-                yield pd.DataFrame(rows, columns=["path", "sheet", "row_number", "columns", "data", "text"])
+                    for r in parse(path, content):
+                        rows.append((path, *r))
+                        if len(rows) == CHUNK:
+                            yield pd.DataFrame(rows, columns=names)
+                            rows = []
+                except Exception as e:  # noqa: BLE001  whatever a file holds, it doesn't end the job
+                    rows.append((path, None, -1, [], {}, f"{type(e).__name__}: {e}"))
+                yield pd.DataFrame(rows, columns=names)
 
     return files.select("path", "content").mapInPandas(run, ROWS)
 
@@ -164,13 +178,13 @@ def ledger_rows(files: DataFrame, columns: dict[str, list[str]]) -> DataFrame:
     index; rows keep their line's number, blank lines count."""
 
     def parse(path, content):
-        own = columns[path.rsplit("/", 1)[-1]]
+        own = delimited.columns_of(path, columns)
         for n, values in enumerate(csv.reader(io.StringIO(content.decode("cp1252"), newline=""), delimiter=";"), 1):
             if any(v.strip() for v in values):
                 yield _row(n, own, values)
 
-    names = F.substring_index("path", "/", -1)
-    return _parsed(files.where(names.isin(*columns)), parse)
+    known = reduce(lambda a, b: a | b, [(F.col("path") == k) | F.endswith("path", F.lit(f"/{k}")) for k in columns], F.lit(False))
+    return _parsed(files.where(known), parse)
 
 
 def csv_rows(files: DataFrame) -> DataFrame:
