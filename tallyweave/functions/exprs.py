@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 GERMAN_NUMBER = r"^-?\d{1,3}(\.\d{3})*,\d+$"
 #: Decimal comma, digits only.
 COMMA_NUMBER = r"^-?\d+,\d+$"
+EITHER_NUMBER = r"^-?(\d{1,3}(\.\d{3})*|\d+),\d+$"
 URL_NAMESPACE = uuid.NAMESPACE_URL.hex
 
 
@@ -38,7 +39,7 @@ def german_decimal(text: Column) -> Column:
 def german_number(text: Column) -> Column:
     """Stricter form for cells of unknown meaning: only with a decimal comma."""
     t = F.trim(text)
-    return F.when(t.rlike(GERMAN_NUMBER) | t.rlike(COMMA_NUMBER), _comma(t))
+    return F.when(F.contains(text, F.lit(",")) & t.rlike(EITHER_NUMBER), _comma(t))  # most cells have no comma
 
 
 def cell_number(text: Column) -> Column:
@@ -55,18 +56,20 @@ def loose_float(text: Column) -> Column:
 
 def strict_date(text: Column) -> Column:
     """dd.mm.yyyy as yyyy-mm-dd; the calendar isn't consulted."""
-    parts = [F.regexp_extract(F.trim(text), r"^(\d{2})\.(\d{2})\.(\d{4})$", k) for k in (1, 2, 3)]
-    return F.when(parts[2] != "", F.concat_ws("-", parts[2], parts[1], parts[0]))
+    t = F.trim(text)
+    return F.when(t.rlike(r"^\d{2}\.\d{2}\.\d{4}$"), F.concat_ws("-", F.substring(t, 7, 4), F.substring(t, 4, 2), F.substring(t, 1, 2)))
 
 
 def loose_date(text: Column, check: bool = True) -> Column:
     """d.m.yyyy as yyyy-mm-dd; with `check` the month, day and year (1900 to 2100) must be
     in range, but not the day within its month."""
-    parts = [F.regexp_extract(F.trim(text), r"^(\d{1,2})\.(\d{1,2})\.(\d{4})$", k) for k in (1, 2, 3)]
-    day, month, year = (F.nullif(p, F.lit("")) for p in parts)
-    fits = month.cast("int").between(1, 12) & day.cast("int").between(1, 31) & year.cast("int").between(1900, 2100)
+    t = F.trim(text)
+    day, month, year = F.split_part(t, F.lit("."), F.lit(1)), F.split_part(t, F.lit("."), F.lit(2)), F.left(F.split_part(t, F.lit("."), F.lit(3)), F.lit(4))
     out = F.concat(year, F.lit("-"), F.lpad(month, 2, "0"), F.lit("-"), F.lpad(day, 2, "0"))
-    return F.when(fits, out) if check else out
+    fits = F.contains(text, F.lit(".")) & t.rlike(r"^\d{1,2}\.\d{1,2}\.\d{4}$")
+    if check:
+        fits = fits & month.try_cast("int").between(1, 12) & day.try_cast("int").between(1, 31) & year.try_cast("int").between(1900, 2100)
+    return F.when(fits, out)
 
 
 def date_in_text(text: Column) -> Column:

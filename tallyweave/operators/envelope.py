@@ -1,12 +1,13 @@
 """Rows of files as typed records: cells, date, amount, entities and relationships.
 
 Input are rows as the readers of `sources.files` give them (path, sheet, row_number, columns,
-data, text). Everything is a column expression over the array of cells, which keeps the order of
-a file's columns. An id keeps the spelling of its file, numbers too.
+data, text). The rules on column names run once for each header (`operators.roles`); a row is read by
+the positions of its header's roles. An id keeps the spelling of its file, numbers too.
 """
 
 from __future__ import annotations
 
+import sys
 import uuid
 from functools import reduce
 
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyweave.functions import exprs
+from tallyweave.operators import roles
 
 # Columns and file names of the export formats.
 LEDGER_TYPES = {
@@ -65,60 +67,49 @@ _ENTITY = "array<struct<entity_type:string,entity_id:string,label:string>>"
 _ISO = r"^\d{4}-\d{2}-\d{2}$"
 
 
-def _cells(number, date) -> Column:
-    """Cells in column order. number, date: (name, raw text) to a number or ISO date, or null."""
-
-    def cell(c: Column) -> Column:
-        raw = F.nullif(F.trim(F.try_element_at("data", c)), F.lit(""))
-        n, d = number(c, raw), date(c, raw)
-        return F.struct(c.alias("name"), F.coalesce(d, raw).alias("text"), n.alias("number"))
-
-    return F.transform("columns", cell)
-
-
-def ledger_cells() -> Column:
-    """Date and number columns by their names; a value that can't be read stays text."""
-    number = lambda c, raw: F.when(F.upper(c).isin(LEDGER_NUMBERS), exprs.german_decimal(raw))
-    return _cells(number, lambda c, raw: F.when(F.upper(c).isin(LEDGER_DATES), exprs.strict_date(raw)))
-
-
 def _has(name: Column, parts: list[str]) -> Column:
     """Whether a name contains one of the parts, in any case."""
     return reduce(lambda a, b: a | b, [F.contains(F.lower(name), F.lit(p)) for p in parts])
 
 
-def csv_cells() -> Column:
-    """Dates in date columns; German numbers in amount columns and in all that aren't date columns.
-    A date column that is an amount column too takes a date first."""
+def is_label(name: Column) -> Column:
+    return reduce(lambda a, b: a | b, [F.endswith(F.lower(name), F.lit(s)) for s in CSV_LABELS])
 
-    def number(c, raw):
-        open_ = ~_has(c, CSV_DATES) | _has(c, CSV_AMOUNTS) & exprs.loose_date(raw).isNull()
-        return F.when(open_, exprs.german_number(raw))
 
-    return _cells(number, lambda c, raw: F.when(_has(c, CSV_DATES), exprs.loose_date(raw)))
+def _with_cells(rows: DataFrame, of, date, number) -> DataFrame:
+    """Rows with their header's roles and the array of cells (name, text, number), in column order.
+    date, number: how a text is read where its column's role allows it. Each step is an array of its
+    own, as functions of arrays work out a repeated expression again."""
+    rows = roles.with_roles(rows, of, sys.modules[__name__])
+    found = F.transform("columns", lambda c: F.try_element_at("data", c))
+    values = F.when(F.equal_null(F.map_keys("data"), F.col("columns")), F.map_values("data")).otherwise(found)
+    rows = rows.withColumn("_raw", F.transform(values, lambda v: F.nullif(F.trim(v), F.lit(""))))
+    rows = rows.withColumn("_day", F.zip_with("roles.cells", "_raw", lambda c, v: F.when(c["date"] & v.isNotNull(), date(v))))
 
+    def cell(c: Column, k: Column) -> Column:
+        raw, day = F.get("_raw", k), F.get("_day", k)
+        counts = (c["number"] == roles.NUMBER) | (c["number"] == roles.NO_DATE) & day.isNull()
+        return F.struct(c["name"].alias("name"), F.coalesce(day, raw).alias("text"), F.when(counts & raw.isNotNull(), number(raw)).alias("number"))
 
-def sheet_cells() -> Column:
-    """Numbers in German or plain notation wherever they stand; dates stay as they are."""
-    return _cells(lambda c, raw: F.coalesce(exprs.cell_number(raw), F.when(raw.rlike(r"^-?\d+(\.\d+)?$"), raw.try_cast("double"))), lambda c, raw: F.lit(None).cast("string"))
+    return rows.withColumn("cells", F.transform("roles.cells", cell)).drop("_raw", "_day")
 
 
 def _first(cells: Column, test) -> Column:
     return F.get(F.filter(cells, test), 0)
 
 
-def _named(cells: Column, name: str) -> Column:
-    """Text of the first column of that name in any case, null if blank."""
-    return _first(cells, lambda x: F.upper(x["name"]) == name)["text"]
+def _at(k: Column) -> Column:
+    return F.get("cells", k)
 
 
-def _entities(cells: Column, of_cell) -> Column:
-    """Different (type, id) of all cells, in column order."""
-    return F.array_distinct(F.flatten(F.transform(cells, lambda x: F.coalesce(of_cell(x), F.array().cast(_ENTITY)))))
+def _those(places: str | Column) -> Column:
+    """The cells at the places of a role."""
+    return F.transform(places, _at)
 
 
-def _entity(kind: Column, key: Column, label: Column) -> Column:
-    return F.array(F.struct(kind.alias("entity_type"), key.alias("entity_id"), label.alias("label")))
+def _named(name: str) -> Column:
+    """Text of the first column of that name in any case, null if blank."""
+    return F.get("cells", F.try_element_at("roles.named", F.lit(name)))["text"]
 
 
 def _relations(pairs: list[tuple[str, Column]]) -> Column:
@@ -126,98 +117,81 @@ def _relations(pairs: list[tuple[str, Column]]) -> Column:
     return F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull()))
 
 
-def ledger_entities(cells: Column) -> Column:
+def _entity(kind: Column, key: Column, label: Column) -> Column:
+    return F.struct(kind.alias("entity_type"), key.alias("entity_id"), label.alias("label"))
+
+
+def ledger_entities() -> Column:
     """By exact column names; a composite account number names a party or asset too. No labels."""
     none = F.lit(None).cast("string")
 
-    def of_cell(x):
-        name = F.upper(x["name"])
-        kind = reduce(lambda rest, kv: F.when(name.isin(kv[1]), F.lit(kv[0])).otherwise(rest), LEDGER_ENTITIES.items(), none)
-        parts = F.transform(exprs.composite_account(x["text"]), lambda e: F.struct(e["entity_type"].alias("entity_type"), e["entity_id"].alias("entity_id"), none.alias("label")))
-        return F.when(x["text"].isNotNull() & kind.isNotNull(), F.when(name == "SACHKONTONUMMER", parts).otherwise(_entity(kind, x["text"], none)))
+    def of_cell(e):
+        x = _at(e["at"])
+        parts = F.transform(exprs.composite_account(x["text"]), lambda p: _entity(p["entity_type"], p["entity_id"], none))
+        own = F.when(e["special"], parts).otherwise(F.array(_entity(e["kind"], x["text"], none)))
+        return F.when(x["text"].isNotNull(), own).otherwise(F.array().cast(_ENTITY))
 
-    return _entities(cells, of_cell)
+    return F.array_distinct(F.flatten(F.transform("roles.entities", of_cell)))
 
 
-def ledger_relations(cells: Column, stem: Column) -> Column:
+def ledger_relations(stem: Column) -> Column:
     """Who posted, and the other side of a posting, which depends on the ledger's file."""
-    of = lambda file, name: F.when(stem == file, _named(cells, name))
+    of = lambda file, name: F.when(stem == file, _named(name))
     return _relations([
-        ("posted_by", F.coalesce(_named(cells, "BENUTZERKENNUNG"), _named(cells, "ERFASSER"))),
+        ("posted_by", F.coalesce(_named("BENUTZERKENNUNG"), _named("ERFASSER"))),
         ("to_account", of("sachkontobuchungen", "GEGENKONTO")),
         ("paid_to", of("lieferantenbuchungen", "LIEFERANTENKONTONUMMER")),
         ("capitalized_to", of("anlagenbuchungen", "ANLAGENGRUPPE")),
     ])
 
 
-def is_label(name: Column) -> Column:
-    return reduce(lambda a, b: a | b, [F.endswith(F.lower(name), F.lit(s)) for s in CSV_LABELS])
-
-
-def account_type(cells: Column) -> Column:
+def account_type() -> Column:
     """What the column ART says an account is (vendor or customer), or null."""
-    art = F.lower(_first(cells, lambda x: (F.lower(x["name"]) == "art") & x["text"].isNotNull() & x["number"].isNull())["text"])
+    art = F.lower(_first(_those("roles.kinds"), lambda x: x["text"].isNotNull() & x["number"].isNull())["text"])
     return reduce(lambda rest, kv: F.when(art == kv[0], F.lit(kv[1])).otherwise(rest), CSV_ACCOUNT_TYPES.items(), F.lit(None).cast("string"))
 
 
 def _used(x: Column) -> Column:
-    """Cells that may name an entity: filled, no label, not zero."""
-    return x["text"].isNotNull() & ~is_label(x["name"]) & (F.coalesce(x["number"], F.lit(1.0)) != 0)
+    """Cells that may name an entity: filled, not zero (columns of labels have no such role)."""
+    return x["text"].isNotNull() & (F.coalesce(x["number"], F.lit(1.0)) != 0)
 
 
-def _label_of(cells: Column, c: Column) -> Column:
-    """Name of what a column's id stands for: columns called after it, then any name column."""
-    filled = lambda x: x["text"].isNotNull() & x["number"].isNull()
-    own = F.upper(c)
-    known = [F.concat(own, F.lit("NAME")), F.concat(own, F.lit("_NAME")), F.concat(own, F.lit("BEZEICHNUNG")), F.lit("NAME"), F.lit("BEZEICHNUNG")]
-    called = lambda k: _first(cells, lambda x: (F.upper(x["name"]) == k) & filled(x))["text"]
-    tries = [called(k) for k in known]
-    tries.append(_first(cells, lambda x: F.startswith(F.lower(x["name"]), F.lower(c)) & F.contains(F.lower(x["name"]), F.lit("name")) & filled(x))["text"])
-    return F.coalesce(*tries)
-
-
-def csv_entities(cells: Column) -> Column:
+def csv_entities() -> Column:
     """The first pattern that a column's name contains gives the type; only KONTO itself is retyped
-    by ART. Repeated entities of a row stay once."""
+    by ART. The label is the first filled one of the columns called after the id's column, or of any
+    name column. Repeated entities of a row stay once."""
 
-    def of_cell(x):
-        kind = exprs.first_match(x["name"], CSV_ENTITIES, None)
-        kind = F.when(F.lower(x["name"]) == "konto", F.coalesce(account_type(cells), kind)).otherwise(kind)
-        return F.when(_used(x) & kind.isNotNull(), _entity(kind, x["text"], _label_of(cells, x["name"])))
+    def of_cell(e):
+        kind = F.when(e["special"], F.coalesce(F.col("_account_type"), e["kind"])).otherwise(e["kind"])
+        label = _first(_those(e["labels"]), lambda x: x["text"].isNotNull() & x["number"].isNull())["text"]
+        return _entity(kind, _at(e["at"])["text"], label)
 
-    return _entities(cells, of_cell)
+    return F.array_distinct(F.transform(F.filter("roles.entities", lambda e: _used(_at(e["at"]))), of_cell))
 
 
-def csv_relations(cells: Column) -> Column:
+def csv_relations() -> Column:
     """Each label's first column that no earlier label took; a column whose entity is of the label
     itself (the users' columns) overrides, the last one."""
-    order = [p for p, _ in CSV_ENTITIES]
-    free = lambda own, before: F.filter(own, lambda x: reduce(lambda a, b: a & b, [~F.equal_null(x["name"], t) for t in before], F.lit(True)))
-    of = lambda parts: F.filter(cells, lambda x: _used(x) & _has(x["name"], parts))
-    strong = lambda own, sooner: F.filter(own, lambda x: ~_has(x["name"], sooner))
-    out, taken = [], []
-    for label, parts in CSV_RELATIONS:
-        first = F.get(free(of(parts), taken), 0)
-        taken = [*taken, first["name"]]
-        value = first["text"]
-        if len(parts) == 1:
-            value = F.coalesce(F.try_element_at(strong(of(parts), order[: order.index(parts[0])]), F.lit(-1))["text"], value)
-        out.append((label, value))
-    return _relations(out)
-
-
-def sheet_entities(cells: Column, strategy: Column) -> Column:
-    """Patterns in order; the first column of a real header falls back to what its file is about.
-    The label is the id."""
-    real = ~F.startswith(F.get(cells, 0)["name"], F.lit("column_"))
+    pair = "array<struct<key: string, value: string>>"
+    start = F.struct(F.array().cast("array<int>").alias("taken"), F.array().cast(pair).alias("pairs"))
+
+    def add(now: Column, x: Column) -> Column:
+        first = _first(x["firsts"], lambda f: _used(_at(f["at"])) & ~F.array_contains(now["taken"], f["same"]))
+        last = F.try_element_at(F.filter(_those(x["lasts"]), _used), F.lit(-1))["text"]
+        own = F.struct(x["label"].alias("key"), F.coalesce(last, _at(first["at"])["text"]).alias("value"))
+        took = F.concat(now["taken"], F.filter(F.array(first["same"]), lambda s: s.isNotNull()))
+        return F.struct(took.alias("taken"), F.concat(now["pairs"], F.array(own)).alias("pairs"))
 
-    def of_cell(x):
-        kind = reduce(lambda rest, p: F.when(F.lower(x["name"]).rlike(p[0]), F.lit(p[1])).otherwise(rest), reversed(SHEET_ENTITIES), F.lit(None).cast("string"))
-        first = real & (x["name"] == F.get(cells, 0)["name"]) & x["text"].rlike(r"(?U)^[\w\-]+$")
-        kind = F.coalesce(kind, F.when(first, strategy))
-        return F.when(x["text"].isNotNull() & kind.isNotNull(), _entity(kind, x["text"], x["text"]))
+    pairs = F.aggregate("roles.relations", start, add)["pairs"]
+    return F.map_from_entries(F.filter(pairs, lambda p: p["value"].isNotNull()))
 
-    return _entities(cells, of_cell)
+
+def sheet_entities(strategy: Column) -> Column:
+    """Patterns in order; the first column of a real header falls back to what its file is about.
+    The label is the id."""
+    usable = lambda e: _at(e["at"])["text"].isNotNull() & (~e["special"] | strategy.isNotNull() & _at(e["at"])["text"].rlike(r"(?U)^[\w\-]+$"))
+    of_cell = lambda e: _entity(F.coalesce(e["kind"], strategy), _at(e["at"])["text"], _at(e["at"])["text"])
+    return F.array_distinct(F.transform(F.filter("roles.entities", usable), of_cell))
 
 
 def sheet_relations(entities: Column) -> Column:
@@ -245,13 +219,12 @@ _OUT = ["record_id", "record_type", "file_id", "path", "sheet", "row_number", "d
 def ledger_records(rows: DataFrame, dossier: str) -> DataFrame:
     """Records of ledgers described by an index. The date is the first filled one of three columns."""
     _, stem = _file()
-    cells = F.col("cells")
     kind = reduce(lambda rest, kv: F.when(stem == kv[0], F.lit(kv[1])).otherwise(rest), LEDGER_TYPES.items(), F.lit("master_data"))
-    amount = _first(cells, lambda x: F.upper(x["name"]) == "BUCHUNGSBETRAG")["number"]
-    out = _numbered(rows, dossier).withColumn("cells", ledger_cells()).withColumns({
-        "record_type": kind, "amount": amount, "entities": ledger_entities(cells), "relationships": ledger_relations(cells, stem),
-        "date": F.coalesce(*[_named(cells, n) for n in LEDGER_FIRST_DATES]), "period": _named(cells, "PERIODENCODE"),
-        "currency": F.coalesce(_named(cells, "BUCHUNGSWÄHRUNG"), _named(cells, "BUCHUNGSWAEHRUNG")), "text": _named(cells, "BUCHUNGSTEXT"),
+    rows = _with_cells(_numbered(rows, dossier), roles.ledger, exprs.strict_date, exprs.german_decimal)
+    out = rows.withColumns({
+        "record_type": kind, "amount": F.get(_those("roles.amounts"), 0)["number"], "entities": ledger_entities(), "relationships": ledger_relations(stem),
+        "date": _first(_those("roles.dates"), lambda x: x["text"].isNotNull())["text"], "period": _named("PERIODENCODE"),
+        "currency": F.coalesce(_named("BUCHUNGSWÄHRUNG"), _named("BUCHUNGSWAEHRUNG")), "text": _named("BUCHUNGSTEXT"),
     })
     return out.select(*_OUT)
 
@@ -260,24 +233,30 @@ def csv_records(rows: DataFrame, dossier: str) -> DataFrame:
     """Records of CSV files: date and amount are the first column's that is called and reads so;
     EUR if there is an amount."""
     name, _ = _file()
-    cells = F.col("cells")
-    date = _first(cells, lambda x: _has(x["name"], CSV_DATES) & x["text"].rlike(_ISO) & x["number"].isNull())["text"]
-    amount = _first(cells, lambda x: _has(x["name"], CSV_AMOUNTS) & x["number"].isNotNull())["number"]
-    out = _numbered(rows, dossier).withColumn("cells", csv_cells()).withColumns({
-        "record_type": exprs.first_match(name, CSV_TYPES, "master_data"), "date": date, "amount": amount, "entities": csv_entities(cells), "relationships": csv_relations(cells),
+    rows = _with_cells(_numbered(rows, dossier), roles.delimited, exprs.loose_date, exprs.german_number)
+    date = _first(_those("roles.dates"), lambda x: x["text"].rlike(_ISO) & x["number"].isNull())["text"]
+    amount = _first(_those("roles.amounts"), lambda x: x["number"].isNotNull())["number"]
+    out = rows.withColumn("_account_type", account_type()).withColumns({
+        "record_type": exprs.first_match(name, CSV_TYPES, "master_data"), "date": date, "amount": amount, "entities": csv_entities(), "relationships": csv_relations(),
     })
     return out.withColumn("period", exprs.period(F.col("date"))).withColumn("currency", F.when(F.col("amount").isNotNull(), "EUR")).select(*_OUT)
 
 
+def _sheet_number(raw: Column) -> Column:
+    """German or plain notation."""
+    return F.coalesce(exprs.cell_number(raw), F.when(raw.rlike(r"^-?\d+(\.\d+)?$"), raw.try_cast("double")))
+
+
 def sheet_records(rows: DataFrame, dossier: str) -> DataFrame:
-    """Records of workbooks' sheets; an ISO time counts as its day."""
+    """Records of workbooks' sheets: numbers wherever they stand, dates stay as they are; an ISO time
+    counts as its day."""
     name, _ = _file()
-    cells = F.col("cells")
     of = lambda k, default: exprs.first_match(name, [(p[0], p[k]) for p in SHEET_TYPES], default, fold=False)
+    rows = _with_cells(_numbered(rows, dossier), roles.sheet, lambda v: F.lit(None).cast("string"), _sheet_number)
     day = lambda x: F.coalesce(exprs.loose_date(x["text"]), F.nullif(F.regexp_extract(x["text"], r"^\d{4}-\d{2}-\d{2}", 0), F.lit("")))
-    date = day(_first(cells, lambda x: F.lower(x["name"]).rlike(SHEET_DATES) & day(x).isNotNull()))
-    amount = _first(cells, lambda x: F.lower(x["name"]).rlike(SHEET_AMOUNTS) & x["number"].isNotNull())["number"]
-    out = _numbered(rows, dossier).withColumn("cells", sheet_cells()).withColumns({"record_type": of(1, "master_data"), "date": date, "amount": amount, "entities": sheet_entities(cells, of(2, None))})
+    date = _first(F.transform(_those("roles.dates"), day), lambda d: d.isNotNull())
+    amount = _first(_those("roles.amounts"), lambda x: x["number"].isNotNull())["number"]
+    out = rows.withColumns({"record_type": of(1, "master_data"), "date": date, "amount": amount, "entities": sheet_entities(of(2, None))})
     return out.withColumns({"relationships": sheet_relations(F.col("entities")), "period": exprs.period(F.col("date")), "currency": F.when(F.col("amount").isNotNull(), "EUR")}).select(*_OUT)
 
 

@@ -82,12 +82,12 @@ def S4_split_ledger(spark, sf_dir):
     return rows.select(cell("SCHLUESSEL").cast("long").alias("o_orderkey"), "row_number", cell("BUCHUNGSDATUM").alias("booked"), cell("BUCHUNGSTEXT").alias("said"), cell("STATUS").alias("status"))
 
 
-@_query(f"""{_NUMBERED} SELECT o_orderkey, CAST(own + blanks + 1 AS INTEGER) AS row_number, CASE WHEN o_orderkey % 2 = 0 THEN 'é,' || chr(10) || chr(10) || '5" ' || o_clerk ELSE '5" ' || o_clerk END AS clerk,
+@_query(f"""{_NUMBERED} SELECT o_orderkey, CAST(own + blanks + 1 AS INTEGER) AS row_number, CASE WHEN o_orderkey % 2 = 0 THEN 'é,' || chr(10) || chr(10) || '5" ' || o_orderpriority ELSE '5" ' || o_orderpriority END AS clerk,
   'KONTO|TEXT|WERT' AS columns FROM o""")
 def S5_split_csv(spark, sf_dir):
     """CSV files with a header: commas, stray quotes, line breaks and letters that aren't ASCII."""
-    quoted = F.concat(F.lit('"é,\n\n5"" '), "o_clerk", F.lit('"'))
-    clerk = F.when(F.col("o_orderkey") % 2 == 0, quoted).otherwise(F.concat(F.lit('5" '), "o_clerk"))
+    quoted = F.concat(F.lit('"é,\n\n5"" '), "o_orderpriority", F.lit('"'))
+    clerk = F.when(F.col("o_orderkey") % 2 == 0, quoted).otherwise(F.concat(F.lit('5" '), "o_orderpriority"))
     line = _blank_before(F.concat(_text("o_orderkey"), F.lit(","), clerk, F.lit(",x,too many")))
     folder = _files(read(spark, sf_dir, "orders"), "o_orderkey", line, "csv", "KONTO,TEXT,WERT")
     rows = delimited.scan(_split(spark), folder)
