@@ -158,47 +158,6 @@ def paths(edges: DataFrame, pairs: DataFrame, most: int = 6) -> DataFrame:
     return pairs.select("start", "end").join(known, ["start", "end"], "left").select("start", "end", (F.array_size("path") - 1).alias("length"), "path")
 
 
-def break_cycles(edges: DataFrame, most: int = 10_000) -> DataFrame:
-    """graph_id, source, target, edge_id, dropped: in each group (a process graph, bounded by
-    the fan-out limit), a depth-first walk in sorted order drops edges back to a node on its
-    path. Groups of more than `most` edges are no process graphs and too much for one task: their
-    edges all stay, with `dropped` null."""
-    import pandas as pd
-
-    size = edges.groupBy("graph_id").agg(F.count("*").alias("_n")).where(F.col("_n") > most)
-    edges = edges.select("graph_id", "source", "target", "edge_id")
-    large = edges.join(size.select("graph_id"), "graph_id", "left_semi").withColumn("dropped", F.lit(None).cast("boolean"))
-    edges = edges.join(size, "graph_id", "left_anti")
-
-    def walk(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["source", "target", "edge_id"]).reset_index(drop=True)
-        after: dict[str, list[int]] = {}
-        for i, s in enumerate(group.source):
-            after.setdefault(s, []).append(i)
-        state: dict[str, int] = {}
-        dropped = [False] * len(group)
-        for first in sorted(set(group.source) | set(group.target)):
-            if first in state:
-                continue
-            state[first], path = 1, [(first, iter(after.get(first, [])))]
-            while path:
-                here, rest = path[-1]
-                i = next(rest, None)
-                if i is None:
-                    state[here] = 2
-                    path.pop()
-                    continue
-                to = group.target[i]
-                if state.get(to) == 1:
-                    dropped[i] = True
-                elif to not in state:
-                    state[to] = 1
-                    path.append((to, iter(after.get(to, []))))
-        return group.assign(dropped=dropped)
-
-    return edges.groupBy("graph_id").applyInPandas(walk, "graph_id string, source string, target string, edge_id string, dropped boolean").unionByName(large)
-
-
 def edge_table(families: list[DataFrame], dossier: str) -> DataFrame:
     """One table of all edge families (source, target, edge_type, record_id): an edge for each of its
     triples, with the sorted records that justify it and an id made of all this."""
@@ -207,20 +166,3 @@ def edge_table(families: list[DataFrame], dossier: str) -> DataFrame:
         rows = rows.unionByName(more)
     edges = rows.groupBy("source", "target", "edge_type").agg(F.array_sort(F.collect_set("record_id")).alias("record_ids"))
     return edges.withColumn("edge_id", exprs.edge_id(dossier, F.col("source"), F.col("target"), F.col("edge_type"), F.col("record_ids")))
-
-
-def process_graphs(nodes: DataFrame, members: DataFrame, edges: DataFrame, most: int) -> DataFrame:
-    """graph_id, n_nodes, n_edges, n_sources, n_sinks, had_cycle, capped of every process graph;
-    a node (node_id) of no component is a graph of its own. Sources and sinks are counted
-    after cycles were broken; a graph of more than `most` nodes is flagged as capped and whole."""
-    whole = nodes.join(members, "node_id", "left").select("node_id", F.coalesce("graph_id", "node_id").alias("graph_id"))
-    text = lambda c: F.col(c).cast("string").alias(c)
-    own = induced_edges(edges, members).select(text("graph_id"), text("source"), text("target"))
-    own = break_cycles(own.withColumn("edge_id", F.concat_ws("-", "source", "target")))
-    ends = own.where(~F.coalesce("dropped", F.lit(False)))
-    ends = ends.select("graph_id", F.explode(F.array(F.struct(F.col("source").alias("n"), F.lit(1).alias("o")), F.struct(F.col("target").alias("n"), F.lit(0).alias("o")))).alias("e"))
-    degree = ends.groupBy("graph_id", F.col("e.n").alias("node_id")).agg(F.sum("e.o").alias("n_out"), F.sum(1 - F.col("e.o")).alias("n_in"))
-    rows = whole.select(text("graph_id"), text("node_id")).join(degree, ["graph_id", "node_id"], "left").na.fill(0, ["n_out", "n_in"])
-    sums = rows.groupBy("graph_id").agg(F.count("*").alias("n_nodes"), F.count_if(F.col("n_in") == 0).alias("n_sources"), F.count_if(F.col("n_out") == 0).alias("n_sinks"))
-    counts = own.groupBy("graph_id").agg(F.count("*").alias("n_edges"), F.coalesce(F.bool_or("dropped"), F.lit(False)).alias("had_cycle"))
-    return sums.join(counts, "graph_id", "left").na.fill(0, ["n_edges"]).na.fill(False, ["had_cycle"]).withColumn("capped", F.col("n_nodes") > most)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyweave.functions import exprs
-from tallyweave.operators import brief, components, evidence, graph, profile, rules, store
+from tallyweave.operators import brief, components, cycles, evidence, graph, processes, profile, rules, store
 from tallyweave.plans.catalog import _EDGES, _SHAPES, _VENDORS, _entries, _returned, _vendor_edges
 from tallyweave.sources import tables
 from tallyweave.sources.tables import SQL as RECORDS
@@ -91,18 +91,36 @@ def _rings(spark, sf_dir) -> DataFrame:
 
 @_query(f"{_RINGS} SELECT graph_id, source, target, closes AS dropped FROM r")
 def G5_cycle_breaking(spark, sf_dir):
-    cut = graph.break_cycles(_rings(spark, sf_dir))
+    cut = cycles.break_cycles(_rings(spark, sf_dir))
     return cut.select("graph_id", F.col("source").cast("long"), F.col("target").cast("long"), "dropped")
 
 
-@_query(f"""{_MEMBERS}, w AS (SELECT DISTINCT o_orderkey AS node, coalesce(graph_id, o_orderkey) AS graph_id FROM orders LEFT JOIN m ON m.node = o_orderkey),
-d AS (SELECT w.graph_id, w.node, (SELECT count(*) FROM e WHERE e.b = w.node) AS n_in, (SELECT count(*) FROM e WHERE e.a = w.node) AS n_out FROM w)
-SELECT CAST(graph_id AS VARCHAR) AS graph_id, count(*) AS n_nodes, CAST(sum(n_out) AS BIGINT) AS n_edges, count(*) FILTER (WHERE n_in = 0) AS n_sources, count(*) FILTER (WHERE n_out = 0) AS n_sinks,
-  false AS had_cycle, count(*) > 20 AS capped FROM d GROUP BY 1""")
+_PROCESSES = f"""
+WITH {RECORDS}, l AS (SELECT DISTINCT 'record:' || record_id AS node, doc_id, 'vendor:' || vendor_id AS vendor, flag FROM lines), i AS (SELECT 'record:Z' || record_id AS node, doc_id FROM invoices),
+n AS (SELECT node, doc_id, NULL AS vendor, NULL AS flag FROM i UNION ALL SELECT * FROM l WHERE doc_id IN (SELECT doc_id FROM i)),
+g AS (SELECT doc_id, list_sort(list(DISTINCT substr(node, 8))) AS records, coalesce(list_sort(list(DISTINCT vendor) FILTER (WHERE vendor IS NOT NULL)), []) AS vendors,
+  min(node) AS first, count(DISTINCT node) FILTER (WHERE vendor IS NOT NULL) AS n_lines, count(*) FILTER (WHERE flag = 'R') AS n_back, count(DISTINCT vendor) AS n_vendors FROM n GROUP BY 1)"""
+
+
+def _processes(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Each order's lines in a chain that ends in its invoice, which pays the lines' vendors; vendors
+    lead back to their returned lines, so these orders have cycles."""
+    invoices = tables.invoices(spark, sf_dir).select(F.concat(F.lit("record:Z"), "record_id").alias("node_id"), "doc_id")
+    lines = tables.lines(spark, sf_dir).select(F.concat(F.lit("record:"), "record_id").alias("node_id"), "doc_id", F.concat(F.lit("vendor:"), "vendor_id").alias("vendor"), "flag").distinct().join(invoices.select("doc_id"), "doc_id", "left_semi")
+    both = invoices.unionByName(lines.select("node_id", "doc_id"))
+    chain = both.withColumn("next", F.lead("node_id").over(Window.partitionBy("doc_id").orderBy("node_id"))).where("next IS NOT NULL")
+    pays = lines.select("doc_id", "vendor").distinct().join(invoices, "doc_id")
+    edge = lambda rows, a, b, kind: rows.select(F.col(a).alias("source"), F.col(b).alias("target"), F.lit(kind).alias("edge_type"))
+    edges = edge(chain, "node_id", "next", "document_join").unionByName(edge(pays, "node_id", "vendor", "paid_to")).unionByName(edge(lines.where("flag = 'R'"), "vendor", "node_id", "has_receipt"))
+    return both.select("node_id"), edges.withColumn("edge_id", F.concat_ws("|", "source", "target", "edge_type"))
+
+
+@_query(f"""{_PROCESSES}, h AS (SELECT *, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('tables|' || array_to_string(records, '|'))) AS x FROM g)
+SELECT 'PG-' || left(x, 12) || '5' || substr(x, 14, 3) AS graph_id, array_to_string(records, ' ') AS record_ids, array_to_string(vendors, ' ') AS entity_node_ids, first AS source_node_ids,
+  CASE WHEN n_vendors = 0 THEN first ELSE array_to_string(vendors, ' ') END AS sink_node_ids, CAST(len(records) AS BIGINT) AS record_count, n_lines + n_vendors + n_back AS n_edges, len(records) > 4 AS capped, n_back > 0 AS had_cycle FROM h""")
 def G4_process_graphs(spark, sf_dir):
-    edges, members = _members(spark, sf_dir)
-    nodes = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("node_id")).distinct()
-    return graph.process_graphs(nodes, members, edges, 20)
+    found = processes.process_graphs(*_processes(spark, sf_dir), "tables", cap=4)
+    return found.withColumns({c: F.array_join(c, " ") for c in ("record_ids", "entity_node_ids", "source_node_ids", "sink_node_ids")})
 
 
 _FAMILIES = f"""

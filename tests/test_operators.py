@@ -57,12 +57,6 @@ def test_users_are_inherited_only_if_all_agree(spark):
     assert [tuple(r) for r in got] == [("b", "u1", "a")]
 
 
-def test_cycles_are_broken_in_sorted_order(spark):
-    edges = [("g", "a", "b", "1"), ("g", "b", "c", "2"), ("g", "c", "a", "3"), ("g", "a", "a", "4"), ("h", "x", "y", "5")]
-    got = {r.edge_id: r.dropped for r in graph.break_cycles(spark.createDataFrame(edges, "graph_id string, source string, target string, edge_id string")).collect()}
-    assert got == {"1": False, "2": False, "3": True, "4": True, "5": False}
-
-
 def test_completeness_of_entries(spark):
     rows = [("g1", "M1", "2024-01-05", 100.0, "400001", None, "M1-DOC"), ("g2", "M3", None, None, None, None, " "), ("g2", "M4", "", None, None, "c", None)]
     df = spark.createDataFrame(rows, "graph_id string, record_id string, date string, amount double, vendor_id string, customer_id string, doc_id string")

@@ -26,18 +26,3 @@ def test_sieve_loses_nothing(spark):
     got = {r.k for r in skew.sieve(rows, "k", ids).collect()}
     assert {r.i for r in ids.collect()} <= got and len(got) < 2000
     assert skew.sieve(rows, "k", ids.limit(0)).count() == 0
-
-
-def test_cycles_in_large_groups_stay_whole(spark):
-    ring = spark.createDataFrame([("g", f"{k}", f"{(k + 1) % 5}", f"e{k}") for k in range(5)], "graph_id string, source string, target string, edge_id string")
-    assert [r.edge_id for r in graph.break_cycles(ring).where("dropped").collect()] == ["e4"]
-    assert graph.break_cycles(ring, most=4).where("dropped is null").count() == 5
-
-
-def test_process_graphs_with_singletons_and_cycles(spark):
-    nodes = spark.createDataFrame([(k,) for k in range(6)], "node_id long")
-    members = spark.createDataFrame([(0, 0), (0, 1), (0, 2), (3, 3), (3, 4)], "graph_id long, node_id long")
-    edges = spark.createDataFrame([(0, 1), (1, 2), (2, 0), (3, 4)], "source long, target long")
-    got = {r.graph_id: r for r in graph.process_graphs(nodes, members, edges, 2).collect()}
-    told = {g: (r.n_nodes, r.n_edges, r.n_sources, r.n_sinks, r.had_cycle, r.capped) for g, r in got.items()}
-    assert told == {"0": (3, 3, 1, 1, True, True), "3": (2, 1, 1, 1, False, False), "5": (1, 0, 1, 1, False, False)}
