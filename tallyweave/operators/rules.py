@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyweave.operators.substrings import contained
+
 MONEY = "decimal(18,2)"
 
 
@@ -59,9 +61,8 @@ def split_payments(postings: DataFrame, low: float, high: float, keys: list[str]
 
 
 def permissions_of(users: DataFrame, permissions: DataFrame) -> DataFrame:
-    """Permission rows that name a user anywhere in their text, or nobody. Texts are cut into
-    words first, so the rows are joined on words. users: user; permissions: perm_id, text."""
-    words = permissions.select("perm_id", "text", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}-]+"))).alias("word"))
-    named = words.join(users.select("user", F.lower("user").alias("word")), "word").select("perm_id", "user", "text")
+    """Permission rows that name a user anywhere in their text, inside of longer words too, or nobody.
+    users: user; permissions: perm_id, text."""
+    named = contained(users.select(F.col("user").alias("name")), permissions).withColumnRenamed("name", "user")
     blank = permissions.where(F.coalesce(F.trim("text"), F.lit("")) == "").select("perm_id", F.lit(None).cast("string").alias("user"), "text")
-    return named.unionByName(blank).distinct()
+    return permissions.join(named, "text").select("perm_id", "user", "text").unionByName(blank).distinct()

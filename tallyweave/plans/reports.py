@@ -273,11 +273,12 @@ def L8_best_group(spark, sf_dir):
 
 
 @_query("""
-SELECT e.user_id, u.text, count(*) AS n FROM events e JOIN (SELECT DISTINCT user_id, 'u' || user_id AS text FROM events WHERE event_type = 'error') u USING (user_id) GROUP BY ALL""")
+WITH u AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'error'), t AS (SELECT 'Rolle-U' || user_id || 'x' AS text, count(*) AS n FROM events GROUP BY 1)
+SELECT user_id, text, n FROM u JOIN t ON contains(lower(text), 'u' || user_id)""")
 def J12_permissions(spark, sf_dir):
     events = read(spark, sf_dir, "events")
     users = events.where("event_type = 'error'").select(F.concat(F.lit("u"), "user_id").alias("user")).distinct()
-    rows = events.select(F.col("event_id").alias("perm_id"), F.concat(F.lit("u"), "user_id").alias("text"))
+    rows = events.select(F.col("event_id").alias("perm_id"), F.concat(F.lit("Rolle-U"), "user_id", F.lit("x")).alias("text"))
     return rules.permissions_of(users, rows).groupBy(F.substring("user", 2, 20).cast("long").alias("user_id"), "text").agg(F.count("*").alias("n"))
 
 
