@@ -106,3 +106,13 @@ def test_process_graphs(spark, task):
         ("d",): ([], ["record:d"], ["record:d"], 0, False, False),
     }
     assert all(r.graph_id.startswith("PG-") and len(r.graph_id) == 19 for r in got.values())
+
+
+def test_sections_keep_their_first_lines(spark):
+    from tallyweave.operators import sections
+
+    lines = spark.createDataFrame([("g", 2, f"r{k}", 0, "", "x" * 10) for k in range(9)] + [("h", 2, "r", 0, "", "y")], "graph_id string, section int, a string, n int, b string, line string")
+    graphs = spark.createDataFrame([("g",), ("h",), ("i",)], "graph_id string")
+    got = {(r.graph_id, r.section): r.text for r in sections.fitted(lines, graphs, sections.BUDGETS | {"Records": 60}).collect()}
+    assert got["g", 2] == "\n".join(["x" * 10] * 3 + ["... 6 more"]) and got["h", 2] == "y" and ("i", 2) not in got
+    assert got["i", 4] == sections.EMPTY["Relationships"] and got["i", 6] == "\n".join(sections.CONVENTIONS)
