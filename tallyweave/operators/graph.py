@@ -32,10 +32,14 @@ def fan_out(ids: DataFrame) -> DataFrame:
 
 
 def genuine(ids: DataFrame, most: int = FAN_OUT) -> DataFrame:
-    """Ids of 2 to `most` records. Counted by a grouped sum and joined back, so that an id with
-    many records is never gathered in one task's window; those left are small groups."""
-    kept = fan_out(ids).where(F.col("n_records").between(2, most)).select("doc_id")
-    return ids.join(kept, "doc_id")
+    """The rows of ids of 2 to `most` records, once each, together by id. Rows are ranked in their id's
+    order, and no task passes on more than `most` + 1 records of an id, so an id with very many never
+    meets in one task; it shows by its rank that it has too many."""
+    order = Window.partitionBy("doc_id").orderBy(F.coalesce("date", F.lit("")), "record_type", "record_id")
+    few = ids.withColumn("_k", F.dense_rank().over(order)).where(F.col("_k") <= most + 1).dropDuplicates(["doc_id", "record_id", "_k"])
+    own = Window.partitionBy("doc_id")
+    sized = few.withColumn("_n", F.size(F.collect_set("record_id").over(own))).withColumn("_most", F.max("_k").over(own))
+    return sized.where((F.col("_n") >= 2) & (F.col("_most") <= most)).drop("_k", "_n", "_most")
 
 
 def document_join(ids: DataFrame, most: int = FAN_OUT) -> DataFrame:
@@ -56,13 +60,13 @@ def has_receipt(postings: DataFrame, receipts: DataFrame) -> DataFrame:
 def inherited_users(ids: DataFrame, users: DataFrame, most: int = FAN_OUT) -> DataFrame:
     """(record_id, user_id, basis_id): records without a user take the one of their document's
     other records if these name exactly one; basis is the least record that names it.
-    users: record_id, user_id (a record's first user)."""
-    known = genuine(ids, most).join(users.where(F.col("user_id").isNotNull()), "record_id", "left")
-    agreed = known.groupBy("doc_id").agg(
-        F.count_distinct("user_id").alias("n_users"), F.max("user_id").alias("one_user"), F.min(F.when(F.col("user_id").isNotNull(), F.col("record_id"))).alias("basis_id")
-    )
-    lacking = known.where(F.col("user_id").isNull()).select("doc_id", "record_id")
-    return lacking.join(agreed.where(F.col("n_users") == 1), "doc_id").select("record_id", F.col("one_user").alias("user_id"), "basis_id").distinct()
+    users: record_id, user_id (a record's first user). What an id's few records agree on is worked out
+    where they are together already."""
+    known = genuine(ids.join(users.where(F.col("user_id").isNotNull()).select("record_id", "user_id"), "record_id", "left"), most)
+    own = Window.partitionBy("doc_id")
+    basis = F.min(F.when(F.col("user_id").isNotNull(), F.col("record_id"))).over(own)
+    told = known.select("record_id", "user_id", F.min("user_id").over(own).alias("_lo"), F.max("user_id").over(own).alias("_hi"), basis.alias("basis_id"))
+    return told.where(F.col("user_id").isNull() & (F.col("_lo") == F.col("_hi"))).select("record_id", F.col("_lo").alias("user_id"), "basis_id").distinct()
 
 
 def references(entities: DataFrame, relationships: DataFrame, kinds: DataFrame) -> DataFrame:
@@ -103,13 +107,16 @@ def degrees(edges: DataFrame, members: DataFrame) -> DataFrame:
     return members.join(sums, ["graph_id", "node_id"], "left").na.fill(0, ["n_in", "n_out"])
 
 
-def neighbors(edges: DataFrame, nodes: DataFrame, limit: int = 20) -> DataFrame:
-    """The first `limit` neighbours of each asked node by direction ('in' first), type and id."""
-    asked = nodes.select("node_id")
-    out = edges.join(asked, edges["source"] == asked["node_id"]).select("node_id", F.lit("out").alias("direction"), "edge_type", F.col("target").alias("neighbor"))
-    into = edges.join(asked, edges["target"] == asked["node_id"]).select("node_id", F.lit("in").alias("direction"), "edge_type", F.col("source").alias("neighbor"))
-    ranked = F.row_number().over(Window.partitionBy("node_id").orderBy("direction", "edge_type", "neighbor"))
-    return out.unionByName(into).distinct().withColumn("rank", ranked).where(F.col("rank") <= limit)
+def neighbors(edges: DataFrame, nodes: DataFrame, limit: int = 20, edge_type: str | None = None) -> DataFrame:
+    """The first `limit` neighbours of each asked node by direction ('in' first), type and id, of one
+    edge type if it is given. Both directions are brought to their nodes once; a rank that is the same
+    for repeated edges lets each task pass on a node's first ones only."""
+    edges = edges if edge_type is None else edges.where(F.col("edge_type") == edge_type)
+    side = lambda own, way, other: edges.select(F.col(own).alias("node_id"), F.lit(way).alias("direction"), "edge_type", F.col(other).alias("neighbor"))
+    both = side("source", "out", "target").unionByName(side("target", "in", "source"))
+    rank = F.dense_rank().over(Window.partitionBy("node_id").orderBy("direction", "edge_type", "neighbor"))
+    first = both.withColumn("rank", rank).where(F.col("rank") <= limit).dropDuplicates(["node_id", "rank"])
+    return first.join(nodes.select("node_id").distinct(), "node_id", "left_semi")
 
 
 def distances(edges: DataFrame, start: DataFrame, most: int) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyweave.operators.ranks import ranked
+from tallyweave.shared import written
 
 QUANTILES = (0.0, 0.25, 0.5, 0.75, 0.9, 0.99, 1.0)
 MONEY = "decimal(18,2)"
@@ -39,13 +40,15 @@ def quantiles(rows: DataFrame, value: str, points: tuple[float, ...] = QUANTILES
 
 def entity_profile(links: DataFrame, kinds: list[str]) -> DataFrame:
     """Profile of each entity. links: entity_id, edge_type, record_id, date, amount. Records
-    count once for an entity; edge types that it lacks count 0."""
-    once = links.dropDuplicates(["entity_id", "record_id"]).groupBy("entity_id").agg(
+    count once for an entity; edge types that it lacks count 0. Links are summed for each record first,
+    then for each entity."""
+    counts = [F.count_if(F.col("edge_type") == k).alias(k) for k in kinds]
+    once = links.groupBy("entity_id", "record_id").agg(F.min(F.struct("date", "amount")).alias("r"), *counts)
+    return once.select("entity_id", "r.*", *kinds).groupBy("entity_id").agg(
         F.count("*").alias("n_records"), F.min("date").alias("first_date"), F.max("date").alias("last_date"),
         money_sum("amount").alias("sum_amount"), F.round(money_sum("amount") / F.count("amount"), 4).alias("mean_amount"),
-    )
-    edges = links.groupBy("entity_id").pivot("edge_type", kinds).count().na.fill(0)
-    return once.join(edges, "entity_id")
+        *[F.sum(k).alias(k) for k in kinds],
+    )
 
 
 def completeness(entries: DataFrame) -> DataFrame:
@@ -69,6 +72,23 @@ def fill_rates(entries: DataFrame, fields: list[str], by: str = "graph_id") -> D
     return rows.groupBy(by, "field").agg(F.count_if(F.coalesce(F.trim("v") != "", F.lit(False))).alias("filled"), F.count("*").alias("applicable"))
 
 
+def entry_facts(entries: DataFrame) -> DataFrame:
+    """graph_id, shape, n_records, score and the dimensions of completeness of each entry: entries are
+    summed for each record type first, then put together, in one pass over them."""
+    full = lambda c: F.coalesce(F.trim(c) != "", F.lit(False))
+    kinds = entries.groupBy("graph_id", "record_type").agg(
+        F.count("*").alias("n"), F.max(F.abs("amount")).alias("score"), F.max(full("date")).alias("has_date"), F.max(F.col("amount").isNotNull()).alias("has_amount"),
+        F.max(full("vendor_id") | full("customer_id")).alias("has_counterparty"), F.max(full("doc_id")).alias("has_document"),
+    )
+    return kinds.groupBy("graph_id").agg(
+        F.array_join(F.array_sort(F.collect_list(F.concat_ws("x", "record_type", "n"))), "|").alias("shape"), F.sum("n").alias("n_records"),
+        F.coalesce(F.max("score"), F.lit(0.0)).alias("score"), *[F.max(c).alias(c) for c in DIMENSIONS],
+    )
+
+
+DIMENSIONS = ["has_date", "has_amount", "has_counterparty", "has_document"]
+
+
 def shapes(entries: DataFrame) -> DataFrame:
     """(graph_id, shape): the sorted multiset of an entry's record types, as counted pairs."""
     counts = entries.groupBy("graph_id", "record_type").agg(F.count("*").alias("n"))
@@ -76,11 +96,14 @@ def shapes(entries: DataFrame) -> DataFrame:
     return counts.groupBy("graph_id").agg(F.array_join(F.array_sort(F.collect_list(pair)), "|").alias("shape"))
 
 
+def of_shapes(facts: DataFrame) -> DataFrame:
+    """Entries of each shape, and how many have each completeness dimension. facts: as entry_facts gives them."""
+    return facts.groupBy("shape").agg(F.count("*").alias("n_entries"), *(F.count_if(F.col(d)).alias(f"with_{d[4:]}") for d in DIMENSIONS))
+
+
 def shape_profile(entries: DataFrame) -> DataFrame:
     """Entries of each shape, and how many have each completeness dimension."""
-    whole = shapes(entries).join(completeness(entries), "graph_id")
-    dims = ["has_date", "has_amount", "has_counterparty", "has_document"]
-    return whole.groupBy("shape").agg(F.count("*").alias("n_entries"), *(F.count_if(F.col(d)).alias(f"with_{d[4:]}") for d in dims))
+    return of_shapes(entry_facts(entries))
 
 
 def scores(entries: DataFrame) -> DataFrame:
@@ -98,12 +121,12 @@ def ranked_entries(entries: DataFrame, most: int | None = None) -> DataFrame:
     """Entries by materiality: more quantile points of all amounts reached, rarer shape, more
     of what others of the shape have missing, graph_id. `rank` counts from 1."""
     points = quantiles(entries, "amount").select("value")
-    scored = scores(entries)
-    reached = scored.join(F.broadcast(points), F.col("score") >= F.col("value"), "left").groupBy("graph_id", "score").agg(F.count("value").alias("amount_rank"))
-    whole = shapes(entries).join(completeness(entries), "graph_id")
+    facts = written(entry_facts(entries), "entry-facts")  # read for the shapes' sums too
+    reached = facts.join(F.broadcast(points.agg(F.collect_list("value").alias("points"))))  # one row of seven points
+    reached = reached.withColumn("amount_rank", F.size(F.filter("points", lambda p: F.col("score") >= p)).cast("long"))
     dims = ["date", "amount", "counterparty", "document"]
     lacking = sum(((~F.col(f"has_{d}")) & (F.col(f"with_{d}") > 0)).cast("int") for d in dims)
-    rows = whole.join(shape_profile(entries), "shape").select("graph_id", "shape", "n_entries", lacking.alias("absences")).join(reached, "graph_id")
+    rows = reached.join(of_shapes(facts), "shape").select("graph_id", "score", "amount_rank", "n_entries", lacking.alias("absences"))
     order = [F.desc("amount_rank"), F.asc("n_entries"), F.desc("absences"), F.asc("graph_id")]
     columns = ["graph_id", "score", "amount_rank", "n_entries", "absences"]
     if most is not None:  # a report: Spark keeps the first rows of each task and merges them
