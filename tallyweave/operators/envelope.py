@@ -260,6 +260,30 @@ def sheet_records(rows: DataFrame, dossier: str) -> DataFrame:
     return out.withColumns({"relationships": sheet_relations(F.col("entities")), "period": exprs.period(F.col("date")), "currency": F.when(F.col("amount").isNotNull(), "EUR")}).select(*_OUT)
 
 
+def text_records(rows: DataFrame, dossier: str) -> DataFrame:
+    """Records of running text (documents, pages, XML): the users it names, its first amount in euros and
+    its first date."""
+    none = F.lit(None).cast("string")
+    users = F.transform(exprs.user_ids(F.col("text")), lambda u: _entity(F.lit("user"), u, none))
+    cells = F.transform("columns", lambda c: F.struct(c.alias("name"), F.nullif(F.trim(F.try_element_at("data", c)), F.lit("")).alias("text"), F.lit(None).cast("double").alias("number")))
+    out = _numbered(rows.where("text IS NOT NULL"), dossier).withColumns({
+        "record_type": F.lit("document_text"), "cells": cells, "entities": users, "relationships": F.create_map().cast("map<string,string>"),
+        "amount": exprs.euro_amount(F.col("text")), "date": exprs.date_in_text(F.col("text")),
+    })
+    return out.withColumns({"period": exprs.period(F.col("date")), "currency": F.when(F.col("amount").isNotNull(), "EUR")}).select(*_OUT)
+
+
+def records(rows: DataFrame, dossier: str) -> DataFrame:
+    """Rows of files of all kinds as records of one envelope, each by its file's type. Rows that tell of
+    an error give none."""
+    kind = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
+    of = {"txt": ledger_records, "csv": csv_records, "xlsx": sheet_records}
+    out = text_records(rows.where(~kind.isin(*of)), dossier)
+    for name, build in of.items():
+        out = out.unionByName(build(rows.where(kind == name), dossier))
+    return out
+
+
 def node_type(entity_type: Column, entity_id: Column) -> Column:
     """An asset without a hyphen is a group of assets, thus an account."""
     return F.when((entity_type == "asset") & ~F.contains(entity_id, F.lit("-")), F.lit("account")).otherwise(entity_type)

@@ -9,8 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tallyweave.functions import exprs
+from tallyweave.operators import envelope, preview
+from tallyweave.plans.ledgers import _JOURNAL as JOURNAL_SQL
+from tallyweave.plans.ledgers import _journal as journal_rows
 from tallyweave.shared import new_folder
-from tallyweave.sources import delimited
+from tallyweave.sources import delimited, files
 from tallyweave.sources.tables import read
 
 _QUERIES, _SQL = {}, {}
@@ -92,3 +96,74 @@ def S5_split_csv(spark, sf_dir):
     folder = _files(read(spark, sf_dir, "orders"), "o_orderkey", line, "csv", "KONTO,TEXT,WERT")
     rows = delimited.scan(_split(spark), folder)
     return rows.select(F.col("data")["KONTO"].cast("long").alias("o_orderkey"), "row_number", F.col("data")["TEXT"].alias("clerk"), F.array_join("columns", "|").alias("columns"))
+
+
+@_query("""
+WITH r AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS k FROM documents),
+c AS (SELECT doc_id, k, string_split(line, ' ') AS cells, list_filter(list_transform(string_split(line, ' '), lambda x: trim(x)), lambda x: x <> '') AS full_ FROM r WHERE k < 15),
+h AS (SELECT doc_id, k FROM c WHERE len(full_) >= 2 AND len(full_) >= 0.5 * len(cells) AND len(list_filter(full_, lambda x: NOT regexp_matches(x, '^-?[0-9.,]+$'))) >= 0.8 * len(full_) AND len(list_distinct(full_)) >= 0.8 * len(full_))
+SELECT doc_id, CAST(min(h.k) AS INTEGER) AS header FROM documents LEFT JOIN h USING (doc_id) GROUP BY doc_id""")
+def P12_header_rows(spark, sf_dir):
+    """Each document is a sheet, its lines are rows and its words cells."""
+    rows = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("sheet"), F.posexplode(F.split("text", "\n")).alias("k", "line"))
+    found = preview.header_rows(rows.select("sheet", "k", F.split("line", " ").alias("cells")))
+    return found.withColumnRenamed("sheet", "doc_id")
+
+
+_KINDS = ", ".join(f"'{k}'" for k in files.MIME)
+_TYPES = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in files.MIME.items())
+
+
+@_query(f"WITH p AS (SELECT p_partkey, [{_KINDS}, '', '.TMP'][p_partkey % {len(files.MIME) + 2} + 1] AS ext FROM part) SELECT p_partkey, CASE ext {_TYPES} ELSE 'application/octet-stream' END AS mime FROM p")
+def P2_file_types(spark, sf_dir):
+    """The types of the export's own files, whatever the case of their names."""
+    ends = F.array(*[F.lit(k.upper() if i % 2 else k) for i, k in enumerate([*files.MIME, "", ".TMP"])])
+    path = F.concat(F.lit("a.b/"), "p_name", F.get(ends, (F.col("p_partkey") % (len(files.MIME) + 2)).cast("int")))
+    return read(spark, sf_dir, "part").select("p_partkey", exprs.mime_type(path, files.MIME).alias("mime"))
+
+
+@_query(f"WITH {JOURNAL_SQL} SELECT row_number, coalesce(user, writer) AS user_id FROM j")
+def W5_first_user_of_record(spark, sf_dir):
+    """The first user among a record's entities, by their order in it."""
+    rows = envelope.ledger_records(journal_rows(spark, sf_dir), "d").select("row_number", F.posexplode("entities").alias("k", "e"))
+    return rows.where("e.entity_type = 'user'").groupBy("row_number").agg(F.min_by("e.entity_id", "k").alias("user_id"))
+
+
+@_query("""
+WITH f AS (SELECT CAST(n_nationkey AS BIGINT) AS file FROM nation UNION ALL SELECT 99), r AS (SELECT c_nationkey AS file, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS k, c_name, CAST(CAST(c_acctbal AS DECIMAL(18,2)) AS VARCHAR) AS saldo FROM customer WHERE c_nationkey % 7 <> 6),
+s AS (SELECT file, count(*) AS total, string_agg(CASE WHEN file % 3 = 0 THEN 'Kunde ' || c_name ELSE c_name || ';' || CASE WHEN c_custkey % 2 = 0 THEN '' ELSE saldo END END, chr(10) ORDER BY k) FILTER (WHERE k > 1 AND k <= 4) AS rows FROM r GROUP BY 1)
+SELECT file, CASE WHEN total IS NULL THEN 'empty' WHEN file % 3 = 0 THEN 'text' ELSE 'table' END AS kind, CASE WHEN total IS NULL OR file % 3 = 0 THEN '' ELSE 'NAME;SALDO' END AS headers, coalesce(total, 0) AS total, coalesce(rows, '') AS rows FROM f LEFT JOIN s USING (file)""")
+def K3_previews(spark, sf_dir):
+    """A file for each nation: tables, running text, or nothing; a page of three rows after the first."""
+    rows = read(spark, sf_dir, "customer").where("c_nationkey % 7 <> 6")
+    text, name = F.col("c_nationkey") % 3 == 0, F.col("c_name")
+    saldo = F.when(F.col("c_custkey") % 2 != 0, F.col("c_acctbal").cast("decimal(18,2)").cast("string"))
+    rows = rows.select(
+        F.col("c_nationkey").cast("long").alias("path"), F.col("c_custkey").alias("row_number"), F.when(text, F.array().cast("array<string>")).otherwise(F.array(F.lit("NAME"), F.lit("SALDO"))).alias("columns"),
+        F.create_map(F.lit("NAME"), name, F.lit("SALDO"), saldo).alias("data"), F.when(text, F.concat(F.lit("Kunde "), name)).alias("text"),
+    )
+    paths = read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("path")).unionByName(spark.range(99, 100).select(F.col("id").alias("path")))
+    found = preview.previews(paths, rows, 3, 1)
+    lines = F.array_join(F.transform(F.coalesce("rows", F.array().cast("array<array<string>>")), lambda r: F.array_join(r, ";")), "\n")
+    return found.select(F.col("path").alias("file"), "kind", F.array_join("headers", ";").alias("headers"), "total", lines.alias("rows"))
+
+
+@_query(f"""
+WITH {JOURNAL_SQL}, t AS (SELECT c_custkey, strftime(DATE '2024-01-01' + CAST(c_custkey % 300 AS INTEGER), '%Y-%m-%d') AS day, CAST(CAST(abs(c_acctbal) AS DECIMAL(18,2)) AS DOUBLE) AS amount FROM customer),
+c AS (SELECT s_suppkey, CAST(CAST(s_acctbal AS DECIMAL(18,2)) AS DOUBLE) AS amount FROM supplier),
+n AS (SELECT 'posted_by' AS edge_type, 'user:' || coalesce(user, writer) AS target FROM j UNION ALL SELECT 'to_account', 'account:' || other FROM j
+  UNION ALL SELECT 'references', 'user:MV-U' || lpad(CAST(c_custkey % 100 AS VARCHAR), 2, '0') FROM t UNION ALL SELECT 'received_from', 'vendor:' || s_suppkey FROM c)
+SELECT edge_type, target, count(*) AS n_edges FROM n GROUP BY ALL""")
+def S10_files_to_edges(spark, sf_dir):
+    """Rows of ledgers, CSV files and documents become records of one envelope, and these edges."""
+    said = F.concat(F.lit("Freigabe durch MV-U"), F.lpad((F.col("c_custkey") % 100).cast("string"), 2, "0"), F.lit(" am 1.2.2024 über EUR 5,00"))
+    none = F.lit(None).cast("string")
+    place = [none.alias("sheet"), F.col("c_custkey").cast("int").alias("row_number")]
+    documents = read(spark, sf_dir, "customer").select(F.lit("/in/Vermerk.docx").alias("path"), *place, F.array().cast("array<string>").alias("columns"), F.create_map().cast("map<string,string>").alias("data"), said.alias("text"))
+    key = F.col("s_suppkey").cast("string")
+    folder = _files(read(spark, sf_dir, "supplier"), "s_suppkey", F.concat(key, F.lit(";"), F.translate(F.format_number("s_acctbal", 2), ",.", ".,")), "vendors", "LIEFERANT;BETRAG")
+    both = delimited.scan(_split(spark), folder)
+    rows = journal_rows(spark, sf_dir).unionByName(documents).unionByName(both.withColumn("path", F.concat("path", F.lit(".csv"))))
+    edges = envelope.entity_edges(envelope.records(rows, "d")).select("edge_type", F.expr("substr(target, 8)").alias("target"), "source")
+    kinds = (F.col("edge_type") != "references") | F.startswith("target", F.lit("user:MV-"))
+    return edges.where(kinds).groupBy("edge_type", "target").agg(F.count("*").alias("n_edges"))

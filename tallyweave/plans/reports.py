@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyweave.functions import exprs
+from tallyweave.functions import exprs, repair
 from tallyweave.operators import brief, components, cycles, evidence, graph, processes, profile, rules, store
 from tallyweave.plans.catalog import _EDGES, _SHAPES, _VENDORS, _entries, _returned, _vendor_edges
 from tallyweave.sources import tables
@@ -282,16 +282,18 @@ def J12_permissions(spark, sf_dir):
     return rules.permissions_of(users, rows).groupBy(F.substring("user", 2, 20).cast("long").alias("user_id"), "text").agg(F.count("*").alias("n"))
 
 
-@_query("SELECT doc_id, text AS repaired FROM documents WHERE NOT regexp_matches(text, '[ÂÃâ]')")
+@_query("SELECT doc_id, text AS repaired, text AS plain, text || '|' || lang || '|' || source AS nested FROM documents")
 def F12_mojibake(spark, sf_dir):
-    from tallyweave.functions.repair import repaired
-    from tallyweave.session import ship
-
-    ship(spark)
+    """Texts read in the wrong encoding, alone and inside of structs, lists and maps, and texts as they are,
+    with marks or without."""
     docs = read(spark, sf_dir, "documents")
-    plain = docs.where(~F.col("text").rlike("[ÂÃâ]"))
-    broken = F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")
-    return plain.select("doc_id", repaired(broken).alias("repaired"))
+    broken = lambda c: F.decode(F.encode(c, "UTF-8"), "ISO-8859-1")
+    value = F.struct(F.array(broken("text")).alias("a"), F.create_map(broken(F.concat(F.lit("ü"), "lang")), broken("source")).alias("m"))
+    rows = docs.select("doc_id", "text", broken("text").alias("broken"), value.alias("value"))
+    nested = repair.repaired_value(F.col("value"), rows.schema["value"].dataType)
+    rows = rows.select("doc_id", repair.repaired(F.col("broken")).alias("repaired"), repair.repaired(F.col("text")).alias("plain"), nested.alias("n"))
+    key = F.get(F.map_keys("n.m"), 0)
+    return rows.select("doc_id", "repaired", "plain", F.concat_ws("|", F.get("n.a", 0), F.substring(key, F.lit(2), F.char_length(key)), F.get(F.map_values("n.m"), 0)).alias("nested"))
 
 
 @_query("""
