@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyweave.operators.snapshots import Snapshots
+
 
 def latest(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Last write wins: each key's row with the greatest `order`. A grouped maximum, so many
@@ -48,17 +50,16 @@ def by_basename(rows: DataFrame, files: DataFrame, key: str) -> DataFrame:
 
 
 def save_version(tables: dict[str, DataFrame], folder: str, version: int) -> None:
-    """Writes all tables of a snapshot under its version, then the pointer that publishes it."""
-    spark = next(iter(tables.values())).sparkSession
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{folder}/version={version}/{name}")
-    spark.createDataFrame([(version,)], "version long").coalesce(1).write.mode("append").parquet(f"{folder}/published")
+    """Publishes all tables of a snapshot under its version, the one after the newest; raises
+    snapshots.Conflict if another writer has published that version."""
+    Snapshots(next(iter(tables.values())).sparkSession, folder).commit(tables, version - 1)
 
 
 def load_version(spark: SparkSession, folder: str, names: list[str]) -> dict[str, DataFrame]:
     """The tables of the newest published snapshot."""
-    version = spark.read.parquet(f"{folder}/published").agg(F.max("version")).first()[0]
-    return {n: spark.read.parquet(f"{folder}/version={version}/{n}") for n in names}
+    snapshots = Snapshots(spark, folder)
+    version = snapshots.current()
+    return {n: snapshots.read(n, version) for n in names}
 
 
 def write_jsonl(rows: DataFrame, path: str) -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyweave.operators import findings
+from tallyweave.operators import evidence, findings
 from tallyweave.sources import tables
 from tallyweave.sources.tables import SQL as RECORDS
 from tallyweave.sources.tables import read
@@ -190,3 +190,28 @@ def R4_evidence(spark, sf_dir):
 @_query(f"{_SPLITS}, r AS (SELECT case_id, CAST(sum(combined) AS DOUBLE) AS amount_at_risk FROM g GROUP BY 1), f AS ({_COUNTED} FROM v GROUP BY 1) SELECT f.*, CASE WHEN amount_at_risk IS NULL THEN 'medium' ELSE 'high' END AS confidence, amount_at_risk FROM f LEFT JOIN r USING (case_id)")
 def R4_findings(spark, sf_dir):
     return _told(_splits(spark, sf_dir))
+
+
+_PROPOSED = f"""
+WITH {RECORDS}, d AS (SELECT DISTINCT record_id, doc_id, amount FROM records), p AS (SELECT doc_id, list_sort(list(record_id)) AS ids FROM d GROUP BY 1 HAVING max(abs(amount)) > 150000 AND CAST(doc_id AS BIGINT) % 10 <> 3),
+h AS (SELECT *, 'AI-' || left(sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('tables|' || array_to_string(ids, '|'))), 12) AS finding_id FROM p)"""
+
+
+def _proposed(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Entries of large amounts as proposals that cite their records from the last one on; some cite an
+    unknown one too and fall away."""
+    records = tables.records(spark, sf_dir).select("record_id", "doc_id", "amount").distinct()
+    large = records.groupBy("doc_id").agg(F.max(F.abs("amount")).alias("most"), F.array_sort(F.collect_list("record_id")).alias("ids")).where("most > 150000")
+    unknown = F.when(F.col("doc_id").cast("long") % 10 == 3, F.array(F.lit("nowhere"))).otherwise(F.array().cast("array<string>"))
+    return evidence.findings(large.select("doc_id", F.concat(F.reverse("ids"), unknown).alias("record_ids")), records.select("record_id", "amount"), "tables")
+
+
+@_query(f"{_PROPOSED} SELECT finding_id, doc_id, len(ids) AS evidence_count FROM h")
+def N9_findings(spark, sf_dir):
+    return _proposed(spark, sf_dir)[0]
+
+
+@_query(f"""{_PROPOSED}, c AS (SELECT finding_id, unnest(list_reverse(ids)) AS record_id, generate_subscripts(ids, 1) AS position FROM h)
+SELECT finding_id, finding_id || '-E' || position AS evidence_id, CAST(position AS INTEGER) AS position, record_id, amount FROM c JOIN d USING (record_id)""")
+def N9_finding_evidence(spark, sf_dir):
+    return _proposed(spark, sf_dir)[1]
