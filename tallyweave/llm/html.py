@@ -53,6 +53,13 @@ BESIDE = set(
     "sidebar aside widget related recommended notice notices cookie cookies consent gdpr alert popup modal overlay newsletter subscribe subscription signup login "
     "share sharing social comment comments commentlist respond disqus replies reply form search searchbox pagination pager toolbar skip".split()
 )
+# Words that may follow such a word in a name without a change of its meaning, and words
+# before it that say what a block has beside it.
+NEUTRAL = set(
+    "left right top bottom main primary secondary wrapper wrap container inner outer box bar list items item links link area section block group row col panel posts post articles article "
+    "stories buttons button icons icon policy text title body content form field results inline mobile desktop large small fixed sticky".split()
+)
+HAVING = set("has have no not with without is hide show toggle".split())
 #: A start tag of the key ends an open element of these names, unless a block in between holds it.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 HOLDS = {"ul", "ol", "dl", "table", "article", "section", "div", "main", "body", "td", "nav", "footer", "header", "aside"}
@@ -70,6 +77,17 @@ SPACES = re.compile(r"\s+")
 BOGUS = re.compile(r"<!\[[^>]*(>|$)")
 
 
+def marked(names: str) -> bool:
+    """Whether a class, id or role says that a block stands beside the article. Whole names count: one
+    that is such a word, ends with one, or goes on with neutral words after one; not `has-sidebar`,
+    `with-header` or `social-science`."""
+    for name in names.split():
+        parts = re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", name).lower())
+        if parts and parts[0] not in HAVING and (parts[-1] in BESIDE or (parts[0] in BESIDE and NEUTRAL.issuperset(parts[1:]))):
+            return True
+    return False
+
+
 class Block:
     """An element with its blocks and texts in page order."""
 
@@ -100,10 +118,12 @@ class _Reader(HTMLParser):
                 if self.open[k].tag in HOLDS:
                     break
         names = {k: v for k, v in attrs if v and k in ("class", "id", "role")}
-        marks = re.findall(r"[a-z]+", " ".join(names.values()).lower())
-        block = Block(tag, f"{tag}.{names.get('class', '')}#{names.get('id', '')}", tag in SILENT or tag in AROUND or not BESIDE.isdisjoint(marks))
+        whole = " ".join(names.values())
+        block = Block(tag, f"{tag}.{names.get('class', '')}#{names.get('id', '')}", tag in SILENT or tag in AROUND or marked(whole))
         if tag in ("body", "html", "article", "main"):  # page-wide marks don't make the whole page a side block
-            block.beside = tag == "article" and not {"comment", "comments", "reply"}.isdisjoint(marks)
+            block.beside = tag == "article" and not {"comment", "comments", "reply"}.isdisjoint(re.findall(r"[a-z]+", whole.lower()))
+            for above in self.open if tag == "main" else ():  # what holds the main part isn't beside it, whatever its name
+                above.beside &= above.tag in SILENT or above.tag in AROUND
         above = self.open[-1]
         if len(self.open) > DEPTH and (not block.beside or above.beside or len(self.open) > 2 * DEPTH):
             block.items = above.items  # no block of its own: its text stands in the one above

@@ -210,3 +210,10 @@ def test_pipeline_stages(spark, tmp_path):
     ids = {r.doc_id for r in rows.collect()}
     assert {1, 2, 4, 5} <= ids and not {0, 3, 6, 1001, 1002} & ids
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == ids
+
+
+@pytest.mark.parametrize("names", ["layout has-sidebar", "content no-sidebar", "page with-header", "post-content social-science", "main-content related-party", "is-menu-open", "headerless"])
+def test_names_of_wrappers_that_only_sound_like_side_blocks(spark, names):
+    page = f'<html><body><div class="{names}"><p>The text of the page.</p></div><div class="site-header">Top</div><div id="sidebarLeft">Side</div><div class="cookie-banner">Note</div></body></html>'
+    rows = spark.createDataFrame([(1, "http://a.b/c", page)], "page_id long, url string, html string")
+    assert html.extract(rows).first().text == "The text of the page."
