@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyweave.llm.spans import text_hash, with_text, without
+from tallyweave.llm.ragged import tidy
 from tallyweave.session import ship
 from tallyweave.shared import Tables
 from tallyweave.skew import salted_join
@@ -79,7 +80,7 @@ def chunk_hashes(docs: DataFrame) -> DataFrame:
             halves = [pa.array(np.frombuffer(b"".join(h), "<i8")) for h in (h1, h2)]
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), *(pa.array(x, pa.int32()) for x in places), *halves], ["doc_id", "text_hash", *PLACE, "h1", "h2"])
 
-    return _rows(docs).mapInArrow(run, "doc_id long, text_hash long, chunk int, start int, end int, lines int, h1 long, h2 long")
+    return _rows(docs).mapInArrow(tidy(run), "doc_id long, text_hash long, chunk int, start int, end int, lines int, h1 long, h2 long")
 
 
 def repeated_chunks(docs: DataFrame, tables: Tables) -> DataFrame:
@@ -112,7 +113,7 @@ def unequal(spanned: DataFrame, again: DataFrame) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], [*KEY, "bytes"])
 
-    own = texts.mapInArrow(run, "doc_id long, text_hash long, chunk int, bytes binary").dropDuplicates(KEY)
+    own = texts.mapInArrow(tidy(run), "doc_id long, text_hash long, chunk int, bytes binary").dropDuplicates(KEY)
     first = own.select(*(F.col(c).alias(f"f_{c}") for c in KEY), F.col("bytes").alias("f_bytes"))
     pairs = again.select(*KEY, *(F.col(f"first.{c}").alias(f"f_{c}") for c in KEY))
     return salted_join(pairs, first, [f"f_{c}" for c in KEY], KEY).join(own, KEY).where(F.col("bytes") != F.col("f_bytes")).select(*KEY)

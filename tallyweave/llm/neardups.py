@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from tallyweave.llm import ragged, shingles
 from tallyweave.operators.components import components
+from tallyweave.llm.ragged import tidy
 from tallyweave.session import ship
 from tallyweave.shared import Tables, written
 from tallyweave.skew import salted_join
@@ -115,7 +116,7 @@ def sketch(docs: DataFrame) -> DataFrame:
                     [*(b.column(i).slice(lo, hi - lo) for i in range(3)), lists, pa.array(sets, pa.binary())], ["doc_id", "h1", "h2", "bands", "shingles"]
                 )
 
-    return rows.mapInArrow(run, "doc_id long, h1 long, h2 long, bands array<long>, shingles binary")
+    return rows.mapInArrow(tidy(run), "doc_id long, h1 long, h2 long, bands array<long>, shingles binary")
 
 
 def _jaccard(x: bytes, y: bytes) -> float:
@@ -138,7 +139,7 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
             like = [_jaccard(p, q) for p, q in zip(x, y, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64()), pa.array(like, pa.float64())], ["a", "b", "likeness"])
 
-    return rows.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, likeness double").where(F.col("likeness") >= least)
+    return rows.select("a", "b", "x", "y").mapInArrow(tidy(run), "a long, b long, likeness double").where(F.col("likeness") >= least)
 
 
 def parities(sets: DataFrame) -> DataFrame:
@@ -158,7 +159,7 @@ def parities(sets: DataFrame) -> DataFrame:
                 packed = np.packbits(odd).view("<i8").reshape(len(lists), -1)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), *(pa.array(np.ascontiguousarray(c)) for c in packed.T)], ["doc_id", "n", *names])
 
-    return sets.select("doc_id", "shingles").mapInArrow(run, f"doc_id long, n long, {', '.join(f'{c} long' for c in names)}")
+    return sets.select("doc_id", "shingles").mapInArrow(tidy(run), f"doc_id long, n long, {', '.join(f'{c} long' for c in names)}")
 
 
 def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyweave.llm import words
+from tallyweave.llm.ragged import tidy
 from tallyweave.session import ship
 from tallyweave.shared import written
 
@@ -52,7 +53,7 @@ def cut(docs: DataFrame, end: int = 1, vocabulary: str | None = None, capacity:
                     ["doc_id", "piece", "start", "length", "ids_crc32"],
                 )
 
-    return words.documents(docs).mapInArrow(run, PIECE)
+    return words.documents(docs).mapInArrow(tidy(run), PIECE)
 
 
 def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
@@ -215,4 +216,4 @@ def sequences(docs: DataFrame, packed: DataFrame, end: int = 1, vocabulary: str
             lists = [np.frombuffer(b"".join(p["part"] for p in parts), "<u4").astype(np.int32) for parts in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lists, pa.list_(pa.int32()))], ["sequence_id", "ids"])
 
-    return merged.mapInArrow(run, "sequence_id long, ids array<int>")
+    return merged.mapInArrow(tidy(run), "sequence_id long, ids array<int>")

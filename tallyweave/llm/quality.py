@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyweave.llm.ragged import tidy
 from tallyweave.session import ship
 from tallyweave.shared import written
 
@@ -74,7 +75,7 @@ def with_figures(rows: DataFrame) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(made) + 1, dtype=np.int32) * len(FIGURES)), flat)
             yield pa.RecordBatch.from_arrays([b.column(0), lists], ["row", "figures"])
 
-    return rows.select("row", "text").mapInArrow(run, schema)
+    return rows.select("row", "text").mapInArrow(tidy(run), schema)
 
 
 def train(figured: DataFrame, labels: DataFrame) -> list[float]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 from itertools import repeat
 
@@ -12,6 +14,26 @@ import pyarrow.compute as pc
 GROUP_CHARS = 2_000_000
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task's function that gives the memory it no longer needs back to the system, before it starts and
+    when it ends: Spark's Python workers live on from stage to stage, beside the JVM."""
+
+    def release() -> None:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library
+            pass
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        yield from run(batches)
+        release()
+
+    return own
+
+
 def spans(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
     """(start, end) of ranges of items that have about `most` together; a larger one stands alone."""
     start = size = 0
