@@ -9,6 +9,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The formats of the exports (numbers, and in the functions below cells, dates, users and
+# composite accounts).
 #: Decimal comma with dots between thousands.
 GERMAN_NUMBER = r"^-?\d{1,3}(\.\d{3})*,\d+$"
 #: Decimal comma, digits only.
