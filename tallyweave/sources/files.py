@@ -12,6 +12,7 @@ import re
 import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Callable, Iterator
+from datetime import datetime, timedelta
 from functools import reduce
 
 import pandas as pd
@@ -222,15 +223,58 @@ _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 _WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
+# Numbers of the built-in formats of dates and times.
+_DATES, _TIMES = {14, 15, 16, 17, 22}, {18, 19, 20, 21, 45, 46, 47}
+_QUOTED = re.compile(r'"[^"]*"|\\.|\[(?!h|m|s)[^\]]*\]', re.I)
+
+
+def _formats(styles: bytes | None) -> list[str]:
+    """What each cell style shows: 'date', 'time' or '' (any other value)."""
+    if styles is None:
+        return []
+    root = ET.fromstring(styles)
+    own = {int(f.get("numFmtId")): f.get("formatCode", "") for f in root.iter(f"{_MAIN}numFmt")}
+
+    def kind(n: int) -> str:
+        code = _QUOTED.sub("", own.get(n, "")).lower()
+        if n in _DATES or re.search("[dy]", code):
+            return "date"
+        return "time" if n in _TIMES or re.search("[hs]", code) else ""
+
+    formats = root.find(f"{_MAIN}cellXfs")
+    return [] if formats is None else [kind(int(x.get("numFmtId", 0))) for x in formats]
+
+
+def serial_text(value: str, kind: str, from_1904: bool) -> str:
+    """A serial number of days as ISO date and time, or as time alone; other text as it is. In the older
+    system the 29th of February 1900 counts as a day, so days before March 1900 are one more."""
+    try:
+        seconds = round(float(value) * 86_400)
+    except ValueError:
+        return value
+    if kind == "time" and 0 <= seconds < 86_400:
+        return str((datetime(1904, 1, 1) + timedelta(seconds=seconds)).time())
+    start = datetime(1904, 1, 1) if from_1904 else datetime(1899, 12, 30 if seconds >= 60 * 86_400 else 31)
+    try:
+        return (start + timedelta(seconds=seconds)).isoformat()
+    except OverflowError:
+        return value
+
+
 def _sheets(content: bytes) -> Iterator[tuple[str, list[tuple[int, list[str]]]]]:
-    """(name, [(row number, cells as text)]) of a workbook's sheets; cached values only."""
+    """(name, [(row number, cells as text)]) of a workbook's sheets; cached values only. Numbers that a
+    date or time format shows are ISO dates and times, by the workbook's date system."""
     z = zipfile.ZipFile(io.BytesIO(content))
     names = set(z.namelist())
     shared = []
     if "xl/sharedStrings.xml" in names:
         shared = ["".join(t.text or "" for t in s.iter(f"{_MAIN}t")) for s in ET.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{_MAIN}si")]
+    kinds = _formats(z.read("xl/styles.xml") if "xl/styles.xml" in names else None)
+    book = ET.fromstring(z.read("xl/workbook.xml"))
+    own = book.find(f"{_MAIN}workbookPr")
+    from_1904 = own is not None and own.get("date1904", "0") in ("1", "true")
     targets = {r.get("Id"): r.get("Target") for r in ET.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
-    for sheet in ET.fromstring(z.read("xl/workbook.xml")).iter(f"{_MAIN}sheet"):
+    for sheet in book.iter(f"{_MAIN}sheet"):
         at = targets[sheet.get(f"{_REL}id")].lstrip("/")
         rows = []
         for row in ET.fromstring(z.read(at if at in names else f"xl/{at}")).iter(f"{_MAIN}row"):
@@ -245,6 +289,9 @@ def _sheets(content: bytes) -> Iterator[tuple[str, list[tuple[int, list[str]]]]]
                     text = "".join(t.text or "" for t in c.iter(f"{_MAIN}t"))
                 else:
                     text = "" if value is None else shared[int(value.text)] if c.get("t") == "s" else value.text or ""
+                    style = int(c.get("s", -1))
+                    if text and c.get("t", "n") == "n" and 0 <= style < len(kinds) and kinds[style]:
+                        text = serial_text(text, kinds[style], from_1904)
                 cells += [""] * (column - 1 - len(cells)) + [text]
             rows.append((int(row.get("r", len(rows) + 1)), cells))
         yield sheet.get("name"), rows

@@ -91,3 +91,23 @@ def test_archives(spark, tmp_path):
 def test_pages(spark):
     df = spark.createDataFrame([("f", 1, "Konto  Betrag\n1  2\n3  4"), ("f", 2, " "), ("f", 3, "nur Text")], "path string, page int, text string")
     assert sorted((r.page, r.line) for r in files.page_rows(df).collect()) == [(1, 0), (1, 1), (1, 2), (1, 3), (3, 0)]
+
+
+@pytest.mark.parametrize(("system", "first"), [("", "2024-02-29T12:00:00"), (' date1904="1"', "2028-03-01T12:00:00")])
+def test_dates_and_times_of_sheets(spark, tmp_path, system, first):
+    main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    text = lambda r, t: f'<c r="{r}1" t="inlineStr"><is><t>{t}</t></is></c>'
+    row = '<c r="A2" s="1"><v>45351.5</v></c><c r="B2" s="2"><v>0.25</v></c><c r="C2" s="3"><v>59</v></c><c r="D2" s="0"><v>45351</v></c><c r="E2" s="4"><v>7</v></c>'
+    head = "".join(text(r, t) for r, t in zip("ABCDE", ["Tag", "Zeit", "Alt", "Zahl", "Stück"]))
+    formats = '<numFmts><numFmt numFmtId="170" formatCode="dd/mm/yyyy"/><numFmt numFmtId="171" formatCode="0 &quot;days&quot;"/></numFmts>'
+    styles = "".join(f'<xf numFmtId="{n}"/>' for n in (0, 14, 20, 170, 171))
+    (tmp_path / "m.xlsx").write_bytes(packed([
+        ("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><workbookPr{system}/><sheets><sheet name="S" r:id="r1"/></sheets></workbook>'),
+        ("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="r1" Target="worksheets/s.xml"/></Relationships>'),
+        ("xl/styles.xml", f'<styleSheet xmlns="{main}">{formats}<cellXfs>{styles}</cellXfs></styleSheet>'),
+        ("xl/worksheets/s.xml", f'<worksheet xmlns="{main}"><sheetData><row r="1">{head}</row><row r="2">{row}</row></sheetData></worksheet>'),
+    ]))
+    data = files.xlsx_rows(files.binary_files(spark, str(tmp_path))).first().data
+    assert (data["Tag"], data["Zeit"], data["Zahl"], data["Stück"]) == (first, "06:00:00", "45351", "7")
+    assert data["Alt"] == ("1904-02-29T00:00:00" if system else "1900-02-28T00:00:00")
