@@ -36,6 +36,7 @@ MIME = {
 ROWS = "path string, sheet string, row_number int, columns array<string>, data map<string,string>, text string"
 
 
+XML_BYTES = 50 * 2**20
 #: Rows of a file that are held at a time.
 CHUNK = 20_000
 csv.field_size_limit(2**31 - 1)  # a cell may be as long as its file
@@ -340,23 +341,46 @@ def docx_rows(files: DataFrame) -> DataFrame:
     return _parsed(files, parse)
 
 
-def xml_rows(files: DataFrame) -> DataFrame:
-    """Content XML: one row for each child if child names repeat (half as many names as
-    children at most), else one row for the whole."""
+def _local(tag: str) -> str:
+    return tag.rpartition("}")[2]
 
-    def flat(e) -> str:
-        own = e.tag.rpartition("}")[2] + "".join(f"[{k}={v}]" for k, v in e.attrib.items())
-        parts = [f"{own}: {e.text.strip()}"] if e.text and e.text.strip() else [own] if e.attrib else []
-        return "; ".join(parts + [flat(c) for c in e])
+
+def _xml_root(content: bytes) -> ET.Element:
+    """The root of a document, whatever its declaration says: read as UTF-8, else as Latin-1."""
+    try:
+        return ET.fromstring(content.decode("utf-8-sig"))
+    except (UnicodeDecodeError, ET.ParseError):
+        return ET.fromstring(content.decode("latin-1"))
+
+
+def _element_text(e: ET.Element) -> str:
+    """An element's text, its attributes and its children's texts, one level down; its name if there is
+    none of them."""
+    own = [f"{_local(x.tag)}: {x.text.strip()}" for x in [e, *e] if x.text and x.text.strip()]
+    if e.attrib:
+        own.insert(int(bool(e.text and e.text.strip())), f"{_local(e.tag)}[{', '.join(f'{k}={v}' for k, v in e.attrib.items())}]")
+    return "; ".join(own) or _local(e.tag)
+
+
+def xml_rows(files: DataFrame, most: int = XML_BYTES) -> DataFrame:
+    """Content XML. Children whose names repeat (half as many names as children at most) are records: a row
+    each, with their children's texts as fields. Else they are sections: a row each, its text led by its
+    name. A root without children is one row. Rows keep the child's number; a file of more than `most` bytes
+    leaves a row that says so."""
 
     def parse(path, content):
-        root = ET.fromstring(content)
+        if len(content) > most:
+            raise ValueError(f"more than {most} bytes")
+        root = _xml_root(content)
         kids = list(root)
-        if kids and len({c.tag for c in kids}) <= len(kids) / 2:
-            for n, c in enumerate(kids, 1):
-                yield None, n, [], {x.tag.rpartition("}")[2]: (x.text or "").strip() or None for x in c}, flat(c)
-        else:
-            yield None, 1, [], {}, flat(root)
+        repeats = len({_local(c.tag) for c in kids}) <= len(kids) / 2
+        for n, c in enumerate(kids or [root], 1):
+            fields = {_local(x.tag): x.text.strip() for x in c if x.text and x.text.strip()}
+            if kids and not repeats:
+                own = [c.text.strip()] if c.text and c.text.strip() else []
+                yield None, n, [], {"section_tag": _local(c.tag)}, " ".join([f"[{_local(c.tag)}]", *own, *map(_element_text, c)])
+            else:
+                yield None, n, [], fields, _element_text(c)
 
     return _parsed(files, parse)
 

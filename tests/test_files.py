@@ -111,3 +111,19 @@ def test_dates_and_times_of_sheets(spark, tmp_path, system, first):
     data = files.xlsx_rows(files.binary_files(spark, str(tmp_path))).first().data
     assert (data["Tag"], data["Zeit"], data["Zahl"], data["Stück"]) == (first, "06:00:00", "45351", "7")
     assert data["Alt"] == ("1904-02-29T00:00:00" if system else "1900-02-28T00:00:00")
+
+
+def test_xml_records_sections_and_limits(spark, tmp_path):
+    write(tmp_path / "sections.xml", '<?xml version="1.0" encoding="utf-8"?><r xmlns="u"><kopf nr="1">Titel<a x="2">A</a><b>B</b></kopf><fuss/></r>')
+    write(tmp_path / "latin.xml", '<?xml version="1.0" encoding="iso-8859-1"?><r>Größe</r>'.encode("latin-1"))
+    write(tmp_path / "records.xml", "<r><x k='1'><a>1</a><b><c>deep</c></b></x><x>own<a> </a></x></r>")
+    write(tmp_path / "broken.xml", "<r><x></r>")
+    df = files.binary_files(spark, str(tmp_path))
+    got = {}
+    for r in files.xml_rows(df).collect():
+        got.setdefault(r.path.rsplit("/", 1)[-1], []).append((r.row_number, r.data, r.text))
+    assert sorted(got["sections.xml"]) == [(1, {"section_tag": "kopf"}, "[kopf] Titel a: A; a[x=2] b: B"), (2, {"section_tag": "fuss"}, "[fuss]")]
+    assert got["latin.xml"] == [(1, {}, "r: Größe")]
+    assert sorted(got["records.xml"], key=str) == [(1, {"a": "1"}, "x[k=1]; a: 1"), (2, {}, "x: own")]
+    assert got["broken.xml"][0][0] == -1
+    assert all("more than 5 bytes" in r.text for r in files.xml_rows(df, 5).collect())
