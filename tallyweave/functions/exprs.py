@@ -109,6 +109,13 @@ def field(data: Column, name: str) -> Column:
     return F.coalesce(data[name], F.get(alike, 0))
 
 
+def json_map(text: Column) -> Column:
+    """A JSON object as a map of texts; anything else (broken JSON, null, other values) is an empty map."""
+    empty = F.create_map().cast("map<string,string>")
+    whole = F.try_parse_json(text)
+    return F.when(whole.isNotNull() & F.startswith(F.ltrim(text), F.lit("{")), F.coalesce(F.from_json(text, "map<string,string>"), empty)).otherwise(empty)
+
+
 def composite_account(value: Column) -> Column:
     """Entities of an account number: 'account-suffix' also names a customer (suffix 1...), a
     vendor (2...) or an asset (0..., by the whole value)."""

@@ -167,3 +167,14 @@ def S10_files_to_edges(spark, sf_dir):
     edges = envelope.entity_edges(envelope.records(rows, "d")).select("edge_type", F.expr("substr(target, 8)").alias("target"), "source")
     kinds = (F.col("edge_type") != "references") | F.startswith("target", F.lit("user:MV-"))
     return edges.where(kinds).groupBy("edge_type", "target").agg(F.count("*").alias("n_edges"))
+
+
+@_query("""
+WITH t AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN left(props, length(props) - 1) WHEN 1 THEN '[1]' WHEN 2 THEN NULL ELSE props END AS p FROM events)
+SELECT event_id, CASE WHEN json_valid(p) AND p LIKE '{%' THEN json_extract_string(p, '$.k') END AS k, CASE WHEN json_valid(p) AND p LIKE '{%' THEN 1 ELSE 0 END AS n FROM t""")
+def D10_json_or_nothing(spark, sf_dir):
+    """Payloads that are no JSON objects count as empty."""
+    kind, props = F.col("event_id") % 5, F.col("props")
+    text = F.when(kind == 0, F.left(props, F.char_length(props) - 1)).when(kind == 1, "[1]").when(kind != 2, props)
+    data = exprs.json_map(text)
+    return read(spark, sf_dir, "events").select("event_id", F.try_element_at(data, F.lit("k")).alias("k"), F.size(data).alias("n"))

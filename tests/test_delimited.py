@@ -46,7 +46,7 @@ def told(df):
     return sorted(((r.path.rsplit("/", 1)[-1], r.row_number, r.columns, r.data, r.text) for r in df.collect()), key=str)
 
 
-@pytest.mark.parametrize("size", [61, 100_000])
+@pytest.mark.parametrize("size", [160, 100_000])
 def test_ledgers_equal_the_reader_of_whole_files(spark, tmp_path, size):
     for k in range(3):
         (tmp_path / f"L{k}.txt").write_bytes(content(k).encode("cp1252"))
@@ -59,7 +59,7 @@ def test_ledgers_equal_the_reader_of_whole_files(spark, tmp_path, size):
     assert {r.path for r in found.collect()} == {r.path for r in files.binary_files(spark, str(tmp_path)).collect() if "L" in r.path.rsplit("/", 1)[-1]}
 
 
-@pytest.mark.parametrize("size", [97, 100_000])
+@pytest.mark.parametrize("size", [190, 100_000])
 def test_csv_files_equal_the_reader_of_whole_files(spark, tmp_path, size):
     head = 'Konto;"Na""me";Wert\n'
     (tmp_path / "a b.csv").write_bytes(b"\xef\xbb\xbf" + content(1, header=head).encode("utf-8"))
