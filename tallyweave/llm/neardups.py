@@ -13,7 +13,8 @@ bucket every document is compared with the bucket's first one (a star, not all p
 whole sets of shingles. The links found make classes. Documents of different classes that still share a
 bucket are then compared with each other, except where their sizes, or the number of places
 where the parities of their sets differ (no more than the shingles that only one has), prove
-that they can't be alike. So no candidate pair is left out: it is in one class, was compared,
+that they can't be alike; long texts have as many places as shingles, so that this holds for them
+too. So no candidate pair is left out: it is in one class, was compared,
 or can't be linked. Exact copies are one document in all of this.
 
 Two documents are linked if the Jaccard likeness of their sets of shingles (as 32-bit
@@ -44,8 +45,10 @@ SLOTS, BANDS, ROWS = 128, 24, 5
 LEAST = 0.8
 #: Bytes of texts whose shingles are held at once.
 GROUP = 1_000_000
-#: Places of the parities of a set of shingles; a power of 2, and at least 64.
-BITS = 1024
+#: Places of the parities that any set of shingles has, and most places of one: powers of 2, and at
+#: least 64. A set of more shingles than MOST_BITS has that many places, which prove less of it and
+#: lose nothing: what isn't proven unlike is verified.
+BITS, MOST_BITS = 1024, 1 << 16
 
 
 def signatures(hashes: np.ndarray, text: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
@@ -142,24 +145,71 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return rows.select("a", "b", "x", "y").mapInArrow(tidy(run), "a long, b long, likeness double").where(F.col("likeness") >= least)
 
 
-def parities(sets: DataFrame) -> DataFrame:
-    """doc_id, n, p0 ... : the size of each set, and for each of BITS places whether an odd
-    number of its shingles falls there (by their hash), as 64-bit integers. A place where two
-    sets differ holds a shingle that only one of them has."""
+def sizes_step(n: np.ndarray, least: float) -> np.ndarray:
+    """The step of a set of n shingles. Alike sets lie in the same step or in neighbours, as a step
+    is the largest ratio of their sizes."""
+    return np.floor(np.log(np.maximum(n, 1)) / max(0.01, float(-np.log(least)))).astype(np.int32)
+
+
+def places_of(step: np.ndarray, least: float) -> np.ndarray:
+    """How many places the parities of the sets in a step have: no fewer than shingles, so that
+    two sets that differ much differ in many places."""
+    most = np.exp(np.minimum((step + 1) * max(0.01, float(-np.log(least))), np.log(MOST_BITS)))
+    return np.maximum(BITS, 1 << np.ceil(np.log2(most) - 1e-9).astype(np.int64))
+
+
+def parities(sets: DataFrame, least: float = LEAST) -> DataFrame:
+    """doc_id, n, step, p0 ..., fine, coarse: the size of each set and its step, and for each of BITS
+    places whether an odd number of its shingles falls there (by their hash), as 64-bit
+    integers; the same for as many places as the sets of its step have, and as those of the step before
+    have (empty if BITS). A place where two sets differ holds a shingle that only one of them has."""
     names = [f"p{k}" for k in range(BITS // 64)]
 
     def run(batches):
         for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                part = b.slice(at, 1000)
+            for lo, hi in ragged.ranges(b.column(1), GROUP):
+                part = b.slice(lo, hi - lo)
                 lists = [np.frombuffer(x, "<u4") for x in part.column(1).to_pylist()]
                 sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-                flat = np.concatenate(lists).astype(np.int64) % BITS + np.repeat(np.arange(len(lists)) * BITS, sizes)
-                odd = (np.bincount(flat, minlength=len(lists) * BITS) & 1).astype(np.uint8)
-                packed = np.packbits(odd).view("<i8").reshape(len(lists), -1)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), *(pa.array(np.ascontiguousarray(c)) for c in packed.T)], ["doc_id", "n", *names])
+                step = sizes_step(sizes, least)
+                own, before = places_of(step, least), places_of(step - 1, least)
+                rows, fine, coarse = [], [], []
+                for x, m, m2 in zip(lists, own.tolist(), before.tolist(), strict=True):
+                    odd = (np.bincount(x & np.uint32(m - 1), minlength=m) & 1).astype(np.uint8)
+                    folded = {m: odd}
+                    while m > BITS:  # a place of half as many is two of these
+                        odd = odd[: m // 2] ^ odd[m // 2 :]
+                        m //= 2
+                        folded[m] = odd
+                    rows.append(odd)
+                    for to, at in ((fine, max(folded)), (coarse, m2)):
+                        to.append(np.packbits(folded[at]).view("<i8") if at > BITS else np.zeros(0, np.int64))
+                packed = np.packbits(np.stack(rows), axis=1).view("<i8")
+                columns = [part.column(0), pa.array(sizes), pa.array(step), *(pa.array(np.ascontiguousarray(c)) for c in packed.T)]
+                yield pa.RecordBatch.from_arrays(
+                    [*columns, *(pa.array(x, pa.list_(pa.int64())) for x in (fine, coarse))], ["doc_id", "n", "step", *names, "fine", "coarse"]
+                )
 
-    return sets.select("doc_id", "shingles").mapInArrow(tidy(run), f"doc_id long, n long, {', '.join(f'{c} long' for c in names)}")
+    kinds = f"doc_id long, n long, step int, {', '.join(f'{c} long' for c in names)}, fine array<long>, coarse array<long>"
+    return sets.select("doc_id", "shingles").mapInArrow(tidy(run), kinds)
+
+
+def unproven(named: DataFrame, least: float) -> DataFrame:
+    """(a, b): the pairs of documents of different classes in one bucket that neither their sizes nor
+    their parities prove unlike. named: key, doc_id, class and the columns of parities(). A bucket's
+    documents are dealt by their steps; of a pair, that of the smaller set decides where they meet."""
+    marks = [c for c in named.columns if c[0] == "p"]
+    left = named.select("key", "step", *(F.col(c).alias(f"a_{c}") for c in ("doc_id", "class", "n", *marks, "fine")))
+    cells = [F.struct((F.col("step") - k).alias("step"), F.lit(k == 0).alias("same"), F.col(c).alias("b_fine")) for k, c in enumerate(("fine", "coarse"))]
+    right = named.select("key", *(F.col(c).alias(f"b_{c}") for c in ("doc_id", "class", "n", *marks)), F.inline(F.array(*cells)))
+    apart = sum(F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in marks)
+    finely = F.aggregate(F.zip_with("a_fine", "b_fine", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    smaller, larger = F.least("a_n", "b_n"), F.greatest("a_n", "b_n")
+    most = (1 - least) / (1 + least) * (smaller + larger) + 1e-6  # shingles of one alone that alike sets have
+    fits = F.when(F.col("same"), F.col("a_class") < F.col("b_class")).otherwise(F.col("a_class") != F.col("b_class"))
+    fits = fits & (smaller >= least * larger) & (apart <= most) & (finely <= most)
+    pairs = salted_join(left, right, ["key", "step"], ["a_doc_id"]).where(fits)
+    return pairs.select(F.least("a_doc_id", "b_doc_id").alias("a"), F.greatest("a_doc_id", "b_doc_id").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
@@ -193,23 +243,9 @@ def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
     mixed = tables.write(mixed.where(F.col("lo") < F.col("hi")).select("key", "n"), "neardup-mixed-keys")
     named = salted_join(named, mixed.select("key"), ["key"], ["doc_id"], mixed)
     named = tables.write(named.select("key", "doc_id", "class"), "neardup-mixed")
-    marks = parities(sets.join(named.select("doc_id").distinct(), "doc_id", "left_semi"))
-    # A set is only compared with those of its own step of sizes and the next ones, so the rows of one
-    # bucket are dealt by size; a step is the largest ratio of alike sets.
-    step = F.floor(F.log(F.col("n")) / max(0.01, float(-np.log(least)))).cast("int")
-    named = tables.write(named.join(marks, "doc_id").withColumn("step", step), "neardup-marks")
-    left, right = (named.select("key", "step", *(F.col(c).alias(f"{side}_{c}") for c in ("doc_id", "class", *marks.columns[1:]))) for side in "ab")
-    right = right.withColumn("step", F.explode(F.array(*(F.col("step") + k for k in (-1, 0, 1)))))
-    apart = sum(F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in marks.columns[2:])
-    smaller, larger = F.least("a_n", "b_n"), F.greatest("a_n", "b_n")
-    fits = (F.col("a_class") < F.col("b_class")) & (smaller >= least * larger) & (apart * (1 + least) <= (1 - least) * (smaller + larger) + 1e-6)
-    rest = (
-        salted_join(left, right, ["key", "step"], ["a_doc_id"])
-        .where(fits)
-        .select(F.least("a_doc_id", "b_doc_id").alias("a"), F.greatest("a_doc_id", "b_doc_id").alias("b"))
-        .distinct()
-        .join(stars, ["a", "b"], "left_anti")
-    )
+    marks = parities(sets.join(named.select("doc_id").distinct(), "doc_id", "left_semi"), least)
+    named = tables.write(named.join(marks, "doc_id"), "neardup-marks")
+    rest = unproven(named, least).join(stars, ["a", "b"], "left_anti")
     rest = tables.write(rest, "neardup-rest")
     more = tables.write(verified(rest, sets, least), "neardup-more-links")
     if not more.isEmpty():

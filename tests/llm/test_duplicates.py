@@ -147,6 +147,40 @@ def test_many_near_copies_are_one_class(spark):
     assert all(got[1000 + k] == 1000 + k for k in range(50))
 
 
+def shared_prose(common, n, k):
+    """n words, of which the first ones are those of `common`, in blocks."""
+    return " ".join([*common, *prose(5000 + k, n - len(common)).split()])
+
+
+@pytest.mark.parametrize("n, share", [(300, 0.75), (3000, 0.75), (3000, 0.9)])
+def test_long_texts_of_one_bucket_are_not_all_pairs(spark, n, share):
+    """Texts under the likeness that share buckets are proven unlike before they are verified; alike
+    ones never are."""
+    texts = [shared_prose(prose(4, n).split()[: int(share * n)], n, k) for k in range(100)]
+    sets = [np.unique(shingles.shingles(*shingles.hashed_words(pa.array([t])))[0] >> np.uint64(32)).astype("<u4") for t in texts]
+    rows = [(k, bytearray(x.tobytes())) for k, x in enumerate(sets)]
+    marks = neardups.parities(spark.createDataFrame(rows, "doc_id long, shingles binary"))
+    got = neardups.unproven(marks.selectExpr("1L key", "doc_id", "doc_id class", "* except (doc_id)"), 0.8).collect()
+    want = {(a, b) for a in range(100) for b in range(a + 1, 100) if neardups._jaccard(rows[a][1], rows[b][1]) >= 0.8}
+    assert want <= {(r.a, r.b) for r in got}
+    assert len(got) == 4950 if share == 0.9 else len(got) < 50 and not want
+
+
+@pytest.mark.parametrize("least", [0.5, 0.8, 0.95])
+def test_no_alike_sets_are_proven_unlike(spark, least):
+    r = np.random.default_rng(3)
+    base = r.integers(0, 1 << 32, 90_000, dtype=np.uint64).astype("<u4")
+    rows = []
+    for k in range(160):
+        n = int(np.exp(r.uniform(0, np.log(80_000)))) if k % 2 else int(r.choice([1, 2, 900, 1100, 2000, 60_000]))
+        own = np.concatenate([base[: n - n // 8], r.integers(0, 1 << 32, n // 8, dtype=np.uint64).astype("<u4")])
+        rows.append((k, bytearray(np.unique(own).astype("<u4").tobytes())))
+    marks = neardups.parities(spark.createDataFrame(rows, "doc_id long, shingles binary"), least)
+    got = {(x.a, x.b) for x in neardups.unproven(marks.selectExpr("1L key", "doc_id", "doc_id class", "* except (doc_id)"), least).collect()}
+    want = {(a, b) for a in range(160) for b in range(a + 1, 160) if neardups._jaccard(rows[a][1], rows[b][1]) >= least}
+    assert want and want <= got
+
+
 def test_signatures_estimate_probability_jaccard():
     rng = np.random.default_rng(1)
     pool = shingles.mix(np.arange(400, dtype=np.uint64) + np.uint64(99))
