@@ -1,7 +1,7 @@
 """Registered queries that read export files: the tables are written as files by Spark first.
 
 A file holds the orders of a range of 4,096 keys, so files are bounded and their number grows with the
-table. They are read in a session of its own with small splits, so that each file has many ranges.
+table. They are read by small ranges, many of each file, which tasks take by the dozen.
 """
 
 from __future__ import annotations
@@ -51,13 +51,8 @@ def _files(rows: DataFrame, key: str, line: Column, name: str, header: str | Non
     return folder
 
 
-def _split(spark: SparkSession, size: str = "16k") -> SparkSession:
-    other = spark.newSession()
-    for key in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
-        other.conf.set(key, spark.conf.get(key))
-    other.conf.set("spark.sql.files.maxPartitionBytes", size)
-    other.conf.set("spark.sql.files.openCostInBytes", "1k")
-    return other
+#: Bytes of a range: each file has many.
+RANGE = "16k"
 
 
 def _text(c: str) -> Column:
@@ -81,7 +76,7 @@ def S4_split_ledger(spark, sf_dir):
     status = F.when(F.col("o_orderkey") % 3 == 0, "").otherwise(F.concat(F.lit(";"), "o_orderstatus"))
     line = _blank_before(F.concat(_text("o_orderkey"), F.lit(";"), F.date_format("o_orderdate", "dd.MM.yyyy"), F.lit(";"), said, status))
     folder = _files(read(spark, sf_dir, "orders"), "o_orderkey", line, "ledger")
-    rows = delimited.scan(_split(spark), folder, {"*": ["SCHLUESSEL", "BUCHUNGSDATUM", "BUCHUNGSTEXT", "STATUS"]})
+    rows = delimited.scan(spark, folder, {"*": ["SCHLUESSEL", "BUCHUNGSDATUM", "BUCHUNGSTEXT", "STATUS"]}, RANGE)
     cell = lambda name: F.try_element_at("data", F.lit(name))
     return rows.select(cell("SCHLUESSEL").cast("long").alias("o_orderkey"), "row_number", cell("BUCHUNGSDATUM").alias("booked"), cell("BUCHUNGSTEXT").alias("said"), cell("STATUS").alias("status"))
 
@@ -94,7 +89,7 @@ def S5_split_csv(spark, sf_dir):
     clerk = F.when(F.col("o_orderkey") % 2 == 0, quoted).otherwise(F.concat(F.lit('5" '), "o_orderpriority"))
     line = _blank_before(F.concat(_text("o_orderkey"), F.lit(","), clerk, F.lit(",x,too many")))
     folder = _files(read(spark, sf_dir, "orders"), "o_orderkey", line, "csv", "KONTO,TEXT,WERT")
-    rows = delimited.scan(_split(spark), folder)
+    rows = delimited.scan(spark, folder, ranges=RANGE)
     return rows.select(F.col("data")["KONTO"].cast("long").alias("o_orderkey"), "row_number", F.col("data")["TEXT"].alias("clerk"), F.array_join("columns", "|").alias("columns"))
 
 
@@ -162,7 +157,7 @@ def S10_files_to_edges(spark, sf_dir):
     documents = read(spark, sf_dir, "customer").select(F.lit("/in/Vermerk.docx").alias("path"), *place, F.array().cast("array<string>").alias("columns"), F.create_map().cast("map<string,string>").alias("data"), said.alias("text"))
     key = F.col("s_suppkey").cast("string")
     folder = _files(read(spark, sf_dir, "supplier"), "s_suppkey", F.concat(key, F.lit(";"), F.translate(F.format_number("s_acctbal", 2), ",.", ".,")), "vendors", "LIEFERANT;BETRAG")
-    both = delimited.scan(_split(spark), folder)
+    both = delimited.scan(spark, folder, ranges=RANGE)
     rows = journal_rows(spark, sf_dir).unionByName(documents).unionByName(both.withColumn("path", F.concat("path", F.lit(".csv"))))
     edges = envelope.entity_edges(envelope.records(rows, "d")).select("edge_type", F.expr("substr(target, 8)").alias("target"), "source")
     kinds = (F.col("edge_type") != "references") | F.startswith("target", F.lit("user:MV-"))

@@ -328,27 +328,43 @@ def _along(sums: list, columns: dict[str, list[str]] | None) -> tuple[dict, dict
     return states, files, errors
 
 
+def _ranges_of(spark: SparkSession, size: str | None) -> SparkSession:
+    """A session whose text source cuts files into ranges of `size` bytes, but deals many of them to a
+    task: neither the tasks nor the files that they write grow in number with the ranges."""
+    if size is None:
+        return spark
+    other = spark.newSession()
+    tasks = max(64, 4 * spark.sparkContext.defaultParallelism)
+    keys = {"maxPartitionBytes": size, "openCostInBytes": "1k", "maxPartitionNum": str(tasks)}
+    for key, value in keys.items():
+        other.conf.set(f"spark.sql.files.{key}", value)
+    other.conf.set("spark.sql.sources.parallelPartitionDiscovery.parallelism", str(tasks))
+    return other
+
+
 def _lines_of(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     lines = spark.read.option("lineSep", "\n").option("recursiveFileLookup", "true").text(paths)
     return lines.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.col("value").cast("binary").alias("value"))
 
 
-def scan(spark: SparkSession, paths: str | list[str], columns: dict[str, list[str]] | None = None) -> DataFrame:
+def scan(spark: SparkSession, paths: str | list[str], columns: dict[str, list[str]] | None = None, ranges: str | None = None) -> DataFrame:
     """Rows of delimited files, written once to the shared folder. columns: the columns of ledgers
     (semicolons, Windows-1252, no header) by the ends of their paths, files without are passed over;
-    None: CSV files with a header, whose encoding and mark are worked out for each file."""
+    None: CSV files with a header, whose encoding and mark are worked out for each file. ranges: bytes
+    of a range ("16k"), where it should be less than the session's splits; what the scan writes is
+    still read back by the session's splits."""
     ship(spark)
     for k in range(TRIES):
         try:
-            return _scan(spark, paths, columns)
+            return _scan(spark, paths, columns, ranges)
         except PythonException as e:
             if "RangesChanged" not in str(e) or k == TRIES - 1:
                 raise
     raise AssertionError
 
 
-def _scan(spark: SparkSession, paths: str | list[str], columns: dict[str, list[str]] | None) -> DataFrame:
-    tables, lines = Tables(spark), _lines_of(spark, paths)
+def _scan(spark: SparkSession, paths: str | list[str], columns: dict[str, list[str]] | None, ranges: str | None = None) -> DataFrame:
+    tables, lines = Tables(spark), _lines_of(_ranges_of(spark, ranges), paths)
     sums = tables.write(lines.mapInArrow(_summed, "path string, start long, utf8 boolean, cp1252 boolean, mark string, head binary, ends array<boolean>, records array<long>"), "ranges")
     groups = max(1, math.ceil(sums.count() / RANGES))
     out = None

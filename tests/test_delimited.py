@@ -105,3 +105,13 @@ def test_a_cell_longer_than_the_readers_usual_limit(spark, tmp_path):
     (tmp_path / "long.csv").write_bytes(b"a;b\n" + b"x" * 200_000 + b";1\n")
     assert len(files.csv_rows(files.binary_files(spark, str(tmp_path))).first().data["a"]) == 200_000
     assert len(delimited.scan(spark, str(tmp_path)).first().data["a"]) == 200_000
+
+
+def test_small_ranges_make_neither_tasks_nor_files(spark, tmp_path):
+    """120 ranges: the scan's tables have the files of 64 tasks at most, and are read back by the session's own splits."""
+    for k in range(4):
+        (tmp_path / f"L{k}.txt").write_bytes(b"".join(b'%d;"x\ny";c\n' % n for n in range(250)))
+    found = delimited.scan(spark, str(tmp_path), {"*": COLUMNS}, ranges="100")
+    rows = found.collect()
+    assert sorted((r.path[-6:], r.row_number, r.data["A"], r.data["B"]) for r in rows) == sorted((f"L{k}.txt", n + 1, str(n), "x\ny") for k in range(4) for n in range(250))
+    assert 0 < len(found.inputFiles()) <= 64 and found.rdd.getNumPartitions() <= 16
