@@ -25,26 +25,36 @@ def members(records: DataFrame, edges: DataFrame, join_type: str = "document_joi
     return records.select("node_id").distinct().join(clusters, "node_id", "left").select(F.coalesce("cluster", "node_id").alias("cluster"), "node_id")
 
 
-def own_edges(records: DataFrame, edges: DataFrame) -> DataFrame:
-    """The edges of each cluster (cluster, source, target, edge_type, edge_id). An edge has a record
-    at one end at least and belongs to the cluster of its records, so each end is looked up once and
-    no entity is joined with all clusters that have it. records: cluster, node_id."""
+def own_edges(records: DataFrame, edges: DataFrame, join_type: str = "document_join") -> DataFrame:
+    """The edges of each cluster (cluster, source, target, edge_type, edge_id), written once. An edge has a
+    record ('record:...') at one end at least and belongs to the cluster of its records. It is looked up
+    by one record; by the other one too only where the clusters of both may differ, that is if it doesn't
+    join them. No edge is brought to an entity. records: cluster, node_id."""
     at = lambda end, name: records.select(F.col("node_id").alias(end), F.col("cluster").alias(name))
-    both = edges.join(at("source", "_a"), "source", "left").join(at("target", "_b"), "target", "left")
-    same = F.col("_a").isNull() | F.col("_b").isNull() | (F.col("_a") == F.col("_b"))
-    return both.where(same & F.coalesce("_a", "_b").isNotNull()).select(F.coalesce("_a", "_b").alias("cluster"), "source", "target", "edge_type", "edge_id")
+    record = lambda end: F.coalesce(F.startswith(end, F.lit("record:")), F.lit(False))
+    own = edges.withColumn("_near", F.when(record("source"), F.col("source")).otherwise(F.col("target"))).join(at("_near", "_a"), "_near", "left")
+    two = record("source") & record("target") & (F.col("_a").isNull() | (F.col("edge_type") != join_type))
+    own = written(own.where(two | F.col("_a").isNotNull()).select(F.col("_a").alias("cluster"), "source", "target", "edge_type", "edge_id", two.alias("two")), "own-edges")
+    sure, open_ = own.where("NOT two").drop("two"), own.where("two").drop("two")
+    if open_.isEmpty():
+        return sure
+    both = open_.join(at("target", "_b"), "target", "left").where(F.coalesce("cluster", "_b").isNotNull() & F.coalesce(F.col("cluster") == F.col("_b"), F.lit(True)))
+    return sure.unionByName(both.withColumn("cluster", F.coalesce("cluster", "_b")).drop("_b"))
 
 
-def process_nodes(records: DataFrame, edges: DataFrame, task: int = TASK) -> tuple[DataFrame, DataFrame]:
+def process_nodes(records: DataFrame, edges: DataFrame, task: int = TASK, together: bool = False) -> tuple[DataFrame, DataFrame]:
     """(cluster, node_id, is_record, is_source, is_sink) of all nodes, and (cluster, source, target,
-    edge_id, dropped) of all edges. Sources and sinks are those after cycles are broken."""
+    edge_id, dropped) of all edges. Sources and sinks are those after cycles are broken. together: the
+    nodes of a cluster come in one task, for those who put them together anyway."""
     clusters = written(members(records, edges), "clusters")
     cut = written(break_cycles(own_edges(clusters, edges).withColumnRenamed("cluster", "graph_id"), task), "cut-edges").withColumnRenamed("graph_id", "cluster")
     ends = F.explode(F.array(F.struct(F.col("source").alias("n"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("target").alias("n"), F.lit(0).alias("o"), F.lit(1).alias("i"))))
     kept = F.when(F.col("dropped"), 0).otherwise(1)
     seen = cut.select("cluster", kept.alias("k"), ends.alias("e")).select("cluster", F.col("e.n").alias("node_id"), (F.col("e.o") * F.col("k")).alias("o"), (F.col("e.i") * F.col("k")).alias("i"), F.lit(False).alias("r"))
     own = clusters.select("cluster", "node_id", F.lit(0).alias("o"), F.lit(0).alias("i"), F.lit(True).alias("r"))
-    sums = seen.unionByName(own).groupBy("cluster", "node_id").agg(F.bool_or("r").alias("is_record"), (F.sum("i") == 0).alias("is_source"), (F.sum("o") == 0).alias("is_sink"))
+    rows = seen.unionByName(own)
+    rows = rows.repartition("cluster") if together else rows
+    sums = rows.groupBy("cluster", "node_id").agg(F.bool_or("r").alias("is_record"), (F.sum("i") == 0).alias("is_source"), (F.sum("o") == 0).alias("is_sink"))
     return sums, cut
 
 
@@ -52,7 +62,7 @@ def process_graphs(records: DataFrame, edges: DataFrame, dossier: str, cap: int
     """graph_id, record_ids, entity_node_ids, source_node_ids, sink_node_ids (sorted arrays), record_count,
     n_edges, capped, had_cycle. Node ids of records are 'record:' and the record's id. An array is as
     long as its graph; `process_nodes` has the same as rows."""
-    nodes, cut = process_nodes(records, edges, task)
+    nodes, cut = process_nodes(records, edges.withColumn("edge_id", F.lit("")), task, together=True)  # edges are only counted
     some = lambda test, value=F.col("node_id"): F.array_sort(F.collect_list(F.when(test, value)))
     record = F.expr("substr(node_id, instr(node_id, ':') + 1)")
     own = nodes.groupBy("cluster").agg(

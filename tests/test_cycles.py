@@ -116,3 +116,24 @@ def test_sections_keep_their_first_lines(spark):
     got = {(r.graph_id, r.section): r.text for r in sections.fitted(lines, graphs, sections.BUDGETS | {"Records": 60}).collect()}
     assert got["g", 2] == "\n".join(["x" * 10] * 3 + ["... 6 more"]) and got["h", 2] == "y" and ("i", 2) not in got
     assert got["i", 4] == sections.EMPTY["Relationships"] and got["i", 6] == "\n".join(sections.CONVENTIONS)
+
+
+def test_edges_between_records_of_two_graphs_belong_to_none(spark):
+    edges = [
+        ("record:a", "record:b", "document_join"), ("record:a", "record:b", "references"), ("record:b", "record:c", "references"), ("record:x", "record:c", "references"),
+        ("record:c", "record:x", "document_join"), ("vendor:v", "document:d", "documented"), ("record:x", "vendor:v", "paid_to"), ("vendor:v", "record:b", "has_receipt"),
+    ]
+    df = spark.createDataFrame([(*e, f"e{k}") for k, e in enumerate(edges)], "source string, target string, edge_type string, edge_id string")
+    records = spark.createDataFrame([("a", "record:a"), ("a", "record:b"), ("c", "record:c")], "cluster string, node_id string")  # x is no record that is known
+    got = sorted((r.cluster, r.edge_id) for r in processes.own_edges(records, df).collect())
+    assert got == [("a", "e0"), ("a", "e1"), ("a", "e7"), ("c", "e3"), ("c", "e4")]
+
+
+def test_edges_that_lie_together_need_no_rounds(spark, monkeypatch):
+    from tallyweave.operators import components
+
+    stars = []
+    monkeypatch.setattr(components, "_star", lambda edges, large, star=components._star: stars.append(large) or star(edges, large))
+    chains = [(f"n{g:03}-{k}", f"n{g:03}-{k + 1}") for g in range(200) for k in range(7)]
+    got = {r.node: r.component for r in components.components(spark.createDataFrame(chains, "a string, b string").coalesce(1)).collect()}
+    assert got == {f"n{g:03}-{k}": f"n{g:03}-0" for g in range(200) for k in range(8)} and not stars
