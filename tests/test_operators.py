@@ -135,3 +135,18 @@ def test_paths(spark):
     assert sorted(map(str, map(tuple, found))) == sorted(map(str, want))
     assert [r.length for r in graph.paths(edges, spark.createDataFrame([("a", "f")], "start string, end string")).collect()] == [4]
     assert graph.paths(edges.limit(0), spark.createDataFrame([], "start string, end string")).collect() == []
+
+
+def test_details_bring_edges_to_their_records_once(spark):
+    from tallyweave.operators import details
+
+    edges = [("record:1", "vendor:a", "paid_to", "e1", ["1"]), ("record:2", "vendor:a", "paid_to", "e2", ["2", "3"]), ("vendor:a", "user:u", "references", "e3", ["1", "2"]), ("record:9", "user:w", "posted_by", "e4", [])]
+    edges = spark.createDataFrame(edges, "source string, target string, edge_type string, edge_id string, record_ids array<string>")
+    records = spark.createDataFrame([("1", "x", "2024-01-01", 1.5), ("2", "m", "", 2.0)], "record_id string, record_type string, date string, amount double")
+    got = {r.entity: r for r in details.entity_profiles(None, edges, records, ["m"]).collect()}
+    told = {k: (r.n_records, r.first_date, r.sum_amount, r.paid_to, r.references, r.posted_by, r.n_masters, r.master_ids, r.n_others) for k, r in got.items()}
+    assert told == {"vendor:a": (3, "2024-01-01", 3.5, 2, 1, 0, 1, ["2"], 1), "user:u": (2, "2024-01-01", 3.5, 0, 1, 0, 1, ["2"], 1), "user:w": (0, None, 0.0, 0, 0, 1, 0, [], 0)}
+    member = spark.createDataFrame([("1", "g"), ("2", "g"), ("3", "h"), ("1", "g")], "record_id string, graph_id string")
+    types = details.entry_edge_types(edges, member)
+    assert sorted(tuple(r) for r in types.collect()) == [("g", "paid_to"), ("g", "references"), ("h", "paid_to")]
+    assert types._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning") <= 3
