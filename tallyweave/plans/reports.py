@@ -151,9 +151,12 @@ def G1_edge_table(spark, sf_dir):
 
 @_query(f"{_FAMILIES}, n AS (SELECT source AS node_id, record_id FROM f UNION ALL SELECT target, record_id FROM f) SELECT node_id, split_part(node_id, ':', 1) AS node_type, count(DISTINCT record_id) AS n_records FROM n GROUP BY 1")
 def G1_node_table(spark, sf_dir):
-    ends = [f.select(F.explode(F.array("source", "target")).alias("node_id"), "record_id") for f in _families(spark, sf_dir)]
-    rows = ends[0].unionByName(ends[1]).unionByName(ends[2])
-    return rows.groupBy("node_id").agg(F.count_distinct("record_id").alias("n_records")).select("node_id", F.substring_index("node_id", ":", 1).alias("node_type"), "n_records")
+    """The nodes of the edges of `_families`. Records come together with their keys, not with each end of each edge."""
+    rows = tables.records(spark, sf_dir).select("record_id", "vendor_id", "customer_id", "doc_id").repartition("record_id").distinct()
+    vendor, customer = F.col("vendor_id").isNotNull(), F.col("customer_id").isNotNull()
+    ends = F.array(F.when(vendor | customer, graph.node("record", F.col("record_id"))), graph.node("vendor", F.col("vendor_id")), graph.node("customer", F.col("customer_id")), F.when(vendor, graph.node("document", F.col("doc_id"))))
+    once = rows.select("record_id", F.explode(F.array_compact(ends)).alias("node_id")).distinct()
+    return once.groupBy("node_id").agg(F.count("record_id").alias("n_records")).select("node_id", F.substring_index("node_id", ":", 1).alias("node_type"), "n_records")
 
 
 @_query(_VENDORS + f""", rl AS (SELECT 'vendor:' || vendor_id AS node_id, record_id, row_number() OVER (PARTITION BY vendor_id ORDER BY record_id) AS k FROM (SELECT DISTINCT vendor_id, record_id FROM lines))

@@ -150,3 +150,10 @@ def test_details_bring_edges_to_their_records_once(spark):
     types = details.entry_edge_types(edges, member)
     assert sorted(tuple(r) for r in types.collect()) == [("g", "paid_to"), ("g", "references"), ("h", "paid_to")]
     assert types._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning") <= 3
+
+
+def test_the_node_table_shuffles_a_record_once(spark):
+    found = reports.queries()["G1_node_table"](spark, DATA)
+    found.count()
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Exchange hashpartitioning") == 2
