@@ -157,3 +157,23 @@ def test_the_node_table_shuffles_a_record_once(spark):
     found.count()
     plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
     assert plan.count("Exchange hashpartitioning") == 2
+
+
+def test_sections_are_put_together_where_an_entrys_rows_are(spark):
+    from tallyweave.operators import sections
+
+    rows = [("g", f"r{k}", "x", "p.csv", k, {"DATUM": "2024-01-01", "A": None}) for k in range(5)]
+    entries = spark.createDataFrame(rows, "graph_id string, record_id string, record_type string, path string, row_number int, data map<string,string>").repartition("graph_id")
+    found = sections.gathered(sections.record_blocks(entries), 2)
+    told = {s.section: (s.n_lines, len(s.lines), s.lines[0].line) for s in found.first().told}
+    assert told == {1: (5, 2, "2024-01-01  DATUM  r0 x"), 2: (20, 8, "Record r0 (x)")}
+    assert found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning") == 1
+
+
+def test_profiles_of_records_own_edges(spark):
+    from tallyweave.operators import details
+
+    links = [("1", "x", "2024-01-01", 1.5, "vendor:a", "paid_to"), ("1", "x", "2024-01-01", 1.5, "vendor:a", "references"), ("2", "m", "", 2.0, "vendor:a", "paid_to"), ("2", "m", "", 2.0, "user:u", "posted_by")]
+    links = spark.createDataFrame(links, "record_id string, record_type string, date string, amount double, entity string, edge_type string")
+    got = {r.entity: (r.n_records, r.first_date, r.sum_amount, r.paid_to, r.references, r.posted_by, r.n_masters, r.master_ids, r.n_others) for r in details.link_profiles(links, ["m"]).collect()}
+    assert got == {"vendor:a": (2, "2024-01-01", 3.5, 2, 1, 0, 1, ["2"], 1), "user:u": (1, None, 2.0, 0, 0, 1, 1, ["2"], 1)}
