@@ -96,10 +96,13 @@ def findings(proposals: DataFrame, records: DataFrame, dossier: str) -> tuple[Da
     key = F.concat(F.lit(f"{dossier}|"), F.array_join(F.array_sort("record_ids"), "|"))
     name = F.concat(F.lit("AI-"), F.left(F.replace(exprs.uuid5(key), F.lit("-"), F.lit("")), F.lit(12)))
     own = proposals.withColumn("proposal_id", name)
-    good = valid_proposals(own.select("proposal_id", "record_ids").dropDuplicates(["proposal_id"]), records)
-    found = own.join(good, "proposal_id").withColumnsRenamed({"proposal_id": "finding_id", "n_cited": "evidence_count"})
-    cited = found.select(F.col("finding_id").alias("proposal_id"), "record_ids").dropDuplicates(["proposal_id"])
+    records = records.repartition("record_id").distinct()
+    cited = own.select("proposal_id", "record_ids").dropDuplicates(["proposal_id"])
+    found = own.join(valid_proposals(cited, records), "proposal_id").withColumnsRenamed({"proposal_id": "finding_id", "n_cited": "evidence_count"})
+    ids = cited.select("proposal_id", F.posexplode(F.array_distinct("record_ids")).alias("position", "record_id"))
+    rows = ids.join(records.withColumn("_known", F.lit(True)), "record_id", "left")
+    whole = F.min(F.coalesce("_known", F.lit(False))).over(Window.partitionBy("proposal_id"))  # the check of valid_proposals, where the rows are numbered
     place = F.row_number().over(Window.partitionBy("proposal_id").orderBy("position"))
-    rows = rehydrated(cited, records).withColumn("position", place)
+    rows = rows.withColumn("_whole", whole).withColumn("position", place).where("_whole").drop("_whole", "_known")
     rows = rows.withColumn("evidence_id", F.concat_ws("-", "proposal_id", F.concat(F.lit("E"), F.col("position").cast("string"))))
     return found.drop("record_ids"), rows.withColumnRenamed("proposal_id", "finding_id")

@@ -200,8 +200,8 @@ h AS (SELECT *, 'AI-' || left(sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') ||
 def _proposed(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Entries of large amounts as proposals that cite their records from the last one on; some cite an
     unknown one too and fall away."""
-    records = tables.records(spark, sf_dir).select("record_id", "doc_id", "amount").distinct()
-    large = records.groupBy("doc_id").agg(F.max(F.abs("amount")).alias("most"), F.array_sort(F.collect_list("record_id")).alias("ids")).where("most > 150000")
+    records = tables.records(spark, sf_dir).select("record_id", "doc_id", "amount")
+    large = records.repartition("doc_id").distinct().groupBy("doc_id").agg(F.max(F.abs("amount")).alias("most"), F.array_sort(F.collect_list("record_id")).alias("ids")).where("most > 150000")
     unknown = F.when(F.col("doc_id").cast("long") % 10 == 3, F.array(F.lit("nowhere"))).otherwise(F.array().cast("array<string>"))
     return evidence.findings(large.select("doc_id", F.concat(F.reverse("ids"), unknown).alias("record_ids")), records.select("record_id", "amount"), "tables")
 

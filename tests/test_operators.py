@@ -177,3 +177,18 @@ def test_profiles_of_records_own_edges(spark):
     links = spark.createDataFrame(links, "record_id string, record_type string, date string, amount double, entity string, edge_type string")
     got = {r.entity: (r.n_records, r.first_date, r.sum_amount, r.paid_to, r.references, r.posted_by, r.n_masters, r.master_ids, r.n_others) for r in details.link_profiles(links, ["m"]).collect()}
     assert got == {"vendor:a": (2, "2024-01-01", 3.5, 2, 1, 0, 1, ["2"], 1), "user:u": (1, None, 2.0, 0, 0, 1, 1, ["2"], 1)}
+
+
+def _exchanges(df) -> int:
+    return df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning")
+
+
+def test_cited_records_meet_the_table_once(spark):
+    from tallyweave.operators import evidence
+
+    records = spark.createDataFrame([("a", 1.0), ("a", 1.0), ("b", 2.0), ("c", 3.0)], "record_id string, amount double")
+    proposals = spark.createDataFrame([("x", ["b", "a", "b"]), ("y", ["c", "nowhere"]), ("z", [])], "title string, record_ids array<string>")
+    found, rows = evidence.findings(proposals, records, "d")
+    assert [(r.title, r.evidence_count) for r in found.collect()] == [("x", 2)]
+    assert sorted((r.position, r.record_id, r.amount, r.evidence_id[-3:]) for r in rows.collect()) == [(1, "b", 2.0, "-E1"), (2, "a", 1.0, "-E2")]
+    assert _exchanges(rows) <= 4
