@@ -130,28 +130,27 @@ WITH {RECORDS}, f AS (
   UNION ALL SELECT 'vendor:' || vendor_id, 'document:' || doc_id, 'documented', record_id FROM records WHERE vendor_id IS NOT NULL)"""
 
 
-def _families(spark, sf_dir) -> list[DataFrame]:
-    records = tables.records(spark, sf_dir)
-    vendor, customer = records.where(F.col("vendor_id").isNotNull()), records.where(F.col("customer_id").isNotNull())
-    edge = lambda rows, source, target, kind: rows.select(source.alias("source"), target.alias("target"), F.lit(kind).alias("edge_type"), "record_id")
-    return [
-        edge(vendor, graph.node("record", F.col("record_id")), graph.node("vendor", F.col("vendor_id")), "paid_to"),
-        edge(customer, graph.node("record", F.col("record_id")), graph.node("customer", F.col("customer_id")), "billed_to"),
-        edge(vendor, graph.node("vendor", F.col("vendor_id")), graph.node("document", F.col("doc_id")), "documented"),
-    ]
-
-
 @_query(f"""{_FAMILIES}, e AS (SELECT source, target, edge_type, string_agg(DISTINCT record_id, ',' ORDER BY record_id) AS records FROM f GROUP BY ALL),
 h AS (SELECT *, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('tables|' || source || '|' || target || '|' || edge_type || '|' || records)) AS x FROM e)
 SELECT left(x, 12) || '5' || substr(x, 14, 3) || substr('89ab', (('0x' || substr(x, 17, 1))::INT & 3) + 1, 1) || substr(x, 18, 15) AS edge_id, source, target, edge_type, records FROM h""")
 def G1_edge_table(spark, sf_dir):
-    edges = graph.edge_table(_families(spark, sf_dir), "tables")
+    """Records come together with their keys by their order, which their ids and so each of their edges hold: an edge's rows
+    are made where they are put together."""
+    rows = tables.records(spark, sf_dir).select("record_id", "vendor_id", "customer_id", "doc_id").repartition("doc_id").distinct()
+    edge = lambda key, source, target, kind: F.when(F.col(key).isNotNull(), F.struct(source.alias("source"), target.alias("target"), F.lit(kind).alias("edge_type")))
+    record, vendor = graph.node("record", F.col("record_id")), graph.node("vendor", F.col("vendor_id"))
+    families = F.array(
+        edge("vendor_id", record, vendor, "paid_to"), edge("customer_id", record, graph.node("customer", F.col("customer_id")), "billed_to"),
+        edge("vendor_id", vendor, graph.node("document", F.col("doc_id")), "documented"),
+    )
+    own = rows.select("doc_id", "record_id", F.explode(families).alias("e")).where("e IS NOT NULL").select("doc_id", "record_id", "e.*")
+    edges = graph.edge_table([own], "tables", ("doc_id",))
     return edges.select("edge_id", "source", "target", "edge_type", F.array_join("record_ids", ",").alias("records"))
 
 
 @_query(f"{_FAMILIES}, n AS (SELECT source AS node_id, record_id FROM f UNION ALL SELECT target, record_id FROM f) SELECT node_id, split_part(node_id, ':', 1) AS node_type, count(DISTINCT record_id) AS n_records FROM n GROUP BY 1")
 def G1_node_table(spark, sf_dir):
-    """The nodes of the edges of `_families`. Records come together with their keys, not with each end of each edge."""
+    """The nodes of the edges of G1_edge_table. Records come together with their keys, not with each end of each edge."""
     rows = tables.records(spark, sf_dir).select("record_id", "vendor_id", "customer_id", "doc_id").repartition("record_id").distinct()
     vendor, customer = F.col("vendor_id").isNotNull(), F.col("customer_id").isNotNull()
     ends = F.array(F.when(vendor | customer, graph.node("record", F.col("record_id"))), graph.node("vendor", F.col("vendor_id")), graph.node("customer", F.col("customer_id")), F.when(vendor, graph.node("document", F.col("doc_id"))))

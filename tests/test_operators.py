@@ -192,3 +192,9 @@ def test_cited_records_meet_the_table_once(spark):
     assert [(r.title, r.evidence_count) for r in found.collect()] == [("x", 2)]
     assert sorted((r.position, r.record_id, r.amount, r.evidence_id[-3:]) for r in rows.collect()) == [(1, "b", 2.0, "-E1"), (2, "a", 1.0, "-E2")]
     assert _exchanges(rows) <= 4
+
+
+def test_the_edge_table_shuffles_a_record_once(spark):
+    found = reports.queries()["G1_edge_table"](spark, DATA)
+    found.count()
+    assert _exchanges(found) == 1
