@@ -198,3 +198,13 @@ def test_the_edge_table_shuffles_a_record_once(spark):
     found = reports.queries()["G1_edge_table"](spark, DATA)
     found.count()
     assert _exchanges(found) == 1
+
+
+def test_references_are_told_apart_where_the_join_has_them(spark):
+    entities = spark.createDataFrame([("1", "vendor", "a"), ("1", "vendor", "a"), ("2", "user", "u")], "record_id string, entity_type string, entity_id string")
+    labels = spark.createDataFrame([("1", "paid_to", "a")], "record_id string, label string, value string")
+    kinds = spark.createDataFrame([("paid_to", "vendor")], "label string, entity_type string")
+    found = graph.references(entities, labels, kinds)
+    assert sorted(map(tuple, found.collect())) == [("record:1", "vendor:a", "paid_to", ["1"]), ("record:2", "user:u", "references", ["2"])]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [record_id" in plan and "Aggregate [source" not in plan
