@@ -208,3 +208,8 @@ def test_references_are_told_apart_where_the_join_has_them(spark):
     assert sorted(map(tuple, found.collect())) == [("record:1", "vendor:a", "paid_to", ["1"]), ("record:2", "user:u", "references", ["2"])]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate [record_id" in plan and "Aggregate [source" not in plan
+
+
+def test_a_user_on_one_row_of_a_record_is_its_own(spark):
+    ids = spark.createDataFrame([("1", "x", "", "d", "u"), ("1", "x", "", "d", None), ("2", "x", "", "d", None)], "record_id string, record_type string, date string, doc_id string, user_id string")
+    assert [tuple(r) for r in graph.inherited_users(ids).collect()] == [("2", "u", "1")]
