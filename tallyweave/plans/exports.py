@@ -120,7 +120,7 @@ def P2_file_types(spark, sf_dir):
 @_query(f"WITH {JOURNAL_SQL} SELECT row_number, coalesce(user, writer) AS user_id FROM j")
 def W5_first_user_of_record(spark, sf_dir):
     """The first user among a record's entities, by their order in it."""
-    rows = envelope.ledger_records(journal_rows(spark, sf_dir), "d").select("row_number", F.posexplode("entities").alias("k", "e"))
+    rows = envelope.ledger_records(journal_rows(spark, sf_dir), "d").select("row_number", F.posexplode_outer("entities").alias("k", "e"))  # outer as in entity_rows
     return rows.where("e.entity_type = 'user'").groupBy("row_number").agg(F.min_by("e.entity_id", "k").alias("user_id"))
 
 

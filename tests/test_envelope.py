@@ -96,3 +96,11 @@ def test_empty_rows_and_bad_files(spark):
         assert read(df, "d").collect() == []
     odd = spark.createDataFrame([("/c.csv", None, 1, [], None, None)], ROWS)
     assert [r.entities for read in (envelope.ledger_records, envelope.csv_records, envelope.sheet_records) for r in read(odd, "d").collect()] == [[], [], []]
+
+
+def test_first_user_doesnt_filter_by_the_whole_expression_of_the_entities(spark):
+    from tallyweave.plans import exports
+
+    plan = exports.queries()["W5_first_user_of_record"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" in plan
+    assert not [line for line in plan.splitlines() if ("Filter" in line or "Join" in line) and "regexp_extract" in line]
