@@ -77,21 +77,21 @@ def is_label(name: Column) -> Column:
 
 
 def _with_cells(rows: DataFrame, of, date, number) -> DataFrame:
-    """Rows with their header's roles and the array of cells (name, text, number), in column order.
-    date, number: how a text is read where its column's role allows it. Each step is an array of its
-    own, as functions of arrays work out a repeated expression again."""
+    """Rows with their header's roles (roles_...) and the array of cells (name, text, number), in column
+    order. date, number: how a text is read where its column's role allows it. A cell's text is a
+    variable of its own, as functions of arrays work out a repeated expression again; its date is
+    asked for twice by columns of dates only."""
     rows = roles.with_roles(rows, of, sys.modules[__name__])
     found = F.transform("columns", lambda c: F.try_element_at("data", c))
     values = F.when(F.equal_null(F.map_keys("data"), F.col("columns")), F.map_values("data")).otherwise(found)
     rows = rows.withColumn("_raw", F.transform(values, lambda v: F.nullif(F.trim(v), F.lit(""))))
-    rows = rows.withColumn("_day", F.zip_with("roles.cells", "_raw", lambda c, v: F.when(c["date"] & v.isNotNull(), date(v))))
 
-    def cell(c: Column, k: Column) -> Column:
-        raw, day = F.get("_raw", k), F.get("_day", k)
+    def cell(c: Column, v: Column) -> Column:
+        day = F.when(c["date"] & v.isNotNull(), date(v))
         counts = (c["number"] == roles.NUMBER) | (c["number"] == roles.NO_DATE) & day.isNull()
-        return F.struct(c["name"].alias("name"), F.coalesce(day, raw).alias("text"), F.when(counts & raw.isNotNull(), number(raw)).alias("number"))
+        return F.struct(c["name"].alias("name"), F.coalesce(day, v).alias("text"), F.when(counts & v.isNotNull(), number(v)).alias("number"))
 
-    return rows.withColumn("cells", F.transform("roles.cells", cell)).drop("_raw", "_day")
+    return rows.withColumn("cells", F.zip_with("roles_cells", "_raw", cell)).drop("_raw")
 
 
 def _first(cells: Column, test) -> Column:
@@ -109,7 +109,7 @@ def _those(places: str | Column) -> Column:
 
 def _named(name: str) -> Column:
     """Text of the first column of that name in any case, null if blank."""
-    return F.get("cells", F.try_element_at("roles.named", F.lit(name)))["text"]
+    return F.get("cells", F.try_element_at("roles_named", F.lit(name)))["text"]
 
 
 def _relations(pairs: list[tuple[str, Column]]) -> Column:
@@ -131,7 +131,7 @@ def ledger_entities() -> Column:
         own = F.when(e["special"], parts).otherwise(F.array(_entity(e["kind"], x["text"], none)))
         return F.when(x["text"].isNotNull(), own).otherwise(F.array().cast(_ENTITY))
 
-    return F.array_distinct(F.flatten(F.transform("roles.entities", of_cell)))
+    return F.array_distinct(F.flatten(F.transform("roles_entities", of_cell)))
 
 
 def ledger_relations(stem: Column) -> Column:
@@ -147,7 +147,7 @@ def ledger_relations(stem: Column) -> Column:
 
 def account_type() -> Column:
     """What the column ART says an account is (vendor or customer), or null."""
-    art = F.lower(_first(_those("roles.kinds"), lambda x: x["text"].isNotNull() & x["number"].isNull())["text"])
+    art = F.lower(_first(_those("roles_kinds"), lambda x: x["text"].isNotNull() & x["number"].isNull())["text"])
     return reduce(lambda rest, kv: F.when(art == kv[0], F.lit(kv[1])).otherwise(rest), CSV_ACCOUNT_TYPES.items(), F.lit(None).cast("string"))
 
 
@@ -166,7 +166,7 @@ def csv_entities() -> Column:
         label = _first(_those(e["labels"]), lambda x: x["text"].isNotNull() & x["number"].isNull())["text"]
         return _entity(kind, _at(e["at"])["text"], label)
 
-    return F.array_distinct(F.transform(F.filter("roles.entities", lambda e: _used(_at(e["at"]))), of_cell))
+    return F.array_distinct(F.transform(F.filter("roles_entities", lambda e: _used(_at(e["at"]))), of_cell))
 
 
 def csv_relations() -> Column:
@@ -182,7 +182,7 @@ def csv_relations() -> Column:
         took = F.concat(now["taken"], F.filter(F.array(first["same"]), lambda s: s.isNotNull()))
         return F.struct(took.alias("taken"), F.concat(now["pairs"], F.array(own)).alias("pairs"))
 
-    pairs = F.aggregate("roles.relations", start, add)["pairs"]
+    pairs = F.aggregate("roles_relations", start, add)["pairs"]
     return F.map_from_entries(F.filter(pairs, lambda p: p["value"].isNotNull()))
 
 
@@ -191,7 +191,7 @@ def sheet_entities(strategy: Column) -> Column:
     The label is the id."""
     usable = lambda e: _at(e["at"])["text"].isNotNull() & (~e["special"] | strategy.isNotNull() & _at(e["at"])["text"].rlike(r"(?U)^[\w\-]+$"))
     of_cell = lambda e: _entity(F.coalesce(e["kind"], strategy), _at(e["at"])["text"], _at(e["at"])["text"])
-    return F.array_distinct(F.transform(F.filter("roles.entities", usable), of_cell))
+    return F.array_distinct(F.transform(F.filter("roles_entities", usable), of_cell))
 
 
 def sheet_relations(entities: Column) -> Column:
@@ -222,8 +222,8 @@ def ledger_records(rows: DataFrame, dossier: str) -> DataFrame:
     kind = reduce(lambda rest, kv: F.when(stem == kv[0], F.lit(kv[1])).otherwise(rest), LEDGER_TYPES.items(), F.lit("master_data"))
     rows = _with_cells(_numbered(rows, dossier), roles.ledger, exprs.strict_date, exprs.german_decimal)
     out = rows.withColumns({
-        "record_type": kind, "amount": F.get(_those("roles.amounts"), 0)["number"], "entities": ledger_entities(), "relationships": ledger_relations(stem),
-        "date": _first(_those("roles.dates"), lambda x: x["text"].isNotNull())["text"], "period": _named("PERIODENCODE"),
+        "record_type": kind, "amount": F.get(_those("roles_amounts"), 0)["number"], "entities": ledger_entities(), "relationships": ledger_relations(stem),
+        "date": _first(_those("roles_dates"), lambda x: x["text"].isNotNull())["text"], "period": _named("PERIODENCODE"),
         "currency": F.coalesce(_named("BUCHUNGSWÄHRUNG"), _named("BUCHUNGSWAEHRUNG")), "text": _named("BUCHUNGSTEXT"),
     })
     return out.select(*_OUT)
@@ -234,8 +234,8 @@ def csv_records(rows: DataFrame, dossier: str) -> DataFrame:
     EUR if there is an amount."""
     name, _ = _file()
     rows = _with_cells(_numbered(rows, dossier), roles.delimited, exprs.loose_date, exprs.german_number)
-    date = _first(_those("roles.dates"), lambda x: x["text"].rlike(_ISO) & x["number"].isNull())["text"]
-    amount = _first(_those("roles.amounts"), lambda x: x["number"].isNotNull())["number"]
+    date = _first(_those("roles_dates"), lambda x: x["text"].rlike(_ISO) & x["number"].isNull())["text"]
+    amount = _first(_those("roles_amounts"), lambda x: x["number"].isNotNull())["number"]
     out = rows.withColumn("_account_type", account_type()).withColumns({
         "record_type": exprs.first_match(name, CSV_TYPES, "master_data"), "date": date, "amount": amount, "entities": csv_entities(), "relationships": csv_relations(),
     })
@@ -254,8 +254,8 @@ def sheet_records(rows: DataFrame, dossier: str) -> DataFrame:
     of = lambda k, default: exprs.first_match(name, [(p[0], p[k]) for p in SHEET_TYPES], default, fold=False)
     rows = _with_cells(_numbered(rows, dossier), roles.sheet, lambda v: F.lit(None).cast("string"), _sheet_number)
     day = lambda x: F.coalesce(exprs.loose_date(x["text"]), F.nullif(F.regexp_extract(x["text"], r"^\d{4}-\d{2}-\d{2}", 0), F.lit("")))
-    date = _first(F.transform(_those("roles.dates"), day), lambda d: d.isNotNull())
-    amount = _first(_those("roles.amounts"), lambda x: x["number"].isNotNull())["number"]
+    date = _first(F.transform(_those("roles_dates"), day), lambda d: d.isNotNull())
+    amount = _first(_those("roles_amounts"), lambda x: x["number"].isNotNull())["number"]
     out = rows.withColumns({"record_type": of(1, "master_data"), "date": date, "amount": amount, "entities": sheet_entities(of(2, None))})
     return out.withColumns({"relationships": sheet_relations(F.col("entities")), "period": exprs.period(F.col("date")), "currency": F.when(F.col("amount").isNotNull(), "EUR")}).select(*_OUT)
 

@@ -117,7 +117,8 @@ def sheet(columns: list[str], rules) -> dict:
 
 
 def with_roles(rows: DataFrame, of: Callable[[list[str], object], dict], rules) -> DataFrame:
-    """The rows (with `columns`) and their header's `roles`; rows without columns have none."""
+    """The rows (with `columns`) and their header's roles, a column roles_... for each kind of them, so
+    that a plan carries those only that it reads; rows without columns have none."""
     ship(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,6 +127,7 @@ def with_roles(rows: DataFrame, of: Callable[[list[str], object], dict], rules)
             yield pa.RecordBatch.from_pylist([{"columns": h, "roles": of([c or "" for c in h], rules)} for h in headers], _SCHEMA)
 
     headers = written(rows.select("columns").where(F.col("columns").isNotNull()).distinct().mapInArrow(run, SCHEMA), "headers")
+    headers = headers.select("columns", *[F.col(f"roles.{f.name}").alias(f"roles_{f.name}") for f in _ROLES])
     if headers.count() <= HEADERS:
         return rows.join(F.broadcast(headers), "columns")
     return salted_join(rows, headers, ["columns"], ["path", "row_number"])

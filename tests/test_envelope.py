@@ -104,3 +104,12 @@ def test_first_user_doesnt_filter_by_the_whole_expression_of_the_entities(spark)
     plan = exports.queries()["W5_first_user_of_record"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "posexplode" in plan
     assert not [line for line in plan.splitlines() if ("Filter" in line or "Join" in line) and "regexp_extract" in line]
+
+
+def test_csv_records_read_a_cell_once_and_carry_only_the_roles_that_are_used(spark):
+    from tallyweave.plans import ledgers
+
+    plan = ledgers.queries()["P5_csv_projection"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("zip_with") + plan.count("transform(roles") <= 3  # cells, dates, amounts
+    assert "stringsplitsql" not in plan
+    assert "roles_relations" not in plan and "roles_entities" not in plan

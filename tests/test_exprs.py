@@ -54,3 +54,11 @@ def test_fields_ignore_case(spark):
 
 def test_table_lines(spark):
     assert values(spark, exprs.table_lines, ["Konto   Betrag\nnur Text\n  a  b  "]) == [["Konto   Betrag", "a  b"]]
+
+
+def test_loose_dates_are_in_range(spark):
+    texts = ["1.2.2000", " 31.12.2100 ", "01.09.1900", "0.1.2000", "00.01.2000", "32.1.2000", "1.13.2000", "1.0.2000", "1.1.1899", "1.1.2101", "1.1.20000", "1.1.2000\n", "31.2.2000", "x"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").orderBy("k")
+    found = [tuple(r) for r in df.select(exprs.loose_date(F.col("t")), exprs.loose_date(F.col("t"), False)).collect()]
+    assert [a for a, _ in found] == ["2000-02-01", "2100-12-31", "1900-09-01", *[None] * 8, "2000-01-01", "2000-02-31", None]
+    assert [b for _, b in found][3:11] == ["2000-01-00", "2000-01-00", "2000-01-32", "2000-13-01", "2000-00-01", "1899-01-01", "2101-01-01", None]
