@@ -269,6 +269,24 @@ def test_passage_after_an_earlier_partial_one(spark):
         assert not found[10 * k] and not found[10 * k + 1]
 
 
+def test_alike_passage_that_the_first_documents_of_its_groups_lack(spark):
+    """Earlier documents have parts of the passage, whatever two of its shingles one looks for; two later
+    ones have it with other words changed, so it has no equal range of 50 words."""
+    rows, changed = [], set()
+    for k in range(6):
+        passage = prose(900 + k, 120).split()
+        one, two = list(passage), list(passage)
+        for words, places in ((one, (39, 79)), (two, (40, 80))):
+            for at in places:
+                words[at] = f"changed{k}{at}"
+        parts = [passage[i : i + 49] for i in range(72)]
+        for j, own in enumerate((*parts, one, two)):
+            rows.append((100 * k + j, " ".join([*prose(5000 + 100 * k + j, 70).split(), *own, *prose(7000 + 100 * k + j, 70).split()])))
+        changed.add(100 * k + 73)
+    found = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in found if r.source == r.doc_id - 1 and r.n_words >= 110} == changed
+
+
 def test_passages_with_words_put_in_and_twice():
     words = lambda seed, n: shingles.mix(np.arange(n, dtype=np.uint64) + np.uint64(seed * 10_000))
     passage, middle, other = words(1, 80), words(2, 7), np.concatenate([words(3, 30), words(1, 80)])
