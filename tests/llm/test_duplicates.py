@@ -407,3 +407,32 @@ def test_nearest_smaller(monkeypatch, hops):
             smaller = [[j for j in range(n) if owner[j] == owner[i] and keys[j] < keys[i]] for i in range(n)]
             assert before.tolist() == [max((j for j in x if j < i), default=-1) for i, x in enumerate(smaller)]
             assert after.tolist() == [min((j for j in x if j > i), default=n) for i, x in enumerate(smaller)]
+
+
+def test_pairs_of_a_large_group_bring_their_texts_to_few_cells(spark):
+    """All pairs among 300 documents, beside many small groups: no pair is lost, and texts aren't brought along once for each pair."""
+    rows = [(b, a) for b in range(300) for a in range(b)] + [(1000 + 2 * k + 1, 1000 + 2 * k) for k in range(100)]
+    pairs = spark.createDataFrame(rows, "doc_id long, source long")
+    sizes = spark.range(2000).selectExpr("id AS doc_id", "1000L AS bytes")
+    dealt = passages.in_cells(pairs, sizes).collect()
+    assert sorted((r.doc_id, r.source) for r in dealt) == sorted(rows)
+    assert len({(r.cell, d) for r in dealt for d in (r.doc_id, r.source)}) <= 300 * 6 + 200
+
+
+@pytest.mark.parametrize("least", [0.8, 0.6])
+def test_no_common_passage_is_proven_away(least, monkeypatch):
+    """Passages with words changed, put in and left out are found as they are without the proof."""
+    r = np.random.default_rng(5)
+    words = lambda n, kinds=1 << 40: shingles.mix(r.integers(0, kinds, n).astype(np.uint64))
+    cases = []
+    for k in range(400):
+        passage = words(int(r.integers(40, 200)), 1 << 40 if k % 4 else 60)
+        other = passage.copy()
+        other[r.random(len(other)) < 0.01 * (k % 9)] = words(1)[0]
+        other = np.delete(other, r.integers(0, len(other), k % 5))
+        cases.append((np.concatenate([words(30), passage, words(20)]), np.concatenate([words(50), other, words(60)])))
+    got = [passages.common_passages(a, b, least) for a, b in cases]
+    told = [passages.may_have_passages(passages.Text(a), passages.Text(b), least) for a, b in cases]
+    monkeypatch.setattr(passages, "may_have_passages", lambda *_: True)
+    assert got == [passages.common_passages(a, b, least) for a, b in cases]
+    assert any(got) and (least < 0.8 or not all(told))
