@@ -31,6 +31,20 @@ def test_word_ids_are_the_librarys():
     assert [x.tolist() for x in np.split(flat, np.cumsum(counts)[:-1])] == want
 
 
+def test_parts_of_small_letters_are_the_models(monkeypatch):
+    """They need no call of the whole library, in whatever language; its ids are the same."""
+    own = words.Words(words.place(None))
+    r = random.Random(9)
+    texts = [" ".join("".join(r.choices(words.LETTERS + "eeeennnaaiittßüé", k=r.randint(1, 14))).capitalize() + r.choice(["", "", ",", "."]) for _ in range(50)) for _ in range(60)]
+    want = [e.ids for e in WORD.encode_batch(texts, add_special_tokens=False)]
+    calls = []
+    library = own._library
+    monkeypatch.setattr(own, "_library", lambda x: calls.extend(x) or library(x))
+    flat, counts = own.encode(texts)
+    assert [x.tolist() for x in np.split(flat, np.cumsum(counts)[:-1])] == want
+    assert own.plain and sum(map(len, calls)) < 2000 < sum(map(len, texts))
+
+
 def test_piece_ids_and_texts_are_the_librarys():
     own = pieces.Codec(public_tokenizers.path("piece_bpe_32k.model"))
     texts = odd_texts()
