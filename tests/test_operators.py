@@ -213,3 +213,21 @@ def test_references_are_told_apart_where_the_join_has_them(spark):
 def test_a_user_on_one_row_of_a_record_is_its_own(spark):
     ids = spark.createDataFrame([("1", "x", "", "d", "u"), ("1", "x", "", "d", None), ("2", "x", "", "d", None)], "record_id string, record_type string, date string, doc_id string, user_id string")
     assert [tuple(r) for r in graph.inherited_users(ids).collect()] == [("2", "u", "1")]
+
+
+def test_ids_of_many_records_join_them_too(spark):
+    rows = [(f"r{k:03}", "t", f"2024-01-{k % 28 + 1:02}", "hot") for k in range(900)] + [(f"r{k:03}", "t", f"2024-01-{k % 28 + 1:02}", "warm") for k in range(30)]
+    rows += [("x", "t", None, "own"), ("x", "t", "2024", "own"), ("r001", "t", "2024-01-02", "hot")]
+    ids = spark.createDataFrame(rows, "record_id string, record_type string, date string, doc_id string")
+    want = set()
+    for doc in ("hot", "warm"):
+        order = sorted({(date, kind, r) for r, kind, date, d in rows if d == doc})
+        want |= {(a[2], b[2]) for a, b in zip(order, order[1:])}
+    assert graph.by_hotness(ids)[1].select("doc_id").distinct().collect() == [("hot",)]
+    found = graph.document_join(ids, most=None).collect()
+    assert {tuple(r) for r in found} == want and len(found) == len(want)
+
+
+@pytest.mark.parametrize("name", ["J1_document_join"])
+def test_document_joins_have_no_cap(name):
+    assert "BETWEEN" not in catalog.oracle_sql()[name]
