@@ -228,6 +228,14 @@ def test_ids_of_many_records_join_them_too(spark):
     assert {tuple(r) for r in found} == want and len(found) == len(want)
 
 
-@pytest.mark.parametrize("name", ["J1_document_join"])
+def test_ids_of_many_records_tell_their_user(spark):
+    rows = [(f"r{k:03}", "u" if k in (3, 5) else None, "hot") for k in range(900)] + [(f"w{k:02}", "v" if k == 7 else None, "warm") for k in range(30)]
+    rows += [(f"z{k:03}", f"u{k}" if k < 2 else None, "torn") for k in range(900)] + [("r003", None, "hot")]
+    ids = spark.createDataFrame(rows, "record_id string, user_id string, doc_id string").selectExpr("*", "'t' record_type", "'' date")
+    got = sorted(map(tuple, graph.inherited_users(ids, most=None).collect()))
+    assert got == [(f"r{k:03}", "u", "r003") for k in range(900) if k not in (3, 5)] + [(f"w{k:02}", "v", "w07") for k in range(30) if k != 7]
+
+
+@pytest.mark.parametrize("name", ["J1_document_join", "J3_inherited_users"])
 def test_document_joins_have_no_cap(name):
     assert "BETWEEN" not in catalog.oracle_sql()[name]
