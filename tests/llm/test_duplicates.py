@@ -436,3 +436,13 @@ def test_no_common_passage_is_proven_away(least, monkeypatch):
     monkeypatch.setattr(passages, "may_have_passages", lambda *_: True)
     assert got == [passages.common_passages(a, b, least) for a, b in cases]
     assert any(got) and (least < 0.8 or not all(told))
+
+
+def test_texts_that_repeat_a_line_are_proven_unlike_too():
+    r = np.random.default_rng(6)
+    words = lambda n: shingles.mix(r.integers(0, 1 << 40, n).astype(np.uint64))
+    line = words(12)
+    own, other = (passages.Text(np.concatenate([words(200), line, words(30), line, words(200)])) for _ in range(2))
+    assert not passages.may_have_passages(own, other, 0.8)
+    again = passages.Text(np.concatenate([np.tile(line, 6), words(40)]))
+    assert passages.may_have_passages(again, own, 0.8)  # its line may be a passage by itself
