@@ -446,3 +446,16 @@ def test_texts_that_repeat_a_line_are_proven_unlike_too():
     assert not passages.may_have_passages(own, other, 0.8)
     again = passages.Text(np.concatenate([np.tile(line, 6), words(40)]))
     assert passages.may_have_passages(again, own, 0.8)  # its line may be a passage by itself
+
+
+def test_further_pairs_come_in_parts_of_bounded_size(spark, monkeypatch):
+    rows = [(d, fn, 7 + fn, 0, 10 + 10 * fn, 60) for d in range(30) for fn in range(2)]
+    shared = spark.createDataFrame(rows, "doc_id long, fn byte, key long, left int, centre int, right int")
+    found = spark.createDataFrame([(29, 0, 90, False)], "doc_id long, first int, last int, equal boolean")  # that of 29 is found already
+    pairs = {(d, s) for d in range(29) for s in range(d)}
+    for most, parts in ((1000, 1), (300, 3)):
+        monkeypatch.setattr(passages, "KEY_PAIRS", most)
+        tables = passages.Tables(spark)
+        told = [sorted(map(tuple, p.collect())) for p in passages.further_pairs(shared, found, tables)]
+        assert len(told) == parts and sorted(sum(told, [])) == sorted(pairs)
+        assert not tables.paths  # nothing stays on disk
