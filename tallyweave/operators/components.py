@@ -73,13 +73,14 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where(F.col("a") != F.col("b")).distinct()
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", tables: Tables | None = None) -> DataFrame:
     """(node, component) of every node that has an edge to another; a component is named by
-    its least node. Loops, repeated edges and edges with a null end add nothing."""
+    its least node. Loops, repeated edges and edges with a null end add nothing. tables: where the tables
+    that the result is read from are known, so that the caller can drop them."""
     ship(edges.sparkSession)
     pairs = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b"))
     pairs = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull()).where(F.col("a") != F.col("b"))
-    kind, tables = pairs.schema["a"].dataType.simpleString(), Tables(edges.sparkSession)
+    kind, tables = pairs.schema["a"].dataType.simpleString(), tables or Tables(edges.sparkSession)
     chunks = pairs.mapInArrow(_chunks, f"node {kind}, root {kind}")
     nodes = tables.write(chunks.groupBy("node").agg(F.array_sort(F.collect_set("root")).alias("roots")), "nodes")
     own = nodes.select("node", F.get("roots", F.lit(0)).alias("root"))

@@ -26,6 +26,8 @@ from tallyweave.shared import Tables
 
 #: Edges that one task walks.
 TASK = 1_000_000
+#: Hash values by which groups are counted.
+SPOTS = 1 << 14
 _OUT = "graph_id string, source string, target string, edge_id string, dropped boolean"
 _NAMES = ["graph_id", "source", "target", "edge_id"]
 
@@ -180,13 +182,24 @@ def _taken_apart(edges: DataFrame, task: int) -> DataFrame:
     return out
 
 
+def large_groups(edges: DataFrame, key: str, most: int) -> DataFrame | None:
+    """The groups of more than `most` edges (one column), None if there are none. Groups are counted by a few hash values first, and
+    one by one only where so many edges share a value."""
+    spot = F.pmod(F.xxhash64(key), F.lit(SPOTS))
+    full = [r[0] for r in edges.groupBy(spot.alias("_s")).agg(F.count("*").alias("n")).where(F.col("n") > most).select("_s").collect()]  # SPOTS rows at the most
+    if not full:
+        return None
+    large = edges.where(spot.isin(full) if len(full) < SPOTS // 16 else F.lit(True)).groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > most).select(key)
+    return None if large.isEmpty() else large
+
+
 def break_cycles(edges: DataFrame, task: int = TASK) -> DataFrame:
     """graph_id, source, target, edge_id, dropped of every edge, as text; without those dropped no
     group has a cycle. See the module's text for the order that decides."""
     ship(edges.sparkSession)
     edges = edges.select(*[F.col(c).cast("string").alias(c) for c in _NAMES])
-    large = edges.groupBy("graph_id").agg(F.count("*").alias("_n")).where(F.col("_n") > task).select("graph_id")
+    large = large_groups(edges, "graph_id", task)
     whole = lambda rows: _walked(rows.select(*_NAMES, F.lit(0).alias("part"), F.lit(None).cast("string").alias("entry")))
-    if large.isEmpty():
+    if large is None:
         return whole(edges)
     return whole(edges.join(large, "graph_id", "left_anti")).unionByName(_taken_apart(edges.join(large, "graph_id", "left_semi"), task))

@@ -105,14 +105,17 @@ g AS (SELECT doc_id, list_sort(list(DISTINCT substr(node, 8))) AS records, coale
 def _processes(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Each order's lines in a chain that ends in its invoice, which pays the lines' vendors; vendors
     lead back to their returned lines, so these orders have cycles."""
-    invoices = tables.invoices(spark, sf_dir).select(F.concat(F.lit("record:Z"), "record_id").alias("node_id"), "doc_id")
-    lines = tables.lines(spark, sf_dir).select(F.concat(F.lit("record:"), "record_id").alias("node_id"), "doc_id", F.concat(F.lit("vendor:"), "vendor_id").alias("vendor"), "flag").distinct().join(invoices.select("doc_id"), "doc_id", "left_semi")
-    both = invoices.unionByName(lines.select("node_id", "doc_id"))
-    chain = both.withColumn("next", F.lead("node_id").over(Window.partitionBy("doc_id").orderBy("node_id"))).where("next IS NOT NULL")
-    pays = lines.select("doc_id", "vendor").distinct().join(invoices, "doc_id")
-    edge = lambda rows, a, b, kind: rows.select(F.col(a).alias("source"), F.col(b).alias("target"), F.lit(kind).alias("edge_type"))
-    edges = edge(chain, "node_id", "next", "document_join").unionByName(edge(pays, "node_id", "vendor", "paid_to")).unionByName(edge(lines.where("flag = 'R'"), "vendor", "node_id", "has_receipt"))
-    return both.select("node_id"), edges.withColumn("edge_id", F.concat_ws("|", "source", "target", "edge_type"))
+    invoices = tables.invoices(spark, sf_dir).select(F.concat(F.lit("record:Z"), "record_id").alias("node_id"), "doc_id", F.lit(None).cast("string").alias("vendor"), F.lit(False).alias("back"), F.lit(True).alias("pays"))
+    lines = tables.lines(spark, sf_dir).select(F.concat(F.lit("record:"), "record_id").alias("node_id"), "doc_id", F.concat(F.lit("vendor:"), "vendor_id").alias("vendor"), F.coalesce(F.col("flag") == "R", F.lit(False)).alias("back"), F.lit(False).alias("pays"))
+    own = Window.partitionBy("doc_id")
+    rows = lines.unionByName(invoices).repartition("doc_id").distinct()  # an order's rows come together once
+    rows = rows.withColumn("invoice", F.max(F.when(F.col("pays"), F.col("node_id"))).over(own)).where("invoice IS NOT NULL")
+    rows = rows.withColumn("next", F.lead("node_id").over(own.orderBy("node_id"))).withColumn("k", F.row_number().over(Window.partitionBy("doc_id", "vendor").orderBy("node_id")))
+    edge = lambda test, a, b, kind: F.when(test, F.struct(F.col(a).alias("source"), F.col(b).alias("target"), F.lit(kind).alias("edge_type")))
+    some = F.col("vendor").isNotNull()
+    edges = F.array(edge(F.col("next").isNotNull(), "node_id", "next", "document_join"), edge(some & (F.col("k") == 1), "invoice", "vendor", "paid_to"), edge(some & F.col("back"), "vendor", "node_id", "has_receipt"))
+    edges = rows.select(F.explode(F.array_compact(edges)).alias("e")).select("e.*")
+    return rows.select("node_id"), edges.withColumn("edge_id", F.concat_ws("|", "source", "target", "edge_type"))
 
 
 @_query(f"""{_PROCESSES}, h AS (SELECT *, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('tables|' || array_to_string(records, '|'))) AS x FROM g)

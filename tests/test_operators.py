@@ -239,3 +239,17 @@ def test_ids_of_many_records_tell_their_user(spark):
 @pytest.mark.parametrize("name", ["J1_document_join", "J3_inherited_users"])
 def test_document_joins_have_no_cap(name):
     assert "BETWEEN" not in catalog.oracle_sql()[name]
+
+
+def test_process_graphs_bring_an_orders_rows_together_once(spark, monkeypatch):
+    from tallyweave.shared import Tables
+
+    records, edges = reports._processes(spark, DATA)
+    for rows in (records, edges):
+        rows.count()
+        assert _exchanges(rows) == 1
+    written, dropped = [], []
+    monkeypatch.setattr(Tables, "write", lambda self, df, name, write=Tables.write: written.append(name) or write(self, df, name))
+    monkeypatch.setattr(Tables, "drop", lambda self, *names, drop=Tables.drop: dropped.extend(names) or drop(self, *names))
+    reports.queries()["G4_process_graphs"](spark, DATA).count()
+    assert set(written) - set(dropped) == {"clusters", "own-edges"}
