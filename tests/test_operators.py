@@ -253,3 +253,11 @@ def test_process_graphs_bring_an_orders_rows_together_once(spark, monkeypatch):
     monkeypatch.setattr(Tables, "drop", lambda self, *names, drop=Tables.drop: dropped.extend(names) or drop(self, *names))
     reports.queries()["G4_process_graphs"](spark, DATA).count()
     assert set(written) - set(dropped) == {"clusters", "own-edges"}
+
+
+def test_what_is_told_of_an_entry_is_worked_out_once(spark):
+    from tallyweave.operators import sections
+
+    lines = spark.createDataFrame([("g", 2, "r", 0, "", "x")], "graph_id string, section int, a string, n int, b string, line string")
+    found = sections.fitted(lines, lines.select("graph_id"))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count(sections.CONVENTIONS[0]) <= 2
