@@ -261,3 +261,13 @@ def test_what_is_told_of_an_entry_is_worked_out_once(spark):
     lines = spark.createDataFrame([("g", 2, "r", 0, "", "x")], "graph_id string, section int, a string, n int, b string, line string")
     found = sections.fitted(lines, lines.select("graph_id"))
     assert found._jdf.queryExecution().optimizedPlan().toString().count(sections.CONVENTIONS[0]) <= 2
+
+
+def test_details_of_entities_bring_records_together_once(spark):
+    from tallyweave.plans import details
+
+    found = details.queries()["A3_entity_details"](spark, DATA)
+    found.count()
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert not [x for x in plan.splitlines() if "Exchange hashpartitioning(source" in x or "Exchange hashpartitioning(edge" in x]
+    assert {x.split("hashpartitioning(")[1].split("#")[0] for x in plan.splitlines() if "REPARTITION_BY_COL" in x} == {"record_id"}
